@@ -1,6 +1,6 @@
 """Reduce large tables and event streams to the few rows a chart needs."""
 
-from chartfold.functions.measures import Measure, count, greatest, least, mean, total
+from chartfold.functions.measures import Measure, count, exact_total, greatest, least, mean, total
 from chartfold.operators.bins import density2d, heatmap, heatmap_wide, histogram
 from chartfold.operators.distribution import box_summary, ecdf
 from chartfold.operators.fit import corr_matrix, trend_line
@@ -16,7 +16,7 @@ from chartfold.streaming.live import append_series, latest_series, live_series,
 
 __all__ = [
     "Lookup", "Measure", "append_series", "box_summary", "bucket_series", "corr_matrix", "count",
-    "cumulative", "dense_series", "density2d", "ecdf", "funnel", "greatest", "grouped_totals",
+    "cumulative", "dense_series", "density2d", "ecdf", "exact_total", "funnel", "greatest", "grouped_totals",
     "heatmap", "heatmap_wide", "hierarchy", "histogram", "keyed_sample", "latest_series", "least",
     "live_series", "load", "load_stream", "mean", "moving_avg", "ohlc", "running_total", "session",
     "topk_share", "total", "trend_line", "upsert_series",

@@ -34,8 +34,12 @@ def all_of(conds: Sequence[Column]) -> Column:
 def precedes(left: Column, right: Column, order: Sequence[SortKey]) -> Column:
     """Whether struct ``left`` sorts strictly before struct ``right``.
 
-    Nulls sort as Spark sorts them: first ascending, last descending.
+    Nulls sort as Spark sorts them: first ascending, last descending.  The
+    fields of both structs are those of ``order``, so that the order of structs
+    itself will do if all of them ascend.
     """
+    if all(asc for _, asc in order):
+        return left < right
     before = F.lit(False)
     for name, asc in reversed(order):
         a, b = left.getField(name), right.getField(name)

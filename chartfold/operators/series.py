@@ -161,10 +161,10 @@ def moving_avg(
     by, columns, size = names(by), series.columns, max(n, block)
     placed = running_total(
         series.withColumn("__one", F.lit(1)), [(order, True)], "__one", by,
-        out="__place", total="__rows", chunks=chunks,
+        out="__place", chunks=chunks,
     )
     index = F.col("__place") - 1
-    is_tail = (index % size >= size - (n - 1)) & (F.col("__place") < F.col("__rows"))
+    is_tail = index % size >= size - (n - 1)
     blocks = placed.withColumn("__block", F.floor(index / size)).withColumn(
         "__copy", F.explode(F.when(is_tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     ).withColumn("__block", F.col("__block") + F.col("__copy"))
@@ -183,24 +183,30 @@ def ohlc(
     unit: str,
     by: str | Sequence[str] = (),
     out: str = "bucket",
+    distinct_times: bool = False,
 ) -> DataFrame:
     """Open, high, low and close of ``value`` per bucket: a candlestick.
 
     Among rows of the same instant the open is the least value and the close
     the greatest, so that the result does not depend on the order of rows.
+    Comparing (time, value) pairs makes Spark sort each task's rows by bucket.
+    With ``distinct_times`` the caller states that no instant repeats within a
+    bucket; times alone are then compared, in a hash aggregation.
     """
     by = names(by)
     rows = (
         df.filter(F.col(ts).isNotNull() & F.col(value).isNotNull())
         .withColumn(out, bucket_start(df, ts, unit))
     )
-    at = F.struct(F.col(ts), F.col(value))
+    if distinct_times:
+        first, last = F.min_by(value, ts), F.max_by(value, ts)
+    else:
+        at = F.struct(F.col(ts).alias("at"), F.col(value).alias("value"))
+        first, last = F.min(at).getField("value"), F.max(at).getField("value")
     return rows.groupBy(*by, out).agg(
-        F.min(at).getField(value).alias("open"),
+        first.alias("open"),
         F.max(value).alias("high"),
         F.min(value).alias("low"),
-        F.max(at).getField(value).alias("close"),
+        last.alias("close"),
         F.count(F.lit(1)).alias("n"),
     )
-
-

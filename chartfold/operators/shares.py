@@ -9,13 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartfold.functions.keys import all_of, names, same, sort_columns
-from chartfold.functions.measures import Measure, count, merges
+from chartfold.functions.measures import Measure, count
 from chartfold.plans.eager import Lookup, totals
 from chartfold.plans.running import running_total
 
 
 def _single(measure: Measure) -> Measure:
-    if measure.kind not in ("count", "sum"):
+    if not measure.fills_with_zero:
         raise ValueError(f"shares need a count or a sum, got {measure.kind!r}")
     return measure
 
@@ -69,7 +69,7 @@ def topk_share(
     slices = tagged.groupBy(
         *[F.when(F.col("__top"), F.col(c)).alias(c) for c in by],
         F.col("__top").isNull().alias("is_other"),
-    ).agg(*merges([measure]))
+    ).agg(F.sum(name).alias(name))
     whole = F.sum(name).over(W.partitionBy())  # over k + 1 rows
     return slices.select(
         *by, "is_other", name,

@@ -40,14 +40,13 @@ def _cut_points(df: DataFrame, order: Sequence[SortKey], chunks: int) -> DataFra
     rate = F.greatest(F.lit(1).cast("bigint"), F.ceil(size.getField("n") / (chunks * SAMPLE_PER_CHUNK)))
     key = F.struct(*[F.col(c).alias(c) for c, _ in order])
     picked = df.filter(F.pmod(row_hash(df), rate) == 0).agg(F.collect_list(key).alias("keys"))
-    ranked = picked.select(
-        F.array_sort(
+    if all(asc for _, asc in order):
+        ranked = picked.select(F.array_sort("keys").alias("keys"))
+    else:
+        ranked = picked.select(F.array_sort(
             "keys",
-            lambda a, b: F.when(precedes(a, b, order), -1)
-            .when(precedes(b, a, order), 1)
-            .otherwise(0),
-        ).alias("keys")
-    )
+            lambda a, b: F.when(precedes(a, b, order), -1).when(precedes(b, a, order), 1).otherwise(0),
+        ).alias("keys"))
     place = lambda i: F.floor(i * F.size("keys") / chunks).cast("int")
     return ranked.select(
         F.transform(
@@ -56,16 +55,20 @@ def _cut_points(df: DataFrame, order: Sequence[SortKey], chunks: int) -> DataFra
     )
 
 
-def _chunk_of(key: Column, cuts: Column, order: Sequence[SortKey], chunks: int) -> Column:
-    """Number of cut points at or before ``key``, by binary search."""
-    top = 1 << (chunks - 1).bit_length()
-    strides = F.array(*[F.lit(top >> i) for i in range(top.bit_length())])
-
-    def advance(found, stride):
-        cut = F.get(cuts, found + stride - 1)
-        return found + F.when(cut.isNotNull() & ~precedes(key, cut, order), stride).otherwise(0)
+def _with_chunk(df: DataFrame, cuts: Column, order: Sequence[SortKey], chunks: int) -> DataFrame:
+    """Adds the number of cut points at or before each row, by binary search.
 
-    return F.aggregate(strides, F.lit(0), advance)
+    One projection per halving: they all run inside the generated code of one
+    stage, where a lambda over the array would be interpreted row by row.
+    """
+    key = F.struct(*[F.col(c).alias(c) for c, _ in order])
+    df = df.withColumn("__cuts", cuts).withColumn("__chunk", F.lit(0))
+    for level in reversed(range((chunks - 1).bit_length())):
+        stride = 1 << level
+        cut = F.get(F.col("__cuts"), F.col("__chunk") + (stride - 1))
+        past = cut.isNotNull() & ~precedes(key, cut, order)
+        df = df.withColumn("__chunk", F.col("__chunk") + F.when(past, stride).otherwise(0))
+    return df.drop("__cuts")
 
 
 def running_total(
@@ -74,10 +77,13 @@ def running_total(
     measure: str,
     by: Sequence[str] = (),
     out: str = "running",
-    total: str = "total",
+    total: str | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
-    """``df`` with the sum of ``measure`` up to each row, and over its group.
+    """``df`` with the sum of ``measure`` up to each row.
+
+    Adds column ``out``, and ``total`` with the sum over the whole group if that
+    is given a name.
 
     ``df`` must hold one row per (``by``, ``order``): reduce it first.  Then no
     two rows tie, so every chunk can be cut to size whatever the data are.
@@ -86,17 +92,12 @@ def running_total(
     chunks = chunks or default_chunks(df)
     columns = df.columns
     full_order = [*[(c, True) for c in by], *order]
-    key = F.struct(*[F.col(c).alias(c) for c, _ in full_order])
 
     # An explicit shuffle, so that the two uses below read the same rows from
     # it: chunk totals and running sums then agree even if the measure is a
     # floating sum that another evaluation would round differently.
-    cut = (
-        df.withColumn("__cuts", _cut_points(df, full_order, chunks).scalar())
-        .withColumn("__chunk", _chunk_of(key, F.col("__cuts"), full_order, chunks))
-        .select(*columns, "__chunk")
-        .repartition("__chunk", *by)
-    )
+    cuts = _cut_points(df, full_order, chunks).scalar()
+    cut = _with_chunk(df, cuts, full_order, chunks).repartition("__chunk", *by)
 
     pieces = (
         cut.groupBy("__chunk", *by)
@@ -125,8 +126,7 @@ def running_total(
     sum_type = cut.select(F.sum(measure).alias("s")).schema["s"].dataType
     zero = F.lit(0).cast(sum_type)
     here = F.sum(measure).over(local.orderBy(*sort_columns(order)).rowsBetween(W.unboundedPreceding, 0))
-    return cut.join(F.broadcast(spans), cond, "left").select(
-        *columns,
-        (F.coalesce("__before", zero) + F.coalesce(here, zero)).cast(sum_type).alias(out),
-        F.coalesce("__all", F.sum(measure).over(local), zero).alias(total),
-    )
+    added = [(F.coalesce("__before", zero) + F.coalesce(here, zero)).cast(sum_type).alias(out)]
+    if total:
+        added.append(F.coalesce("__all", F.sum(measure).over(local), zero).alias(total))
+    return cut.join(F.broadcast(spans), cond, "left").select(*columns, *added)

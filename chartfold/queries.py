@@ -27,10 +27,14 @@ def query(sql: str | None):
     return register
 
 
-def _revenue():
-    """Exact: decimals of the price and of what the discount leaves of it."""
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    return price * (1 - F.col("l_discount").cast("decimal(4,2)"))
+def _hundredths(column: str):
+    """A money or percentage column of two decimals, as a whole number."""
+    return F.rint(F.col(column) * 100).cast("bigint")
+
+
+def _revenue() -> cf.Measure:
+    units = _hundredths("l_extendedprice") * (100 - _hundredths("l_discount"))
+    return cf.exact_total("revenue", units, scale=4)
 
 
 SQL_REVENUE = (
@@ -64,7 +68,7 @@ def _daily_events(spark: SparkSession, d: str, by=()) -> DataFrame:
 def grouped_totals(spark, d):
     return cf.grouped_totals(
         cf.load(spark, d, "lineitem"), "r_name",
-        [cf.count("items"), cf.total("revenue", _revenue())],
+        [cf.count("items"), _revenue()],
         [
             cf.Lookup(cf.load(spark, d, "orders"), "l_orderkey", "o_orderkey"),
             cf.Lookup(cf.load(spark, d, "customer"), "o_custkey", "c_custkey"),
@@ -86,7 +90,7 @@ def grouped_totals(spark, d):
 def hierarchy(spark, d):
     return cf.hierarchy(
         cf.load(spark, d, "customer"), ["r_name", "n_name"],
-        [cf.count("customers"), cf.total("balance", F.col("c_acctbal").cast("decimal(12,2)"))],
+        [cf.count("customers"), cf.exact_total("balance", _hundredths("c_acctbal"), 2)],
         _places(spark, d),
     ).withColumn("balance", F.round(F.col("balance").cast("double"), 2))
 
@@ -102,7 +106,7 @@ def hierarchy(spark, d):
 def bucket_series(spark, d):
     return cf.bucket_series(
         cf.load(spark, d, "orders"), "o_orderdate", "month",
-        [cf.count("orders"), cf.total("amount", F.col("o_totalprice").cast("decimal(12,2)"))],
+        [cf.count("orders"), cf.exact_total("amount", _hundredths("o_totalprice"), 2)],
         out="month",
     ).withColumn("amount", F.round(F.col("amount").cast("double"), 2))
 
