@@ -8,8 +8,9 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chartfold.functions.keys import names, row_hash, sort_columns
+from chartfold.functions.keys import names, row_hash
 from chartfold.functions.measures import Measure, count, finals, partials
 from chartfold.functions.timebuckets import (
     SUB_DAY,
@@ -151,14 +152,21 @@ def moving_avg(
     """Mean of the last ``n`` rows up to each row: a smoothed line.
 
     ``series`` holds one row per (``by``, ``order``), as the other series
-    operators return it.  A row's place in its group comes from a distributed
-    running count; groups are then cut into blocks of places, and the last
-    ``n - 1`` rows of a block are copied to the next one.  So a long series is
-    smoothed by many tasks, with the same result as one window over all of it.
+    operators return it.  If ``order`` is a date, a group has at most one row
+    per day of the calendar, and a plain window per group will do.  Otherwise
+    a row's place in its group comes from a distributed running count; groups
+    are cut into blocks of places, and the last ``n - 1`` rows of a block are
+    copied to the next one.  So a long series is smoothed by many tasks, with
+    the same result as one window over all of it.
     """
     if n < 1:
         raise ValueError(f"n must be at least 1, got {n}")
     by, columns, size = names(by), series.columns, max(n, block)
+    if chunks is None and isinstance(series.schema[order].dataType, T.DateType):
+        chunks = 1
+    if chunks == 1:
+        group = W.partitionBy(*by).orderBy(order)
+        return series.select(*columns, F.avg(value).over(group.rowsBetween(-(n - 1), 0)).alias(out))
     placed = running_total(
         series.withColumn("__one", F.lit(1)), [(order, True)], "__one", by,
         out="__place", chunks=chunks,
@@ -168,7 +176,7 @@ def moving_avg(
     blocks = placed.withColumn("__block", F.floor(index / size)).withColumn(
         "__copy", F.explode(F.when(is_tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     ).withColumn("__block", F.col("__block") + F.col("__copy"))
-    frame = W.partitionBy("__block", *by).orderBy(*sort_columns([("__place", True)]))
+    frame = W.partitionBy("__block", *by).orderBy("__place")
     return (
         blocks.withColumn(out, F.avg(value).over(frame.rowsBetween(-(n - 1), 0)))
         .filter(F.col("__copy") == 0)

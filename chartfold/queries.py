@@ -183,6 +183,28 @@ def moving_avg_by_priority(spark, d):
     )
 
 
+@query("""
+    WITH ends AS (SELECT min(date_trunc('hour', ts)) AS a, max(date_trunc('hour', ts)) AS b FROM events),
+    hours AS (SELECT unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS bucket FROM ends),
+    types AS (SELECT DISTINCT event_type FROM events),
+    hourly AS (SELECT event_type, date_trunc('hour', ts) AS bucket, count(*) AS n FROM events GROUP BY 1, 2),
+    dense AS (
+        SELECT types.event_type, hours.bucket, CAST(coalesce(n, 0) AS BIGINT) AS n
+        FROM hours CROSS JOIN types
+        LEFT JOIN hourly ON hourly.bucket = hours.bucket AND hourly.event_type = types.event_type
+    )
+    SELECT event_type, bucket, n,
+           round(avg(n) OVER (PARTITION BY event_type ORDER BY bucket
+                              ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 4) AS moving_avg
+    FROM dense
+""")
+def moving_avg_hourly(spark, d):
+    hourly = cf.dense_series(cf.load(spark, d, "events"), "ts", "hour", "event_type")
+    return cf.moving_avg(hourly, "bucket", "n", 24, "event_type").withColumn(
+        "moving_avg", F.round("moving_avg", 4)
+    )
+
+
 @query("""
     SELECT CAST(ts AS DATE) AS day, arg_min(value, ts) AS open, max(value) AS high,
            min(value) AS low, arg_max(value, ts) AS close, count(*) AS n

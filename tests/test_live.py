@@ -1,0 +1,140 @@
+"""Streams: equal to the batch form, late rows, restart, sinks."""
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+import chartfold as cf
+
+
+@pytest.fixture
+def folder(tmp_path):
+    """Drops event files one by one into a stream's source folder."""
+    (tmp_path / "in").mkdir()
+
+    class Folder:
+        source, out, state = (str(tmp_path / p) for p in ("in", "out", "state"))
+
+        def __init__(self):
+            self.files = 0
+
+        def drop(self, df):
+            self.files += 1
+            df.coalesce(1).write.parquet(f"{tmp_path}/staged{self.files}")
+            part = next((tmp_path / f"staged{self.files}").glob("part-*.parquet"))
+            part.rename(f"{self.source}/events-{self.files}.parquet")
+
+        def stream(self, spark, **options):
+            return cf.load_stream(spark, self.source, glob="events-*.parquet", **options)
+
+    return Folder()
+
+
+@pytest.fixture(scope="module")
+def events(spark, sf):
+    return cf.load(spark, sf, "events")
+
+
+def days(events, first, last):
+    return events.filter(F.dayofmonth("ts").between(first, last))
+
+
+def same_rows(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("windows", [
+    {"window": "1 day"}, {"window": "1 day", "slide": "12 hours"}, {"window": "45 minutes"},
+], ids=str)
+def test_upsert_equals_batch(spark, folder, events, windows):
+    kinds = dict(by="event_type", measures=[cf.count(), cf.mean("m", F.col("value").cast("int"))])
+    for first, last in ((1, 10), (11, 20), (21, 31)):
+        folder.drop(days(events, first, last))
+    live = cf.live_series(folder.stream(spark, files_per_trigger=1), "ts", **windows, **kinds)
+    cf.upsert_series(live, folder.out, folder.state, available_now=True).awaitTermination()
+    got = cf.latest_series(spark, folder.out, live.schema, "event_type")
+    batch = cf.live_series(events, "ts", **windows, **kinds)
+    assert got.columns == batch.columns
+    assert same_rows(got, batch)
+
+
+@pytest.mark.parametrize("windows", [
+    {"window": "1 day", "by": "event_type"}, {"window": None, "session_gap": "30 minutes", "by": "user_id"},
+], ids=["window", "session"])
+def test_append_writes_each_closed_window_once(spark, folder, events, windows):
+    for first, last in ((1, 10), (11, 20), (21, 31)):
+        folder.drop(days(events, first, last))
+    live = cf.live_series(folder.stream(spark, files_per_trigger=1), "ts", watermark="1 hour", **windows)
+    cf.append_series(live, folder.out, folder.state, available_now=True).awaitTermination()
+    got = spark.read.schema(live.schema).parquet(folder.out)
+    closed = events.agg(F.max("ts")).first()[0].replace(microsecond=0) .isoformat(sep=" ")
+    batch = cf.live_series(events, "ts", **windows).filter(
+        F.col("window_end") <= F.lit(closed).cast("timestamp_ntz") - F.expr("INTERVAL 1 HOUR")
+    )
+    assert same_rows(got, batch)
+
+
+def test_restart_goes_on_where_it_stopped(spark, folder, events):
+    for first, last in ((1, 10), (11, 20), (21, 31)):
+        folder.drop(days(events, first, last))
+        live = cf.live_series(folder.stream(spark), "ts", "1 day", "event_type")
+        # a new query on the same checkpoint, as after a lost driver
+        cf.append_series(live, folder.out, folder.state, available_now=True).awaitTermination()
+    got = spark.read.schema(live.schema).parquet(folder.out)
+    batch = cf.live_series(events, "ts", "1 day", "event_type").filter("window_end < '2024-01-31'")
+    assert same_rows(got, batch)
+
+
+def test_late_rows_are_dropped_once_the_watermark_has_moved(spark, folder, events):
+    # the watermark of a batch holds from the next one on, hence three files
+    for first, last in ((20, 22), (23, 25), (10, 11)):
+        folder.drop(days(events, first, last))
+    live = cf.live_series(folder.stream(spark, files_per_trigger=1), "ts", "1 day", watermark="1 hour")
+    cf.upsert_series(live, folder.out, folder.state, available_now=True).awaitTermination()
+    got = cf.latest_series(spark, folder.out, live.schema)
+    batch = cf.live_series(days(events, 20, 25), "ts", "1 day")
+    assert same_rows(got, batch)
+
+
+def test_rows_within_the_watermark_are_counted(spark, folder, events):
+    for first, last in ((20, 21), (23, 24), (22, 22)):
+        folder.drop(days(events, first, last))
+    live = cf.live_series(folder.stream(spark, files_per_trigger=1), "ts", "1 day", watermark="5 days")
+    cf.upsert_series(live, folder.out, folder.state, available_now=True).awaitTermination()
+    got = cf.latest_series(spark, folder.out, live.schema)
+    assert same_rows(got, cf.live_series(days(events, 20, 24), "ts", "1 day"))
+
+
+def test_retried_batch_replaces_its_version(spark, folder, events):
+    folder.drop(days(events, 1, 5))
+    live = cf.live_series(folder.stream(spark), "ts", "1 day")
+    for state in ("a", "b"):  # the second run repeats batch 0 into the same sink
+        cf.upsert_series(live, folder.out, f"{folder.state}-{state}", available_now=True).awaitTermination()
+    got = cf.latest_series(spark, folder.out, live.schema)
+    assert same_rows(got, cf.live_series(days(events, 1, 5), "ts", "1 day"))
+
+
+def test_zoned_times_stay_zoned(spark):
+    df = spark.createDataFrame([(datetime(2024, 1, 1, 10), 1), (datetime(2024, 1, 1, 11), 2)], "at timestamp, v int")
+    got = cf.live_series(df, "at", "2 hours", measures=[cf.total("t", F.col("v"))])
+    assert dict(got.dtypes)["window_start"] == "timestamp"
+    assert [r.t for r in got.collect()] == [3]
+
+
+def test_sessions_merge_across_rows_of_one_user(spark):
+    rows = [(1, "10:00"), (1, "10:29"), (1, "10:59"), (2, "10:00"), (2, "10:20"), (1, "10:45")]
+    df = spark.createDataFrame(rows, "u int, s string").select(
+        "u", F.concat(F.lit("2024-01-01 "), "s").cast("timestamp_ntz").alias("ts")
+    )
+    got = cf.live_series(df, "ts", None, "u", session_gap="30 minutes").collect()
+    assert sorted((r.u, r.window_start.strftime("%H:%M"), r.window_end.strftime("%H:%M"), r.n) for r in got) == [
+        (1, "10:00", "11:29", 4), (2, "10:00", "10:50", 2),
+    ]
+
+
+def test_arguments(events):
+    for bad in ({"window": None}, {"window": "1 day", "session_gap": "1 hour"},
+                {"window": None, "session_gap": "1 hour", "slide": "1 hour"}):
+        with pytest.raises(ValueError):
+            cf.live_series(events, "ts", **bad)

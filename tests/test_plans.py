@@ -1,0 +1,116 @@
+"""What the physical plans must and must not hold."""
+
+import re
+
+import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+import chartfold as cf
+from __spark_entry__ import queries
+from chartfold.plans.running import _cut_points, _with_chunk
+from chartfold.sources.scratch import shared_dir
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+BATCH = sorted(n for n in queries() if not n.startswith("live_series"))
+
+
+@pytest.mark.parametrize("name", BATCH)
+def test_no_cross_join_and_no_python(spark, sf, name):
+    text = plan(queries()[name](spark, sf))
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas", "ScanExistingRDD"):
+        assert node not in text, node
+
+
+@pytest.mark.parametrize("name", BATCH)
+def test_scans_read_no_unused_column(spark, sf, name):
+    widest = {"lineitem": 11, "orders": 6, "customer": 5, "events": 6, "part": 6}
+    for path, schema in re.findall(r"/(\w+)\.parquet\].*?ReadSchema: struct<(.*?)>", plan(queries()[name](spark, sf))):
+        if path in widest:
+            assert len(schema.split(",")) <= widest[path] / 2 + 1, (path, schema)
+
+
+def test_series_range_reaches_the_scan(spark, sf):
+    text = plan(cf.dense_series(cf.load(spark, sf, "events"), "ts", "day", "event_type", "2024-01-05", "2024-01-07"))
+    assert "GreaterThanOrEqual(ts,2024-01-05T00:00)" in text
+    assert "LessThan(ts,2024-01-08T00:00)" in text
+
+
+def test_histogram_bounds_reach_the_scan(spark, sf):
+    text = plan(cf.histogram(cf.load(spark, sf, "events"), "value", 10, 0, 100))
+    assert "GreaterThanOrEqual(value,0.0)" in text and "LessThanOrEqual(value,100.0)" in text
+
+
+def test_grouping_aggregates_before_every_join(spark, sf):
+    """No join reads fact rows: each sits on an aggregate over its key."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(queries()["grouped_totals"](spark, sf))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("SortMergeJoin") == 4
+    assert text.count("HashAggregate") == 10
+    for key in ("l_orderkey", "o_custkey", "c_nationkey", "n_regionkey"):
+        assert re.search(rf"HashAggregate\(keys=\[{key}#\d+L?\], functions=\[partial", text), key
+    # the shuffle of an aggregate serves its join too: one per key and side, one for the result
+    assert text.count("Exchange hashpartitioning") == 9
+
+
+def test_rollup_expands_leaf_totals_only(spark, sf):
+    text = plan(cf.hierarchy(cf.load(spark, sf, "part"), ["p_brand", "p_type"]))
+    below = text[text.index("Expand"):]
+    assert "Exchange hashpartitioning(p_brand" in below, "rows are expanded before they are aggregated"
+
+
+def test_fast_ohlc_hashes(spark, sf):
+    text = plan(cf.ohlc(cf.load(spark, sf, "events"), "ts", "value", "day", distinct_times=True))
+    assert "SortAggregate" not in text
+
+
+def test_chunk_search_is_generated_code(spark):
+    df = spark.range(1000).select(F.col("id").alias("v")).repartition(4)
+    cuts = _cut_points(df, [("v", True)], 64).scalar()
+    chunked = _with_chunk(df, cuts, [("v", True)], 64)
+    assert chunked.filter("__chunk > 3").count() > 0
+    assert "lambda" not in plan(chunked.select("__chunk")).split("Subquery")[0]
+
+
+@pytest.mark.parametrize("order", [[("g", True), ("v", True)], [("v", False), ("g", True)]])
+def test_a_hot_group_is_cut_into_even_chunks(spark, order):
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id"))).alias("g"),
+        F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(1)).alias("v"),
+    )
+    chunked = _with_chunk(rows, _cut_points(rows, order, 32).scalar(), order, 32)
+    sizes = [r["count"] for r in chunked.groupBy("__chunk").count().collect()]
+    assert sum(sizes) == 30_000 and len(sizes) == 32
+    assert max(sizes) < 3 * 30_000 / 32
+
+
+def test_only_groups_on_a_cut_are_broadcast(spark):
+    """The offsets a running total broadcasts do not grow with the number of groups."""
+    df = spark.range(20_000).select((F.col("id") % 5000).alias("g"), F.col("id").alias("v"), F.lit(1).alias("m"))
+    order = [("g", True), ("v", True)]
+    chunked = _with_chunk(df, _cut_points(df, order, 16).scalar(), order, 16)
+    pieces = chunked.groupBy("g", "__chunk").count()
+    spans = pieces.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("g"))).filter("k > 1")
+    assert spans.count() <= 2 * 15
+
+
+def test_shuffles_are_shared(spark, sf):
+    """The three readers of the value counts share one shuffle of the table."""
+    df = cf.ecdf(cf.load(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag")
+    df.collect()
+    text = plan(df)
+    assert text.count("Exchange hashpartitioning(l_returnflag") > 1
+    # size, cut points and the main branch read the counts; totals read the chunks
+    assert text.count("ReusedExchange") >= 3
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert shared_dir(spark, "x") != shared_dir(spark, "x")
