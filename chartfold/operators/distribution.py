@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartfold.functions.keys import all_of, names, present, same
-from chartfold.plans.running import running_total
+from chartfold.plans.running import ROWS_PER_MARK, in_chunks, running_total
+
+QUARTILES = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
 
 
 def _value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -20,6 +22,7 @@ def ecdf(
     value: str,
     by: str | Sequence[str] = (),
     chunks: int | None = None,
+    rows_per_mark: int = ROWS_PER_MARK,
 ) -> DataFrame:
     """Share of each group's rows at or below every distinct value.
 
@@ -28,7 +31,7 @@ def ecdf(
     by = names(by)
     steps = running_total(
         _value_counts(df, value, by), [(value, True)], "n", by,
-        out="__below", total="__rows", chunks=chunks,
+        out="__below", total="__rows", chunks=chunks, rows_per_mark=rows_per_mark,
     )
     share = F.col("__below").cast("double") / F.col("__rows").cast("double")
     return steps.select(*by, value, "n", share.alias("cume_dist"))
@@ -40,52 +43,63 @@ def box_summary(
     by: str | Sequence[str] = (),
     whisker: float = 1.5,
     chunks: int | None = None,
+    rows_per_mark: int = ROWS_PER_MARK,
 ) -> DataFrame:
     """Quartiles, whiskers and outlier count per group: a box plot.
 
     Quartiles interpolate linearly.  Whiskers are the extreme *observed* values
     within ``whisker`` times the interquartile range of the box.  Quartiles are
-    read off a running count over distinct values, so that no task ever holds
-    the values of a whole group.
+    read off a running count over distinct values, so no task ever holds the
+    values of a whole group unless they fit one chunk of the count.
     """
     by = names(by)
-    counts = _value_counts(df, value, by)
-    ranked = running_total(counts, [(value, True)], "n", by, out="__upto", total="__rows", chunks=chunks)
+    pieces = in_chunks(_value_counts(df, value, by), [(value, True)], "n", by, chunks, rows_per_mark)
     v = F.col(value)
 
     def at(index):
-        """The value of 0-based rank ``index`` in its group."""
+        """The value of 0-based rank ``index``, in the chunk that holds it."""
         return F.max(F.when((F.col("__upto") - F.col("n") <= index) & (index < F.col("__upto")), v))
 
-    parts = []
-    for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+    ends = {}
+    for q, p in QUARTILES:
         rank = (F.col("__rows") - 1) * F.lit(p)
-        parts += [at(F.floor(rank)).alias(f"__{q}_lo"), at(F.ceil(rank)).alias(f"__{q}_hi"),
-                  F.max(rank - F.floor(rank)).alias(f"__{q}_part")]
-
-    def between(q):
-        lo, hi = F.col(f"__{q}_lo").cast("double"), F.col(f"__{q}_hi").cast("double")
-        return (lo + F.col(f"__{q}_part") * (hi - lo)).alias(q)
-
-    boxes = ranked.groupBy(*by).agg(*parts).select(
-        *[F.col(c).alias(f"__by_{c}") for c in by],
-        F.struct(between("q1"), between("median"), between("q3")).alias("__box"),
+        ends[f"{q}_lo"], ends[f"{q}_hi"] = at(F.floor(rank)), at(F.ceil(rank))
+
+    # A group inside one chunk finds its quartiles there.  The few that cross a
+    # cut point, at most one per cut, gather theirs from their chunks; so this
+    # broadcast is bounded by the number of chunks, not by the data.
+    crossing = (
+        pieces.running("__upto", "__rows", crossing=True)
+        .groupBy(*by)
+        .agg(*[e.alias(f"__far_{name}") for name, e in ends.items()])
+        .select(*[F.col(c).alias(f"__by_{c}") for c in by], *[F.col(f"__far_{name}") for name in ends])
+    )
+    found = pieces.running("__upto", "__rows").withColumns(
+        {f"__near_{name}": e.over(pieces.piece) for name, e in ends.items()}
     )
     if by:
-        # whichever side turns out small is broadcast at run time by its
-        # measured size; otherwise a hot group is split by the skew join
-        fenced = counts.join(boxes, all_of([same(F.col(c), F.col(f"__by_{c}")) for c in by]))
+        found = found.join(
+            F.broadcast(crossing), all_of([same(F.col(c), F.col(f"__by_{c}")) for c in by]), "left"
+        )
     else:
-        fenced = counts.withColumn("__box", boxes.scalar())
-    q1, median, q3 = (F.col("__box").getField(q) for q in ("q1", "median", "q3"))
+        far = crossing.select(F.struct("*")).scalar()
+        found = found.withColumns({f"__far_{name}": far.getField(f"__far_{name}") for name in ends})
+
+    def quartile(q, p):
+        lo, hi = (F.coalesce(f"__far_{q}_{end}", f"__near_{q}_{end}").cast("double") for end in ("lo", "hi"))
+        rank = (F.col("__rows") - 1) * F.lit(p)
+        return lo + (rank - F.floor(rank)) * (hi - lo)
+
+    boxed = found.withColumns({f"__{q}": quartile(q, p) for q, p in QUARTILES})
+    q1, q3 = F.col("__q1"), F.col("__q3")
     reach = (q3 - q1) * F.lit(whisker)
     inside = (v >= q1 - reach) & (v <= q3 + reach)
-    return fenced.groupBy(*by).agg(
+    return boxed.groupBy(*by).agg(
         F.sum("n").alias("n"),
         F.min(v).alias("min"),
         F.min(F.when(inside, v)).alias("whisker_lo"),
         F.max(q1).alias("q1"),
-        F.max(median).alias("median"),
+        F.max("__median").alias("median"),
         F.max(q3).alias("q3"),
         F.max(F.when(inside, v)).alias("whisker_hi"),
         F.max(v).alias("max"),

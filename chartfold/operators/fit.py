@@ -12,6 +12,8 @@ from chartfold.functions.keys import names
 
 
 def _correlation(a: str, b: str) -> Column:
+    if a == b:
+        return F.var_pop(a) / F.nullif(F.var_pop(a), F.lit(0.0))
     # corr() divides by zero on a constant column, which ANSI mode makes an error
     spread = F.sqrt(F.regr_sxx(F.col(a), F.col(b))) * F.sqrt(F.regr_syy(F.col(a), F.col(b)))
     return F.regr_sxy(F.col(a), F.col(b)) / F.nullif(spread, F.lit(0.0))

@@ -20,7 +20,7 @@ from chartfold.functions.timebuckets import (
     literal,
     step,
 )
-from chartfold.plans.running import running_total
+from chartfold.plans.running import ROWS_PER_MARK, running_total
 
 Moment = str | date | datetime
 
@@ -148,6 +148,7 @@ def moving_avg(
     out: str = "moving_avg",
     block: int = 1 << 16,
     chunks: int | None = None,
+    rows_per_mark: int = ROWS_PER_MARK,
 ) -> DataFrame:
     """Mean of the last ``n`` rows up to each row: a smoothed line.
 
@@ -169,7 +170,7 @@ def moving_avg(
         return series.select(*columns, F.avg(value).over(group.rowsBetween(-(n - 1), 0)).alias(out))
     placed = running_total(
         series.withColumn("__one", F.lit(1)), [(order, True)], "__one", by,
-        out="__place", chunks=chunks,
+        out="__place", chunks=chunks, rows_per_mark=rows_per_mark,
     )
     index = F.col("__place") - 1
     is_tail = index % size >= size - (n - 1)

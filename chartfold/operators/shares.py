@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chartfold.functions.keys import all_of, names, same, sort_columns
 from chartfold.functions.measures import Measure, count
 from chartfold.plans.eager import Lookup, totals
-from chartfold.plans.running import running_total
+from chartfold.plans.running import ROWS_PER_MARK, running_total
 
 
 def _single(measure: Measure) -> Measure:
@@ -26,6 +26,7 @@ def cumulative(
     measure: Measure = count(),
     lookups: Sequence[Lookup] = (),
     chunks: int | None = None,
+    rows_per_mark: int = ROWS_PER_MARK,
 ) -> DataFrame:
     """Totals with their running sum and share, largest first: a Pareto chart.
 
@@ -35,7 +36,9 @@ def cumulative(
     by, name = names(by), _single(measure).name
     reduced = totals(df, by, [measure], lookups)
     order = [(name, False), *[(c, True) for c in by]]
-    ranked = running_total(reduced, order, name, out="cumulative", total="__all", chunks=chunks)
+    ranked = running_total(
+        reduced, order, name, out="cumulative", total="__all", chunks=chunks, rows_per_mark=rows_per_mark
+    )
     whole = F.nullif(F.col("__all").cast("double"), F.lit(0.0))
     return ranked.select(
         *by, name, "cumulative", (F.col("cumulative").cast("double") / whole).alias("cumulative_share")

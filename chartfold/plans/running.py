@@ -2,13 +2,14 @@
 
 A window without ``partitionBy`` moves its whole input into one task, and a
 window partitioned by a hot group moves that group into one.  Here the ordered
-rows are cut into contiguous chunks of about equal size.  Each chunk is summed
-up on its own, and the totals of the chunks before it are added.
+rows are cut into contiguous chunks.  Each chunk is summed up on its own, and
+the totals of the chunks before it are added.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,27 +24,24 @@ from chartfold.functions.keys import (
     sort_columns,
 )
 
-SAMPLE_PER_CHUNK = 16
+ROWS_PER_MARK = 1 << 18
+"""About how many rows lie between two possible cut points."""
 
 
-def default_chunks(df: DataFrame) -> int:
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _cut_points(df: DataFrame, order: Sequence[SortKey], chunks: int, rows_per_mark: int) -> DataFrame:
+    """One row: up to ``chunks - 1`` sort keys that cut ``df`` evenly.
 
-
-def _cut_points(df: DataFrame, order: Sequence[SortKey], chunks: int) -> DataFrame:
-    """One row: ``chunks - 1`` sort keys that cut ``df`` into even chunks.
-
-    The keys come from rows picked by hash, about ``SAMPLE_PER_CHUNK`` a chunk.
-    They steer the balance of the work only; every row is assigned exactly.
+    The keys come from rows picked by hash, one in ``rows_per_mark``: fewer than
+    that many rows need no cut, and a million million rows leave a few million
+    short keys to sort.  They steer the balance of the work only; every row is
+    assigned exactly.
     """
-    size = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.max(row_hash(df)).alias("h"))).scalar()
-    rate = F.greatest(F.lit(1).cast("bigint"), F.ceil(size.getField("n") / (chunks * SAMPLE_PER_CHUNK)))
     key = F.struct(*[F.col(c).alias(c) for c, _ in order])
-    picked = df.filter(F.pmod(row_hash(df), rate) == 0).agg(F.collect_list(key).alias("keys"))
+    marks = df.filter(F.pmod(row_hash(df), F.lit(rows_per_mark)) == 0).agg(F.collect_list(key).alias("keys"))
     if all(asc for _, asc in order):
-        ranked = picked.select(F.array_sort("keys").alias("keys"))
+        ranked = marks.select(F.array_sort("keys").alias("keys"))
     else:
-        ranked = picked.select(F.array_sort(
+        ranked = marks.select(F.array_sort(
             "keys",
             lambda a, b: F.when(precedes(a, b, order), -1).when(precedes(b, a, order), 1).otherwise(0),
         ).alias("keys"))
@@ -71,72 +69,112 @@ def _with_chunk(df: DataFrame, cuts: Column, order: Sequence[SortKey], chunks: i
     return df.drop("__cuts")
 
 
-def running_total(
+@dataclass(frozen=True)
+class Chunked:
+    """Rows of groups in an order, cut into chunks; see :func:`in_chunks`."""
+
+    rows: DataFrame
+    columns: Sequence[str]
+    order: Sequence[SortKey]
+    by: Sequence[str]
+    measure: str
+    spans: DataFrame | None
+
+    @property
+    def piece(self):
+        """Window over the rows of one group in one chunk."""
+        return W.partitionBy("__chunk", *self.by)
+
+    def running(self, out: str, total: str | None = None, crossing: bool = False) -> DataFrame:
+        """Running sum ``out`` and group sum ``total``, partitioned by piece.
+
+        With ``crossing``, only the groups that cross a cut point.
+        """
+        rows, before, whole = self.rows, [], []
+        if self.spans is not None:
+            cond = all_of([
+                F.col("__chunk") == F.col("__c"),
+                *[same(F.col(c), F.col(f"__by_{c}")) for c in self.by],
+            ])
+            rows = rows.join(F.broadcast(self.spans), cond, "inner" if crossing else "left")
+            before, whole = [F.col("__before")], [F.col("__all")]
+        elif crossing:
+            rows = rows.limit(0)
+        sum_type = self.rows.select(F.sum(self.measure).alias("s")).schema["s"].dataType
+        zero = F.lit(0).cast(sum_type)
+        here = F.sum(self.measure).over(
+            self.piece.orderBy(*sort_columns(self.order)).rowsBetween(W.unboundedPreceding, 0)
+        )
+        upto = F.coalesce(here, zero)
+        for b in before:
+            upto = (F.coalesce(b, zero) + upto).cast(sum_type)
+        added = [upto.alias(out)]
+        if total:
+            added.append(F.coalesce(*whole, F.sum(self.measure).over(self.piece), zero).alias(total))
+        return rows.select(*self.columns, "__chunk", *added)
+
+
+def in_chunks(
     df: DataFrame,
     order: Sequence[SortKey],
     measure: str,
     by: Sequence[str] = (),
-    out: str = "running",
-    total: str | None = None,
     chunks: int | None = None,
-) -> DataFrame:
-    """``df`` with the sum of ``measure`` up to each row.
-
-    Adds column ``out``, and ``total`` with the sum over the whole group if that
-    is given a name.
+    rows_per_mark: int = ROWS_PER_MARK,
+) -> Chunked:
+    """Cuts ``df`` into at most ``chunks`` chunks of contiguous (``by``, ``order``).
 
     ``df`` must hold one row per (``by``, ``order``): reduce it first.  Then no
     two rows tie, so every chunk can be cut to size whatever the data are.
-    With ``chunks=1`` each group is one plain window: right for groups that
-    are known to be short, where it saves the jobs that find the cut points.
+    ``chunks`` is the number of shuffle partitions unless given.  With
+    ``chunks=1`` each group is one plain window: right for groups that are
+    known to be short, where it saves the jobs that find the cut points.
     """
-    by = list(by)
-    chunks = chunks or default_chunks(df)
-    columns = df.columns
-    sum_type = df.select(F.sum(measure).alias("s")).schema["s"].dataType
-    zero = F.lit(0).cast(sum_type)
-    upto = sort_columns(order)
+    by, columns = list(by), df.columns
+    if chunks is None:
+        chunks = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if chunks == 1:
-        group = W.partitionBy(*by)
-        here = F.sum(measure).over(group.orderBy(*upto).rowsBetween(W.unboundedPreceding, 0))
-        added = [F.coalesce(here, zero).alias(out)]
-        if total:
-            added.append(F.coalesce(F.sum(measure).over(group), zero).alias(total))
-        return df.select(*columns, *added)
-    full_order = [*[(c, True) for c in by], *order]
+        return Chunked(df.withColumn("__chunk", F.lit(0)), columns, order, by, measure, None)
 
-    # An explicit shuffle, so that the two uses below read the same rows from
-    # it: chunk totals and running sums then agree even if the measure is a
+    # An explicit shuffle, so that all uses below read the same rows from it:
+    # chunk totals and running sums then agree even if the measure is a
     # floating sum that another evaluation would round differently.
-    cuts = _cut_points(df, full_order, chunks).scalar()
-    cut = _with_chunk(df, cuts, full_order, chunks).repartition("__chunk", *by)
+    full_order = [*[(c, True) for c in by], *order]
+    cuts = _cut_points(df, full_order, chunks, rows_per_mark).scalar()
+    rows = _with_chunk(df, cuts, full_order, chunks).repartition("__chunk", *by)
 
     pieces = (
-        cut.groupBy("__chunk", *by)
-        .agg(F.sum(measure).alias("__sum"), F.max(row_hash(cut)).alias("__hash"))
+        rows.groupBy("__chunk", *by)
+        .agg(F.sum(measure).alias("__sum"), F.max(row_hash(rows)).alias("__hash"))
         .filter(F.col("__hash").isNotNull())
     )
     group = W.partitionBy(*by)
-    spans = (
-        pieces.select(
-            F.col("__chunk").alias("__c"),
-            *[F.col(c).alias(f"__by_{c}") for c in by],
-            F.sum("__sum").over(group.orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)).alias("__before"),
-            F.sum("__sum").over(group).alias("__all"),
-            F.count(F.lit(1)).over(group).alias("__pieces"),
-        )
-        .filter(F.col("__pieces") > 1)
-    )
-    # Only groups that cross a cut point are left.  Chunks are contiguous in
+    earlier = group.orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    # Only groups that cross a cut point are kept.  Chunks are contiguous in
     # (by, order), so a cut point splits at most one group: at most
     # 2 * (chunks - 1) rows, whatever the size of the data.
-    cond = all_of([
-        F.col("__chunk") == F.col("__c"),
-        *[same(F.col(c), F.col(f"__by_{c}")) for c in by],
-    ])
-    local = W.partitionBy("__chunk", *by)
-    here = F.sum(measure).over(local.orderBy(*upto).rowsBetween(W.unboundedPreceding, 0))
-    added = [(F.coalesce("__before", zero) + F.coalesce(here, zero)).cast(sum_type).alias(out)]
-    if total:
-        added.append(F.coalesce("__all", F.sum(measure).over(local), zero).alias(total))
-    return cut.join(F.broadcast(spans), cond, "left").select(*columns, *added)
+    spans = pieces.select(
+        F.col("__chunk").alias("__c"),
+        *[F.col(c).alias(f"__by_{c}") for c in by],
+        F.sum("__sum").over(earlier).alias("__before"),
+        F.sum("__sum").over(group).alias("__all"),
+        F.count(F.lit(1)).over(group).alias("__pieces"),
+    ).filter(F.col("__pieces") > 1)
+    return Chunked(rows, columns, order, by, measure, spans)
+
+
+def running_total(
+    df: DataFrame,
+    order: Sequence[SortKey],
+    measure: str,
+    by: Sequence[str] = (),
+    out: str = "running",
+    total: str | None = None,
+    chunks: int | None = None,
+    rows_per_mark: int = ROWS_PER_MARK,
+) -> DataFrame:
+    """``df`` with the sum of ``measure`` up to each row, and over its group.
+
+    ``df`` must hold one row per (``by``, ``order``); see :func:`in_chunks`.
+    """
+    return in_chunks(df, order, measure, by, chunks, rows_per_mark).running(out, total).drop("__chunk")

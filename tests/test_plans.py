@@ -73,7 +73,7 @@ def test_fast_ohlc_hashes(spark, sf):
 
 def test_chunk_search_is_generated_code(spark):
     df = spark.range(1000).select(F.col("id").alias("v")).repartition(4)
-    cuts = _cut_points(df, [("v", True)], 64).scalar()
+    cuts = _cut_points(df, [("v", True)], 64, 8).scalar()
     chunked = _with_chunk(df, cuts, [("v", True)], 64)
     assert chunked.filter("__chunk > 3").count() > 0
     assert "lambda" not in plan(chunked.select("__chunk")).split("Subquery")[0]
@@ -85,7 +85,7 @@ def test_a_hot_group_is_cut_into_even_chunks(spark, order):
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id"))).alias("g"),
         F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(1)).alias("v"),
     )
-    chunked = _with_chunk(rows, _cut_points(rows, order, 32).scalar(), order, 32)
+    chunked = _with_chunk(rows, _cut_points(rows, order, 32, 50).scalar(), order, 32)
     sizes = [r["count"] for r in chunked.groupBy("__chunk").count().collect()]
     assert sum(sizes) == 30_000 and len(sizes) == 32
     assert max(sizes) < 3 * 30_000 / 32
@@ -95,7 +95,7 @@ def test_only_groups_on_a_cut_are_broadcast(spark):
     """The offsets a running total broadcasts do not grow with the number of groups."""
     df = spark.range(20_000).select((F.col("id") % 5000).alias("g"), F.col("id").alias("v"), F.lit(1).alias("m"))
     order = [("g", True), ("v", True)]
-    chunked = _with_chunk(df, _cut_points(df, order, 16).scalar(), order, 16)
+    chunked = _with_chunk(df, _cut_points(df, order, 16, 50).scalar(), order, 16)
     pieces = chunked.groupBy("g", "__chunk").count()
     spans = pieces.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("g"))).filter("k > 1")
     assert spans.count() <= 2 * 15
@@ -107,8 +107,8 @@ def test_shuffles_are_shared(spark, sf):
     df.collect()
     text = plan(df)
     assert text.count("Exchange hashpartitioning(l_returnflag") > 1
-    # size, cut points and the main branch read the counts; totals read the chunks
-    assert text.count("ReusedExchange") >= 3
+    # cut points and rows read the same counts; chunk totals and rows the same chunks
+    assert text.count("ReusedExchange") >= 2
 
 
 def test_shared_folder_comes_from_the_session(spark):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from chartfold import running_total
 
+MARK = 2  # every other row may be a cut point, so that small tables are cut too
+
 
 def expected(rows, key, group, value):
     """{key: (running, total)} of ``rows``, which are sorted by group and order."""
@@ -34,7 +36,7 @@ def test_one_group_holds_most_rows(spark, chunks):
     rows = [("hot", v, rng.randint(-5, 50)) for v in rng.sample(range(10_000), 600)]
     rows += [(f"g{i}", v, 1) for i in range(150) for v in rng.sample(range(100), 3)]
     df = spark.createDataFrame(rows, "g string, v int, m bigint").repartition(7)
-    got = running_total(df, [("v", True)], "m", ["g"], out="r", total="t", chunks=chunks).collect()
+    got = running_total(df, [("v", True)], "m", ["g"], out="r", total="t", chunks=chunks, rows_per_mark=MARK).collect()
     want = expected(sorted(rows), lambda r: r[:2], lambda r: r[0], lambda r: r[2])
     assert {(r.g, r.v): (r.r, r.t) for r in got} == want
     assert len(got) == len(rows)
@@ -44,7 +46,7 @@ def test_descending_then_key_with_ties_and_nulls(spark):
     rng = random.Random(1)
     rows = [(f"k{i:04}", rng.choice([1, 1, 1, 2, 7, None])) for i in range(800)] + [(None, 2)]
     df = spark.createDataFrame(rows, "k string, m bigint")
-    got = running_total(df, [("m", False), ("k", True)], "m", out="r", total="t", chunks=16).collect()
+    got = running_total(df, [("m", False), ("k", True)], "m", out="r", total="t", chunks=16, rows_per_mark=MARK).collect()
     rows.sort(key=lambda r: (r[1] is None, -(r[1] or 0), (r[0] is not None, r[0] or "")))
     want = expected(rows, lambda r: r[0], lambda r: 0, lambda r: r[1])
     assert {r.k: (r.r, r.t) for r in got} == want
@@ -54,7 +56,7 @@ def test_null_group_null_order_and_nan(spark):
     nan = float("nan")
     rows = [(None, None, 1), (None, 2.0, 2), ("a", nan, 4), ("a", -1.0, 8), ("a", None, 16), ("b", 0.0, 32)]
     df = spark.createDataFrame(rows, "g string, v double, m bigint")
-    got = running_total(df, [("v", True)], "m", ["g"], out="r", chunks=5)
+    got = running_total(df, [("v", True)], "m", ["g"], out="r", chunks=5, rows_per_mark=MARK)
     assert {(r.g, r.m): r.r for r in got.collect()} == {
         (None, 1): 1, (None, 2): 3, ("a", 16): 16, ("a", 8): 24, ("a", 4): 28, ("b", 32): 32,
     }
@@ -70,7 +72,7 @@ def test_result_does_not_depend_on_chunks(spark):
         F.date_add(F.lit(date(2020, 1, 1)), F.col("id").cast("int")).alias("d"), (F.col("id") % 17).alias("m")
     )
     one = running_total(days, [("d", True)], "m", chunks=1)
-    many = running_total(days, [("d", True)], "m", chunks=61)
+    many = running_total(days, [("d", True)], "m", chunks=61, rows_per_mark=MARK)
     assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
 
 
@@ -85,7 +87,7 @@ def test_result_does_not_depend_on_chunks(spark):
 def test_any_small_table(spark, cells, chunks):
     rows = [(g, v, m) for (g, v), m in cells.items()]
     df = spark.createDataFrame(rows, "g string, v int, m bigint")
-    got = running_total(df, [("v", True)], "m", ["g"], out="r", total="t", chunks=chunks).collect()
+    got = running_total(df, [("v", True)], "m", ["g"], out="r", total="t", chunks=chunks, rows_per_mark=MARK).collect()
     rows.sort(key=lambda r: ((r[0] is not None, r[0] or ""), nulls_first(r[1])))
     want = expected(rows, lambda r: r[:2], lambda r: r[0], lambda r: r[2])
     assert {(r.g, r.v): (r.r, r.t) for r in got} == want
