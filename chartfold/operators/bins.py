@@ -33,20 +33,21 @@ def histogram(
         rows = rows.filter(F.col(value) >= F.lit(lo))
     if hi is not None:
         rows = rows.filter(F.col(value) <= F.lit(hi))
-    bounds = None
+    first = F.min(value).cast("double") if lo is None else F.lit(float(lo))
+    last = F.max(value).cast("double") if hi is None else F.lit(float(hi))
+    pad = F.when(first == last, F.lit(0.5)).otherwise(F.lit(0.0))
+    low, width = first - pad, (last - first + 2 * pad) / bins
     if lo is None or hi is None:
-        bounds = rows.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-    lo = bounds.getField("lo").cast("double") if lo is None else F.lit(float(lo))
-    hi = bounds.getField("hi").cast("double") if hi is None else F.lit(float(hi))
-    pad = F.when(lo == hi, F.lit(0.5)).otherwise(F.lit(0.0))
-    low, width = lo - pad, (hi - lo + 2 * pad) / bins
+        # one subquery that does all the arithmetic, as every mention is planned
+        axis = rows.agg(F.struct(low.alias("low"), width.alias("width"))).scalar()
+        low, width = axis.getField("low"), axis.getField("width")
 
     place = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1)).cast("int")
     counts = rows.groupBy(place.alias("__bin")).agg(F.count(F.lit(1)).alias("__n"))
     frame = (
         df.sparkSession.range(bins)
         .select(F.col("id").cast("int").alias("bin"), low.alias("__lo"), width.alias("__w"))
-        .filter(F.col("__w").isNotNull())
+        .filter(F.col("__lo").isNotNull())
     )
     return frame.join(counts, F.col("bin") == F.col("__bin"), "left").select(
         "bin",

@@ -62,8 +62,7 @@ def topk_share(
     by, name = names(by), _single(measure).name
     reduced = totals(df, by, [measure], lookups)
     best = reduced.orderBy(*sort_columns([(name, False), *[(c, True) for c in by]])).limit(k).select(
-        *[F.col(c).alias(f"__top_{c}") for c in by], F.lit(True).alias("__top"),
-        F.col(name).alias("__value"),
+        *[F.col(c).alias(f"__top_{c}") for c in by], F.lit(True).alias("__top")
     )
     # at most k rows, so the broadcast does not grow with the data
     tagged = reduced.join(

@@ -9,8 +9,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # merge sessions before the shuffle, so a busy user is not one long group
-    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # stream state outside the heap
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

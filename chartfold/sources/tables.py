@@ -32,17 +32,11 @@ def load_stream(
     spark: SparkSession,
     directory: str,
     name: str = "events",
-    glob: str | None = None,
     files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """The files of table ``name`` as an unbounded stream.
-
-    ``glob`` picks the files out of a directory that several tables share; it
-    defaults to ``name.parquet``.
-    """
-    reader = (
-        spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", glob or f"{name}.parquet")
-    )
+    """The files of table ``name``, laid out as for :func:`load`, as a stream."""
+    reader = spark.readStream.schema(SCHEMAS[name])
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(directory)
+    # a stream refuses a plain path that is a file, but not a pattern that finds one
+    return reader.parquet(f"{directory.rstrip('/')}/{name}.parque[t]")

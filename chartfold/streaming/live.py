@@ -13,6 +13,8 @@ from chartfold.functions.keys import names
 from chartfold.functions.measures import Measure, count, finals, partials
 from chartfold.functions.timebuckets import as_instant, as_wall_clock
 
+LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
 EDGES = ("window_start", "window_end")
 
 
@@ -40,6 +42,9 @@ def live_series(
     # a watermark needs an instant; NTZ times are read as UTC and given back so
     timed = stream.withColumn("__at", as_instant(F.col(ts)) if wall else F.col(ts))
     if session_gap:
+        # sessions merge before the shuffle too, so that a busy key does not
+        # send all of its rows to one task
+        stream.sparkSession.conf.set(LOCAL_SESSIONS, "true")
         slot = F.session_window("__at", session_gap)
     else:
         slot = F.window("__at", window, slide)

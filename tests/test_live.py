@@ -11,10 +11,10 @@ import chartfold as cf
 @pytest.fixture
 def folder(tmp_path):
     """Drops event files one by one into a stream's source folder."""
-    (tmp_path / "in").mkdir()
+    (tmp_path / "events.parquet").mkdir()
 
     class Folder:
-        source, out, state = (str(tmp_path / p) for p in ("in", "out", "state"))
+        source, out, state = str(tmp_path), str(tmp_path / "out"), str(tmp_path / "state")
 
         def __init__(self):
             self.files = 0
@@ -23,10 +23,10 @@ def folder(tmp_path):
             self.files += 1
             df.coalesce(1).write.parquet(f"{tmp_path}/staged{self.files}")
             part = next((tmp_path / f"staged{self.files}").glob("part-*.parquet"))
-            part.rename(f"{self.source}/events-{self.files}.parquet")
+            part.rename(tmp_path / "events.parquet" / f"{self.files}.parquet")
 
         def stream(self, spark, **options):
-            return cf.load_stream(spark, self.source, glob="events-*.parquet", **options)
+            return cf.load_stream(spark, self.source, **options)
 
     return Folder()
 
