@@ -31,24 +31,27 @@ def all_of(conds: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conds, F.lit(True)) if conds else F.lit(True)
 
 
-def precedes(left: Column, right: Column, order: Sequence[SortKey]) -> Column:
-    """Whether struct ``left`` sorts strictly before struct ``right``.
+def sort_key(df: DataFrame, order: Sequence[SortKey]) -> Column:
+    """A struct whose own ascending order is ``order``.
 
-    Nulls sort as Spark sorts them: first ascending, last descending.  The
-    fields of both structs are those of ``order``, so that the order of structs
-    itself will do if all of them ascend.
+    Structs compare field by field with nulls first, as ascending columns do.
+    A descending column, which must be a number, turns into its null flag, its
+    NaN flag and its reverse.
     """
-    if all(asc for _, asc in order):
-        return left < right
-    before = F.lit(False)
-    for name, asc in reversed(order):
-        a, b = left.getField(name), right.getField(name)
+    fields = []
+    for name, asc in order:
+        column, kind = F.col(name), df.schema[name].dataType
         if asc:
-            less = F.when(a.isNull() | b.isNull(), a.isNull() & b.isNotNull()).otherwise(a < b)
+            fields.append(column)
+        elif isinstance(kind, T.IntegralType):
+            fields += [column.isNull(), F.bitwise_not(column)]  # a minus could overflow
+        elif isinstance(kind, T.DecimalType):
+            fields += [column.isNull(), -column]
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            fields += [column.isNull(), ~F.isnan(column), -column]
         else:
-            less = F.when(a.isNull() | b.isNull(), a.isNotNull() & b.isNull()).otherwise(a > b)
-        before = less | (same(a, b) & before)
-    return before
+            raise ValueError(f"descending order needs a number, {name!r} is {kind.simpleString()}")
+    return F.struct(*[f.alias(f"k{i}") for i, f in enumerate(fields)])
 
 
 def present(df: DataFrame, *cols: str) -> DataFrame:

@@ -54,28 +54,32 @@ def box_summary(
     """
     by = names(by)
     pieces = in_chunks(_value_counts(df, value, by), [(value, True)], "n", by, chunks, rows_per_mark)
-    v = F.col(value)
+    v, number = F.col(value), F.col(value).cast("double")
 
-    def at(index):
-        """The value of 0-based rank ``index``, in the chunk that holds it."""
-        return F.max(F.when((F.col("__upto") - F.col("n") <= index) & (index < F.col("__upto")), v))
-
-    ends = {}
-    for q, p in QUARTILES:
+    def term(p):
+        """What a row adds to its group's ``p`` quantile: it has one or two terms."""
         rank = (F.col("__rows") - 1) * F.lit(p)
-        ends[f"{q}_lo"], ends[f"{q}_hi"] = at(F.floor(rank)), at(F.ceil(rank))
+        upper = rank - F.floor(rank)
+        below, upto = F.col("__upto") - F.col("n"), F.col("__upto")
+        lies_low = (below <= F.floor(rank)) & (F.floor(rank) < upto)
+        lies_high = (below <= F.ceil(rank)) & (F.ceil(rank) < upto)
+        return (
+            F.when(lies_low & lies_high, number)
+            .when(lies_low, number * (1 - upper))
+            .when(lies_high, number * upper)
+        )
 
     # A group inside one chunk finds its quartiles there.  The few that cross a
-    # cut point, at most one per cut, gather theirs from their chunks; so this
+    # cut point, at most one per cut, add theirs up over their chunks; so this
     # broadcast is bounded by the number of chunks, not by the data.
     crossing = (
         pieces.running("__upto", "__rows", crossing=True)
         .groupBy(*by)
-        .agg(*[e.alias(f"__far_{name}") for name, e in ends.items()])
-        .select(*[F.col(c).alias(f"__by_{c}") for c in by], *[F.col(f"__far_{name}") for name in ends])
+        .agg(*[F.sum(term(p)).alias(f"__far_{q}") for q, p in QUARTILES])
+        .select(*[F.col(c).alias(f"__by_{c}") for c in by], *[F.col(f"__far_{q}") for q, _ in QUARTILES])
     )
-    found = pieces.running("__upto", "__rows").withColumns(
-        {f"__near_{name}": e.over(pieces.piece) for name, e in ends.items()}
+    found = pieces.running("__upto", "__rows").select(
+        *by, value, "n", *[F.sum(term(p)).over(pieces.piece).alias(f"__near_{q}") for q, p in QUARTILES]
     )
     if by:
         found = found.join(
@@ -83,14 +87,8 @@ def box_summary(
         )
     else:
         far = crossing.select(F.struct("*")).scalar()
-        found = found.withColumns({f"__far_{name}": far.getField(f"__far_{name}") for name in ends})
-
-    def quartile(q, p):
-        lo, hi = (F.coalesce(f"__far_{q}_{end}", f"__near_{q}_{end}").cast("double") for end in ("lo", "hi"))
-        rank = (F.col("__rows") - 1) * F.lit(p)
-        return lo + (rank - F.floor(rank)) * (hi - lo)
-
-    boxed = found.withColumns({f"__{q}": quartile(q, p) for q, p in QUARTILES})
+        found = found.withColumns({f"__far_{q}": far.getField(f"__far_{q}") for q, _ in QUARTILES})
+    boxed = found.withColumns({f"__{q}": F.coalesce(f"__far_{q}", f"__near_{q}") for q, _ in QUARTILES})
     q1, q3 = F.col("__q1"), F.col("__q3")
     reach = (q3 - q1) * F.lit(whisker)
     inside = (v >= q1 - reach) & (v <= q3 + reach)

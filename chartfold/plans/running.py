@@ -18,33 +18,32 @@ from pyspark.sql import functions as F
 from chartfold.functions.keys import (
     SortKey,
     all_of,
-    precedes,
     row_hash,
     same,
     sort_columns,
+    sort_key,
 )
 
-ROWS_PER_MARK = 1 << 18
-"""About how many rows lie between two possible cut points."""
+ROWS_PER_MARK = 1 << 10
+MARKS_PER_CHUNK = 16
+CHUNKS_PER_PARTITION = 4
 
 
 def _cut_points(df: DataFrame, order: Sequence[SortKey], chunks: int, rows_per_mark: int) -> DataFrame:
     """One row: up to ``chunks - 1`` sort keys that cut ``df`` evenly.
 
-    The keys come from rows picked by hash, one in ``rows_per_mark``: fewer than
-    that many rows need no cut, and a million million rows leave a few million
-    short keys to sort.  They steer the balance of the work only; every row is
-    assigned exactly.
+    One row in ``rows_per_mark`` is marked by its hash, and the marks are
+    thinned to one for each of ``MARKS_PER_CHUNK * chunks`` hash buckets.  So the
+    list to sort is bounded by the number of chunks, whatever the size of the
+    data.  Marks steer the balance of the work only; every row is assigned
+    exactly.
     """
-    key = F.struct(*[F.col(c).alias(c) for c, _ in order])
-    marks = df.filter(F.pmod(row_hash(df), F.lit(rows_per_mark)) == 0).agg(F.collect_list(key).alias("keys"))
-    if all(asc for _, asc in order):
-        ranked = marks.select(F.array_sort("keys").alias("keys"))
-    else:
-        ranked = marks.select(F.array_sort(
-            "keys",
-            lambda a, b: F.when(precedes(a, b, order), -1).when(precedes(b, a, order), 1).otherwise(0),
-        ).alias("keys"))
+    marks = df.select(sort_key(df, order).alias("key"), row_hash(df).alias("hash")).filter(
+        F.pmod("hash", F.lit(rows_per_mark)) == 0
+    )
+    bucket = F.pmod(F.xxhash64("hash"), F.lit(MARKS_PER_CHUNK * chunks))
+    thinned = marks.groupBy(bucket.alias("bucket")).agg(F.min_by("key", "hash").alias("key"))
+    ranked = thinned.agg(F.array_sort(F.collect_list("key")).alias("keys"))
     place = lambda i: F.floor(i * F.size("keys") / chunks).cast("int")
     return ranked.select(
         F.transform(
@@ -59,14 +58,13 @@ def _with_chunk(df: DataFrame, cuts: Column, order: Sequence[SortKey], chunks: i
     One projection per halving: they all run inside the generated code of one
     stage, where a lambda over the array would be interpreted row by row.
     """
-    key = F.struct(*[F.col(c).alias(c) for c, _ in order])
-    df = df.withColumn("__cuts", cuts).withColumn("__chunk", F.lit(0))
+    df = df.withColumns({"__key": sort_key(df, order), "__cuts": cuts, "__chunk": F.lit(0)})
     for level in reversed(range((chunks - 1).bit_length())):
         stride = 1 << level
-        cut = F.get(F.col("__cuts"), F.col("__chunk") + (stride - 1))
-        past = cut.isNotNull() & ~precedes(key, cut, order)
+        df = df.withColumn("__cut", F.get(F.col("__cuts"), F.col("__chunk") + (stride - 1)))
+        past = F.col("__cut").isNotNull() & (F.col("__cut") <= F.col("__key"))
         df = df.withColumn("__chunk", F.col("__chunk") + F.when(past, stride).otherwise(0))
-    return df.drop("__cuts")
+    return df.drop("__key", "__cuts", "__cut")
 
 
 @dataclass(frozen=True)
@@ -126,13 +124,13 @@ def in_chunks(
 
     ``df`` must hold one row per (``by``, ``order``): reduce it first.  Then no
     two rows tie, so every chunk can be cut to size whatever the data are.
-    ``chunks`` is the number of shuffle partitions unless given.  With
-    ``chunks=1`` each group is one plain window: right for groups that are
+    ``chunks`` is a few per shuffle partition unless given, so that hashing them
+    to partitions comes out even.  With ``chunks=1`` each group is one plain window: right for groups that are
     known to be short, where it saves the jobs that find the cut points.
     """
     by, columns = list(by), df.columns
     if chunks is None:
-        chunks = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        chunks = CHUNKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if chunks == 1:
         return Chunked(df.withColumn("__chunk", F.lit(0)), columns, order, by, measure, None)
 

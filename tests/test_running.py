@@ -62,6 +62,24 @@ def test_null_group_null_order_and_nan(spark):
     }
 
 
+@pytest.mark.parametrize("kind", ["double", "decimal(10,2)", "int"])
+def test_descending_numbers_of_any_kind(spark, kind):
+    rng = random.Random(9)
+    rows = [(i, float(rng.randint(-9, 9))) for i in range(200)] + [(200, None)]
+    if kind == "double":
+        rows += [(201, float("nan")), (202, float("inf")), (203, float("-inf"))]
+    df = spark.createDataFrame(rows, "k int, v double").withColumns({"v": F.col("v").cast(kind), "one": F.lit(1)})
+    got = running_total(df, [("v", False), ("k", True)], "one", out="r", chunks=16, rows_per_mark=MARK)
+    plain = running_total(df, [("v", False), ("k", True)], "one", out="r", chunks=1)
+    assert {r.k: r.r for r in got.collect()} == {r.k: r.r for r in plain.collect()}
+
+
+def test_descending_text_is_refused(spark):
+    df = spark.createDataFrame([("a", 1)], "k string, one int")
+    with pytest.raises(ValueError, match="number"):
+        running_total(df, [("k", False)], "one")
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "v int, m bigint")
     assert running_total(df, [("v", True)], "m", total="t").collect() == []
