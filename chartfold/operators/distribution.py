@@ -69,26 +69,28 @@ def box_summary(
             .when(lies_high, number * upper)
         )
 
-    # A group inside one chunk finds its quartiles there.  The few that cross a
-    # cut point, at most one per cut, add theirs up over their chunks; so this
-    # broadcast is bounded by the number of chunks, not by the data.
-    crossing = (
-        pieces.running("__upto", "__rows", crossing=True)
-        .groupBy(*by)
-        .agg(*[F.sum(term(p)).alias(f"__far_{q}") for q, p in QUARTILES])
-        .select(*[F.col(c).alias(f"__by_{c}") for c in by], *[F.col(f"__far_{q}") for q, _ in QUARTILES])
+    # A group inside one chunk finds its quartiles there.
+    boxed = pieces.running("__upto", "__rows", "whole").select(
+        *by, value, "n", *[F.sum(term(p)).over(pieces.piece).alias(f"__{q}") for q, p in QUARTILES]
     )
-    found = pieces.running("__upto", "__rows").select(
-        *by, value, "n", *[F.sum(term(p)).over(pieces.piece).alias(f"__near_{q}") for q, p in QUARTILES]
-    )
-    if by:
-        found = found.join(
-            F.broadcast(crossing), all_of([same(F.col(c), F.col(f"__by_{c}")) for c in by]), "left"
+    if pieces.spans is not None:
+        # The few that cross a cut point, at most one per cut, add theirs up
+        # over their chunks; so this broadcast is bounded by the number of
+        # chunks, not by the data.
+        quartiles = (
+            pieces.running("__upto", "__rows", "crossing")
+            .groupBy(*by)
+            .agg(*[F.sum(term(p)).alias(f"__{q}") for q, p in QUARTILES])
         )
-    else:
-        far = crossing.select(F.struct("*")).scalar()
-        found = found.withColumns({f"__far_{q}": far.getField(f"__far_{q}") for q, _ in QUARTILES})
-    boxed = found.withColumns({f"__{q}": F.coalesce(f"__far_{q}", f"__near_{q}") for q, _ in QUARTILES})
+        rows = pieces.crossing().select(*by, value, "n")
+        if by:
+            side = quartiles.withColumnsRenamed({c: f"__of_{c}" for c in by})
+            rows = rows.join(F.broadcast(side), all_of([same(F.col(c), F.col(f"__of_{c}")) for c in by]))
+        else:
+            found = quartiles.select(F.struct("*")).scalar()
+            rows = rows.withColumns({f"__{q}": found.getField(f"__{q}") for q, _ in QUARTILES})
+        boxed = boxed.unionByName(rows.select(*boxed.columns))
+
     q1, q3 = F.col("__q1"), F.col("__q3")
     reach = (q3 - q1) * F.lit(whisker)
     inside = (v >= q1 - reach) & (v <= q3 + reach)
@@ -97,7 +99,7 @@ def box_summary(
         F.min(v).alias("min"),
         F.min(F.when(inside, v)).alias("whisker_lo"),
         F.max(q1).alias("q1"),
-        F.max("__median").alias("median"),
+        F.max(F.col("__median")).alias("median"),
         F.max(q3).alias("q3"),
         F.max(F.when(inside, v)).alias("whisker_hi"),
         F.max(v).alias("max"),
