@@ -84,6 +84,8 @@ class Chunked:
         return W.partitionBy("__chunk", *self.by)
 
     def _with_spans(self, groups: str) -> DataFrame:
+        if self.spans is None:
+            return self.rows.filter(F.lit(groups != "crossing"))
         # not a semi or anti join: Spark moves those below the shuffle, which
         # could then not be shared
         cond = all_of([
@@ -103,11 +105,9 @@ class Chunked:
         ``groups`` may limit it to those that are "crossing" a cut point, or to
         those that are "whole" in one chunk.
         """
-        rows, before, whole = self.rows, [], []
-        if self.spans is not None:
-            rows = self._with_spans(groups)
-            if groups != "whole":
-                before, whole = [F.col("__before")], [F.col("__all")]
+        rows, before, whole = self._with_spans(groups), [], []
+        if self.spans is not None and groups != "whole":
+            before, whole = [F.col("__before")], [F.col("__all")]
         sum_type = self.rows.select(F.sum(self.measure).alias("s")).schema["s"].dataType
         zero = F.lit(0).cast(sum_type)
         here = F.sum(self.measure).over(
