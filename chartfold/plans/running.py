@@ -83,31 +83,21 @@ class Chunked:
         """Window over the rows of one group in one chunk."""
         return W.partitionBy("__chunk", *self.by)
 
-    def _with_spans(self, groups: str) -> DataFrame:
-        if self.spans is None:
-            return self.rows.filter(F.lit(groups != "crossing"))
-        # not a semi or anti join: Spark moves those below the shuffle, which
-        # could then not be shared
-        cond = all_of([
-            F.col("__chunk") == F.col("__c"),
-            *[same(F.col(c), F.col(f"__by_{c}")) for c in self.by],
-        ])
-        rows = self.rows.join(F.broadcast(self.spans), cond, "inner" if groups == "crossing" else "left")
-        return rows.filter(F.col("__c").isNull()) if groups == "whole" else rows
-
-    def crossing(self) -> DataFrame:
-        """Rows of the few groups that cross a cut point."""
-        return self._with_spans("crossing").select(*self.columns)
-
-    def running(self, out: str, total: str | None = None, groups: str = "all") -> DataFrame:
+    def running(self, out: str, total: str | None = None, crossing: bool = False) -> DataFrame:
         """Running sum ``out`` and group sum ``total``, partitioned by piece.
 
-        ``groups`` may limit it to those that are "crossing" a cut point, or to
-        those that are "whole" in one chunk.
+        With ``crossing``, only the groups that cross a cut point.
         """
-        rows, before, whole = self._with_spans(groups), [], []
-        if self.spans is not None and groups != "whole":
+        rows, before, whole = self.rows, [], []
+        if self.spans is not None:
+            cond = all_of([
+                F.col("__chunk") == F.col("__c"),
+                *[same(F.col(c), F.col(f"__by_{c}")) for c in self.by],
+            ])
+            rows = rows.join(F.broadcast(self.spans), cond, "inner" if crossing else "left")
             before, whole = [F.col("__before")], [F.col("__all")]
+        elif crossing:
+            rows = rows.limit(0)
         sum_type = self.rows.select(F.sum(self.measure).alias("s")).schema["s"].dataType
         zero = F.lit(0).cast(sum_type)
         here = F.sum(self.measure).over(
