@@ -2,12 +2,13 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from chartfold.queries import QUERIES, SQL
 from oracle import compare
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
@@ -15,7 +16,7 @@ def test_entry(spark):
     assert entry(spark).count() == 5
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 @pytest.mark.parametrize("size", ["0.001", "0.01"])
 def test_equals_sql(spark, name, size):
     assert compare(spark, name, f"/root/testdata/sf{size}") > 0
