@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chartfold.llm import bpe_count
+from chartfold.llm import bpe_count, chat
 
 QUERIES = {}
 SQL = {}
@@ -30,3 +30,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 @query()
 def op6_token_counts(spark, d):
     return bpe_count.token_counts(table(spark, d, "documents"), PIECE_MODEL)
+
+
+@query()
+def op8_chat_formatting(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
+    return chat.read_back(chat.format_chat(turns.unionByName(added)))
