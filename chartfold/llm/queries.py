@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chartfold.llm import bpe_count, chat
+from chartfold.llm import bpe_count, chat, linecrf
 
 QUERIES = {}
 SQL = {}
@@ -38,3 +38,9 @@ def op8_chat_formatting(spark, d):
     tricky = "\\### Assistant: </turn> ok"
     added = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
     return chat.read_back(chat.format_chat(turns.unionByName(added)))
+
+
+@query()
+def op10_quality_rules(spark, d):
+    docs = table(spark, d, "documents")
+    return linecrf.quality_rules(docs, linecrf.train(docs, table(spark, d, "labels")))
