@@ -12,11 +12,11 @@ from chartfold.plans.eager import Lookup
 from chartfold.plans.running import running_total
 from chartfold.plans.session import session
 from chartfold.sources.tables import load, load_stream
-from chartfold.streaming.live import append_series, latest_series, live_series, upsert_series
+from chartfold.streaming.live import append_series, drain_series, latest_series, live_series, upsert_series
 
 __all__ = [
     "Lookup", "Measure", "append_series", "box_summary", "bucket_series", "corr_matrix", "count",
-    "cumulative", "dense_series", "density2d", "ecdf", "exact_total", "funnel", "greatest", "grouped_totals",
+    "cumulative", "dense_series", "density2d", "drain_series", "ecdf", "exact_total", "funnel", "greatest", "grouped_totals",
     "heatmap", "heatmap_wide", "hierarchy", "histogram", "keyed_sample", "latest_series", "least",
     "live_series", "load", "load_stream", "mean", "moving_avg", "ohlc", "running_total", "session",
     "topk_share", "total", "trend_line", "upsert_series",

@@ -4,12 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartfold.functions.keys import present
 
 
+def _finite(df: DataFrame, name: str) -> Column:
+    if not isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return F.lit(True)
+    return F.abs(F.col(name)) < F.lit(float("inf"))
+
+
+def _placed(value: Column, low: Column, width: Column) -> Column:
+    """The bin whose own edges, as they are put out, hold ``value``.
+
+    The quotient may miss by one bin where it rounds.
+    """
+    bin = F.floor((value - low) / width)
+    edge = lambda b: low + b * width
+    return F.when(value < edge(bin), bin - 1).when(value >= edge(bin + 1), bin + 1).otherwise(bin)
+
+
 def histogram(
     df: DataFrame,
     value: str,
@@ -22,7 +39,9 @@ def histogram(
     A bin holds its lower edge; the last one holds its upper edge too.  Without
     bounds, one extra pass over the value column finds them.  With bounds,
     values outside are left out, by a filter that the scan can take.  If all
-    values are equal the bins reach half a unit to both sides.
+    values are equal the bins reach half a unit to both sides.  Where no bound
+    is given, infinite values have no place on the axis: those below it are
+    counted in an additional bin ``-1``, those above it in bin ``bins``.
     """
     if bins < 1:
         raise ValueError(f"bins must be at least 1, got {bins}")
@@ -33,8 +52,9 @@ def histogram(
         rows = rows.filter(F.col(value) >= F.lit(lo))
     if hi is not None:
         rows = rows.filter(F.col(value) <= F.lit(hi))
-    first = F.min(value).cast("double") if lo is None else F.lit(float(lo))
-    last = F.max(value).cast("double") if hi is None else F.lit(float(hi))
+    finite, v = _finite(df, value), F.col(value)
+    first = F.min(F.when(finite, v)).cast("double") if lo is None else F.lit(float(lo))
+    last = F.max(F.when(finite, v)).cast("double") if hi is None else F.lit(float(hi))
     pad = F.when(first == last, F.lit(0.5)).otherwise(F.lit(0.0))
     low, width = first - pad, (last - first + 2 * pad) / bins
     if lo is None or hi is None:
@@ -42,18 +62,24 @@ def histogram(
         axis = rows.agg(F.struct(low.alias("low"), width.alias("width"))).scalar()
         low, width = axis.getField("low"), axis.getField("width")
 
-    place = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1)).cast("int")
+    place = F.greatest(F.lit(0), F.least(_placed(v, low, width), F.lit(bins - 1)))
+    place = F.when(finite, place).when(v < 0, F.lit(-1)).otherwise(F.lit(bins)).cast("int")
     counts = rows.groupBy(place.alias("__bin")).agg(F.count(F.lit(1)).alias("__n"))
-    frame = (
-        df.sparkSession.range(bins)
-        .select(F.col("id").cast("int").alias("bin"), low.alias("__lo"), width.alias("__w"))
-        .filter(F.col("__lo").isNotNull())
+    frame = df.sparkSession.range(-1, bins + 1).select(
+        F.col("id").cast("int").alias("bin"), low.alias("__lo"), width.alias("__w")
     )
-    return frame.join(counts, F.col("bin") == F.col("__bin"), "left").select(
-        "bin",
-        (F.col("__lo") + F.col("bin") * F.col("__w")).alias("bin_lo"),
-        (F.col("__lo") + (F.col("bin") + 1) * F.col("__w")).alias("bin_hi"),
-        F.coalesce("__n", F.lit(0)).cast("bigint").alias("n"),
+    on_axis = (F.col("bin") >= 0) & (F.col("bin") < bins)
+    infinity = F.lit(float("inf"))
+    return (
+        frame.join(counts, F.col("bin") == F.col("__bin"), "left")
+        .filter(F.when(on_axis, F.col("__lo").isNotNull()).otherwise(F.col("__n").isNotNull()))
+        .select(
+            "bin",
+            F.when(F.col("bin") < 0, -infinity).otherwise(F.col("__lo") + F.col("bin") * F.col("__w")).alias("bin_lo"),
+            F.when(F.col("bin") >= bins, infinity)
+            .otherwise(F.col("__lo") + (F.col("bin") + 1) * F.col("__w")).alias("bin_hi"),
+            F.coalesce("__n", F.lit(0)).cast("bigint").alias("n"),
+        )
     )
 
 
@@ -73,18 +99,19 @@ def heatmap_wide(df: DataFrame, row: str, col: str, values: Sequence) -> DataFra
 
 
 def density2d(df: DataFrame, x: str, wx: float, y: str, wy: float) -> DataFrame:
-    """Row counts on a grid of ``wx`` by ``wy`` cells; empty cells are left out."""
+    """Row counts on a grid of ``wx`` by ``wy`` cells; empty cells are left out.
+
+    A cell holds its lower edges.  Values more than ``2 ** 53`` cells away from
+    0, infinite ones among them, have no cell: their ``bin`` is null and their
+    lower edge infinite.
+    """
     if wx <= 0 or wy <= 0:
         raise ValueError(f"cell sizes must be positive, got {wx} and {wy}")
-    cell = lambda c, w: F.floor(F.col(c) / F.lit(w))
-    return (
-        present(df, x, y)
-        .groupBy(cell(x, wx).alias("x_bin"), cell(y, wy).alias("y_bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            "x_bin", "y_bin",
-            (F.col("x_bin") * F.lit(float(wx))).alias("x_lo"),
-            (F.col("y_bin") * F.lit(float(wy))).alias("y_lo"),
-            "n",
-        )
-    )
+    rows, keys = present(df, x, y), []
+    for axis, c, w in (("x", x, wx), ("y", y, wy)):
+        value, width = F.col(c).cast("double"), F.lit(float(w))
+        near = F.abs(value / width) < F.lit(2.0**53)
+        cell = F.when(near, _placed(F.when(near, value), F.lit(0.0), width))
+        edge = F.when(cell.isNotNull(), cell * width).otherwise(F.signum(value) * F.lit(float("inf")))
+        keys += [cell.cast("bigint").alias(f"{axis}_bin"), edge.alias(f"{axis}_lo")]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select("x_bin", "y_bin", "x_lo", "y_lo", "n")

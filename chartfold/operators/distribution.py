@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartfold.functions.keys import all_of, names, present, same
-from chartfold.plans.running import ROWS_PER_MARK, in_chunks, running_total
+from chartfold.plans.running import in_chunks, running_total
 
 QUARTILES = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
 
@@ -17,21 +18,14 @@ def _value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return present(df, value).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def ecdf(
-    df: DataFrame,
-    value: str,
-    by: str | Sequence[str] = (),
-    chunks: int | None = None,
-    rows_per_mark: int = ROWS_PER_MARK,
-) -> DataFrame:
+def ecdf(df: DataFrame, value: str, by: str | Sequence[str] = (), chunks: int | None = None) -> DataFrame:
     """Share of each group's rows at or below every distinct value.
 
     One row per step of the curve, with the number ``n`` of rows on that value.
     """
     by = names(by)
     steps = running_total(
-        _value_counts(df, value, by), [(value, True)], "n", by,
-        out="__below", total="__rows", chunks=chunks, rows_per_mark=rows_per_mark,
+        _value_counts(df, value, by), [(value, True)], "n", by, out="__below", total="__rows", chunks=chunks
     )
     share = F.col("__below").cast("double") / F.col("__rows").cast("double")
     return steps.select(*by, value, "n", share.alias("cume_dist"))
@@ -43,63 +37,78 @@ def box_summary(
     by: str | Sequence[str] = (),
     whisker: float = 1.5,
     chunks: int | None = None,
-    rows_per_mark: int = ROWS_PER_MARK,
 ) -> DataFrame:
     """Quartiles, whiskers and outlier count per group: a box plot.
 
-    Quartiles interpolate linearly.  Whiskers are the extreme *observed* values
-    within ``whisker`` times the interquartile range of the box.  Quartiles are
-    read off a running count over distinct values, so no task ever holds the
-    values of a whole group unless they fit one chunk of the count.
+    Quartiles interpolate linearly; one between two infinite values, or next to
+    one, is infinite or NaN.  Whiskers are the extreme *observed* values within
+    ``whisker`` times the interquartile range of the box.
+
+    The distinct values of a group lie in order in pieces.  The totals of the
+    pieces tell which of them hold a quartile and which of them a fence cuts;
+    values are looked at one by one in those only.
     """
     by = names(by)
-    pieces = in_chunks(_value_counts(df, value, by), [(value, True)], "n", by, chunks, rows_per_mark)
-    v, number = F.col(value), F.col(value).cast("double")
+    cut = in_chunks(_value_counts(df, value, by), [(value, True)], "n", by, chunks)
+    group = [F.col(f"__by_{c}").alias(c) for c in by]
+    before, held, rows = F.col("__before_n"), F.col("__sum_n"), F.col("__all_n")
+    before = F.coalesce(before, F.lit(0))
+
+    def rank(p: float) -> Column:
+        return (rows - 1) * F.lit(p)
 
-    def term(p):
+    def holds(r: Column) -> Column:
+        return (before <= r) & (r < before + held)
+
+    ranks = [f(rank(p)) for _, p in QUARTILES for f in (F.floor, F.ceil)]
+    ranked = cut.pieces.filter(reduce(lambda a, b: a | b, map(holds, ranks)))
+    upto = cut.rows.join(ranked, cut.on_piece()).withColumn("__upto", cut.upto("n", F.col("__before_n")))
+
+    def term(p: float) -> Column:
         """What a row adds to its group's ``p`` quantile: it has one or two terms."""
-        rank = (F.col("__rows") - 1) * F.lit(p)
-        upper = rank - F.floor(rank)
-        below, upto = F.col("__upto") - F.col("n"), F.col("__upto")
-        lies_low = (below <= F.floor(rank)) & (F.floor(rank) < upto)
-        lies_high = (below <= F.ceil(rank)) & (F.ceil(rank) < upto)
-        return (
-            F.when(lies_low & lies_high, number)
-            .when(lies_low, number * (1 - upper))
-            .when(lies_high, number * upper)
+        number, upper = F.col(value).cast("double"), rank(p) - F.floor(rank(p))
+        low, high = (
+            (F.col("__upto") - F.col("n") <= r) & (r < F.col("__upto")) for r in (F.floor(rank(p)), F.ceil(rank(p)))
         )
+        return F.when(low & high, number).when(low, number * (1 - upper)).when(high, number * upper)
 
-    # A group inside one chunk finds its quartiles there.  The few that cross a
-    # cut point, at most one per cut, add theirs up over their chunks; so this
-    # broadcast is bounded by the number of chunks, not by the data.
-    crossing = (
-        pieces.running("__upto", "__rows", crossing=True)
-        .groupBy(*by)
-        .agg(*[F.sum(term(p)).alias(f"__far_{q}") for q, p in QUARTILES])
-        .select(*[F.col(c).alias(f"__by_{c}") for c in by], *[F.col(f"__far_{q}") for q, _ in QUARTILES])
+    quartiles = upto.groupBy(*[F.col(f"__by_{c}").alias(f"__q_{c}") for c in by]).agg(
+        *[F.sum(term(p)).alias(q) for q, p in QUARTILES]
     )
-    found = pieces.running("__upto", "__rows").select(
-        *by, value, "n", *[F.sum(term(p)).over(pieces.piece).alias(f"__near_{q}") for q, p in QUARTILES]
+    reach = (F.col("q3") - F.col("q1")) * F.lit(whisker)
+    fences = [(F.col("q1") - reach).alias("__lo"), (F.col("q3") + reach).alias("__hi")]
+    ends = cut.rows.groupBy("__chunk", *by).agg(F.min(value).alias("__min"), F.max(value).alias("__max"))
+    boxed = (
+        ends.join(cut.pieces, cut.on_piece())
+        .drop("__chunk", *by)
+        .join(quartiles, all_of([same(F.col(f"__by_{c}"), F.col(f"__q_{c}")) for c in by]))
+        .select("*", *fences)
     )
-    if by:
-        found = found.join(
-            F.broadcast(crossing), all_of([same(F.col(c), F.col(f"__by_{c}")) for c in by]), "left"
+
+    v, lo, hi = F.col(value), F.col("__lo"), F.col("__hi")
+    first, last = F.col("__min"), F.col("__max")
+    inside, outside = (first >= lo) & (last <= hi), (last < lo) | (first > hi)
+    # a fence may cut some pieces; the others count as a whole
+    whole = boxed.select(
+        *group, "q1", "median", "q3", held.alias("n"), first.alias("min"), last.alias("max"),
+        F.when(inside, first).alias("whisker_lo"), F.when(inside, last).alias("whisker_hi"),
+        F.when(outside, held).otherwise(F.lit(0)).alias("outliers"),
+    )
+    near = boxed.filter(~(inside | outside)).select("__c", *[f"__by_{c}" for c in by], "q1", "median", "q3", "__lo", "__hi")
+    at = cut.rows.join(near, cut.on_piece())
+    within = (v >= lo) & (v <= hi)
+    single = at.select(
+        *group, "q1", "median", "q3", F.lit(0).cast("bigint").alias("n"), v.alias("min"), v.alias("max"),
+        F.when(within, v).alias("whisker_lo"), F.when(within, v).alias("whisker_hi"),
+        F.when(within, F.lit(0)).otherwise(F.col("n")).alias("outliers"),
+    )
+    return (
+        whole.unionByName(single)
+        .groupBy(*by)
+        .agg(
+            F.sum("n").alias("n"), F.min("min").alias("min"), F.min("whisker_lo").alias("whisker_lo"),
+            F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),
+            F.max("whisker_hi").alias("whisker_hi"), F.max("max").alias("max"), F.sum("outliers").alias("outliers"),
         )
-    else:
-        far = crossing.select(F.struct("*")).scalar()
-        found = found.withColumns({f"__far_{q}": far.getField(f"__far_{q}") for q, _ in QUARTILES})
-    boxed = found.withColumns({f"__{q}": F.coalesce(f"__far_{q}", f"__near_{q}") for q, _ in QUARTILES})
-    q1, q3 = F.col("__q1"), F.col("__q3")
-    reach = (q3 - q1) * F.lit(whisker)
-    inside = (v >= q1 - reach) & (v <= q3 + reach)
-    return boxed.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        F.min(v).alias("min"),
-        F.min(F.when(inside, v)).alias("whisker_lo"),
-        F.max(q1).alias("q1"),
-        F.max("__median").alias("median"),
-        F.max(q3).alias("q3"),
-        F.max(F.when(inside, v)).alias("whisker_hi"),
-        F.max(v).alias("max"),
-        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).alias("outliers"),
+        .filter(F.col("n").isNotNull())
     )

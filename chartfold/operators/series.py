@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartfold.functions.keys import names, row_hash
+from chartfold.functions.keys import all_of, names, row_hash, same
 from chartfold.functions.measures import Measure, count, finals, partials
 from chartfold.functions.timebuckets import (
     SUB_DAY,
@@ -20,7 +20,7 @@ from chartfold.functions.timebuckets import (
     literal,
     step,
 )
-from chartfold.plans.running import ROWS_PER_MARK, running_total
+from chartfold.plans.running import running_total
 
 Moment = str | date | datetime
 
@@ -57,27 +57,22 @@ def _between(df: DataFrame, ts: str, unit: str, start: Moment | None, end: Momen
     return df
 
 
-def _calendar(df: DataFrame, first: Column, last: Column, unit: str, out: str) -> DataFrame:
-    """``df`` times the buckets from ``first`` to ``last``.
+def _block(bucket: Column, unit: str) -> Column:
+    """The stretch of the calendar that one task fills: a day of fine buckets, a year of others."""
+    return F.to_date(bucket) if unit in SUB_DAY else F.trunc(bucket, "year")
 
-    Fine buckets go day by day, so that no row ever carries an array longer
-    than the buckets of one day.
-    """
-    if unit not in SUB_DAY:
-        return df.withColumn(out, F.explode(F.sequence(first, last, step(unit))))
-    kind = df.select(first.alias("t")).schema["t"].dataType
-    day = F.col("__day").cast(kind)
-    return (
-        df.withColumn("__first", first)
-        .withColumn("__last", last)
-        .withColumn("__day", F.explode(F.sequence(
-            F.to_date("__first"), F.to_date("__last"), step("day"))))
-        .withColumn(out, F.explode(F.sequence(
-            F.greatest("__first", day),
-            F.least("__last", day + step("day") - step(unit)),
-            step(unit))))
-        .drop("__first", "__last", "__day")
-    )
+
+def _block_firsts(first: Column, last: Column, unit: str, kind: T.DataType) -> Column:
+    """Array of the first bucket from ``first`` to ``last`` in every block between them."""
+    if unit in SUB_DAY:
+        starts = F.sequence(F.to_date(first), F.to_date(last), step("day"))
+        return F.transform(starts, lambda d: F.greatest(first, d.cast(kind)))
+    starts = F.sequence(F.trunc(first, "year"), F.trunc(last, "year"), step("year"))
+    if unit == "week":  # the first Monday of the year
+        bucket = lambda d: F.next_day(F.date_sub(d, 1), "MON")
+    else:
+        bucket = lambda d: d
+    return F.filter(F.transform(starts, lambda d: F.greatest(first, bucket(d))), lambda b: b <= last)
 
 
 def dense_series(
@@ -96,9 +91,10 @@ def dense_series(
     ``start`` or ``end`` the first or last bucket seen is used.  Groups are
     those that have rows in the range.
 
-    The gaps are filled after the shuffle, between neighbours of one group, so
-    the filler rows are never shuffled themselves.  After bucketing a group has
-    at most one row per bucket of the calendar, however many rows it had.
+    The gaps are filled after the shuffle, between neighbours of one group in
+    one block of the calendar (a day, or a year for coarser buckets), so the
+    filler rows are never shuffled themselves and a long series is filled by
+    many tasks.  Every block starts with a marker, which is one row per block.
     """
     by = names(by)
     if start is not None and end is not None and floor_to(start, unit) > floor_to(end, unit):
@@ -113,30 +109,42 @@ def dense_series(
     first = bounds.getField("first") if start is None else literal(floor_to(start, unit), kind)
     last = bounds.getField("last") if end is None else literal(floor_to(end, unit), kind)
 
-    def filled(m: Measure, here: Column) -> Column:
+    groups = series.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    axis = groups.select(*by, first.alias("__first"), last.alias("__last")).filter(F.col("__first").isNotNull())
+    firsts = _block_firsts(F.col("__first"), F.col("__last"), unit, kind)
+    markers = axis.select(*by, F.explode(firsts).alias(out))
+    rows = series.withColumn("__real", F.lit(True)).unionByName(markers, allowMissingColumns=True)
+    rows = rows.withColumn("__block", _block(F.col(out), unit))
+    if unit in SUB_DAY:
+        # a few rows here may become very many: a number that is given keeps them in many tasks
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(tasks, *by, "__block")
+
+    # the marker comes first of two rows of one bucket, and then fills nothing
+    order = W.partitionBy(*by, "__block").orderBy(out, F.col("__real").asc_nulls_first())
+    if unit in SUB_DAY:
+        stop = F.col("__block").cast(kind) + step("day")
+    else:
+        stop = (F.col("__block") + step("year")).cast("date")
+    seen = rows.withColumn("__next", F.lead(out).over(order)).select(
+        "*", F.coalesce("__next", F.least(stop, (last + step(unit)).cast(kind))).alias("__stop")
+    )
+    # a week that begins in one year may end in the next: only starts count
+    upto = F.greatest(F.col(out), (F.col("__stop") - F.expr("INTERVAL '1' MICROSECOND")).cast(kind)
+                      if unit in SUB_DAY else F.date_sub(F.col("__stop"), 1))
+    filled = (
+        seen.filter(F.col("__next").isNull() | (F.col("__next") > F.col(out)))
+        .withColumn("__at", F.explode(F.sequence(F.col(out), upto, step(unit))))
+    )
+    here = F.col("__real") & (F.col("__at") == F.col(out))
+
+    def measure(m: Measure) -> Column:
         if not m.fills_with_zero:
             return F.when(here, F.col(m.name)).alias(m.name)
         zero = F.lit(0).cast(series.schema[m.name].dataType)
         return F.coalesce(F.when(here, F.col(m.name)), zero).alias(m.name)
 
-    if not by:
-        one = df.sparkSession.range(1).select(first.alias("__from"), last.alias("__to"))
-        frame = _calendar(one.filter(F.col("__from").isNotNull()), F.col("__from"), F.col("__to"), unit, "__at")
-        return frame.join(series, F.col("__at") == F.col(out), "left").select(
-            F.col("__at").alias(out), *[filled(m, F.col(out).isNotNull()) for m in measures]
-        )
-    group = W.partitionBy(*by).orderBy(out)
-    seen = (
-        series.withColumn("__from", F.when(F.lag(out).over(group).isNull(), first).otherwise(F.col(out)))
-        .withColumn("__next", F.lead(out).over(group))
-        .withColumn("__to", F.coalesce("__next", last))
-    )
-    return (
-        _calendar(seen, F.col("__from"), F.col("__to"), unit, "__at")
-        .filter(F.col("__next").isNull() | (F.col("__at") < F.col("__next")))
-        .select(*by, F.col("__at").alias(out),
-                *[filled(m, F.col("__at") == F.col(out)) for m in measures])
-    )
+    return filled.select(*by, F.col("__at").cast(kind).alias(out), *map(measure, measures))
 
 
 def moving_avg(
@@ -148,30 +156,41 @@ def moving_avg(
     out: str = "moving_avg",
     block: int = 1 << 16,
     chunks: int | None = None,
-    rows_per_mark: int = ROWS_PER_MARK,
 ) -> DataFrame:
-    """Mean of the last ``n`` rows up to each row: a smoothed line.
+    """Mean of the last ``n`` rows up to each row, nulls left out: a smoothed line.
 
     ``series`` holds one row per (``by``, ``order``), as the other series
-    operators return it.  If ``order`` is a date, a group has at most one row
-    per day of the calendar, and a plain window per group will do.  Otherwise
-    a row's place in its group comes from a distributed running count; groups
-    are cut into blocks of places, and the last ``n - 1`` rows of a block are
-    copied to the next one.  So a long series is smoothed by many tasks, with
-    the same result as one window over all of it.
+    operators return it.  A row's place in its group comes from a distributed
+    running count.  For whole numbers and decimals so does the running sum, and
+    the mean is that of the row less that of the row ``n`` places before, so the
+    work does not depend on ``n``.  Floating sums would lose digits that way:
+    for them groups are cut into blocks of places, the last ``n - 1`` rows of a
+    block are copied to the next one, and each row's frame is summed up.
     """
     if n < 1:
         raise ValueError(f"n must be at least 1, got {n}")
-    by, columns, size = names(by), series.columns, max(n, block)
-    if chunks is None and isinstance(series.schema[order].dataType, T.DateType):
-        chunks = 1
-    if chunks == 1:
-        group = W.partitionBy(*by).orderBy(order)
-        return series.select(*columns, F.avg(value).over(group.rowsBetween(-(n - 1), 0)).alias(out))
-    placed = running_total(
-        series.withColumn("__one", F.lit(1)), [(order, True)], "__one", by,
-        out="__place", chunks=chunks, rows_per_mark=rows_per_mark,
-    )
+    by, columns, kind = names(by), series.columns, series.schema[value].dataType
+    if isinstance(kind, (T.IntegralType, T.DecimalType)):
+        measured = series.withColumns({
+            "__one": F.lit(1),
+            "__there": F.col(value).isNotNull().cast("int"),
+            "__sum": F.coalesce(F.col(value), F.lit(0)).cast(f"decimal(38,{getattr(kind, 'scale', 0)})"),
+        })
+        sums = running_total(
+            measured, [(order, True)], ["__one", "__there", "__sum"], by,
+            out=["__place", "__count", "__total"], chunks=chunks,
+        )
+        earlier = sums.select(
+            *[F.col(c).alias(f"__by_{c}") for c in by], (F.col("__place") + n).alias("__to"),
+            F.col("__count").alias("__count0"), F.col("__total").alias("__total0"),
+        )
+        on = all_of([F.col("__place") == F.col("__to"), *[same(F.col(c), F.col(f"__by_{c}")) for c in by]])
+        held = F.col("__count") - F.coalesce("__count0", F.lit(0))
+        total = F.col("__total") - F.coalesce("__total0", F.lit(0))
+        mean = total.cast("double") / F.nullif(held, F.lit(0)).cast("double")
+        return sums.join(earlier, on, "left").select(*columns, mean.alias(out))
+    size = max(n, block)
+    placed = running_total(series.withColumn("__one", F.lit(1)), [(order, True)], "__one", by, "__place", chunks=chunks)
     index = F.col("__place") - 1
     is_tail = index % size >= size - (n - 1)
     blocks = placed.withColumn("__block", F.floor(index / size)).withColumn(
@@ -198,9 +217,11 @@ def ohlc(
 
     Among rows of the same instant the open is the least value and the close
     the greatest, so that the result does not depend on the order of rows.
-    Comparing (time, value) pairs makes Spark sort each task's rows by bucket.
-    With ``distinct_times`` the caller states that no instant repeats within a
-    bucket; times alone are then compared, in a hash aggregation.
+    Comparing (time, value) pairs makes Spark sort each task's rows by bucket:
+    a hash aggregation holds only fixed-width numbers in place, and SQL has no
+    order-keeping map of doubles to such numbers that could join them with a
+    time.  With ``distinct_times`` the caller states that no instant repeats
+    within a bucket; times alone are then compared, in a hash aggregation.
     """
     by = names(by)
     rows = (

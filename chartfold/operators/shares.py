@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartfold.functions.keys import all_of, names, same, sort_columns
 from chartfold.functions.measures import Measure, count
 from chartfold.plans.eager import Lookup, totals
-from chartfold.plans.running import ROWS_PER_MARK, running_total
+from chartfold.plans.running import running_total
+
+LANE = 62
 
 
 def _single(measure: Measure) -> Measure:
@@ -26,7 +28,6 @@ def cumulative(
     measure: Measure = count(),
     lookups: Sequence[Lookup] = (),
     chunks: int | None = None,
-    rows_per_mark: int = ROWS_PER_MARK,
 ) -> DataFrame:
     """Totals with their running sum and share, largest first: a Pareto chart.
 
@@ -37,7 +38,7 @@ def cumulative(
     reduced = totals(df, by, [measure], lookups)
     order = [(name, False), *[(c, True) for c in by]]
     ranked = running_total(
-        reduced, order, name, out="cumulative", total="__all", chunks=chunks, rows_per_mark=rows_per_mark
+        reduced, order, name, out="cumulative", total="__all", chunks=chunks
     )
     whole = F.nullif(F.col("__all").cast("double"), F.lit(0.0))
     return ranked.select(
@@ -64,9 +65,8 @@ def topk_share(
     best = reduced.orderBy(*sort_columns([(name, False), *[(c, True) for c in by]])).limit(k).select(
         *[F.col(c).alias(f"__top_{c}") for c in by], F.lit(True).alias("__top")
     )
-    # at most k rows, so the broadcast does not grow with the data
     tagged = reduced.join(
-        F.broadcast(best), all_of([same(F.col(c), F.col(f"__top_{c}")) for c in by]), "left"
+        best, all_of([same(F.col(c), F.col(f"__top_{c}")) for c in by]), "left"
     )
     slices = tagged.groupBy(
         *[F.when(F.col("__top"), F.col(c)).alias(c) for c in by],
@@ -82,27 +82,27 @@ def topk_share(
 def funnel(df: DataFrame, user: str, type: str, steps: Sequence[str]) -> DataFrame:
     """Users that did each step and all steps before it, in any order of time.
 
-    One row per step.  A user's rows collapse to one bit mask on the map side,
+    One row per step.  A user's rows collapse to a bit per step on the map side,
     so a very active user is no larger than another after the shuffle.
     """
     steps = list(steps)
-    if not 1 <= len(steps) <= 62 or len(set(steps)) != len(steps):
-        raise ValueError("funnel needs 1 to 62 different steps")
-    bit = F.lit(0).cast("bigint")
-    for i, s in enumerate(steps):
-        bit = F.when(F.col(type) == s, F.lit(1 << i).cast("bigint")).otherwise(bit)
-    users = (
-        df.filter(F.col(type).isin(steps) & F.col(user).isNotNull())
-        .groupBy(user)
-        .agg(F.bit_or(bit).alias("__did"))
-    )
-    reached = []
-    for i in range(len(steps)):
-        upto = F.lit((1 << (i + 1)) - 1).cast("bigint")
-        reached.append(F.count_if(F.col("__did").bitwiseAND(upto) == upto).alias(f"__{i}"))
-    return users.agg(*reached).select(F.inline(F.array(*[
+    if not steps or len(set(steps)) != len(steps):
+        raise ValueError("funnel needs different steps, one at least")
+    # a bit for every step, as many longs as they need
+    lanes = [steps[i : i + LANE] for i in range(0, len(steps), LANE)]
+    did = []
+    for n, lane in enumerate(lanes):
+        bit = F.lit(0).cast("bigint")
+        for i, s in enumerate(lane):
+            bit = F.when(F.col(type) == s, F.lit(1 << i).cast("bigint")).otherwise(bit)
+        did.append(F.bit_or(bit).alias(f"__did{n}"))
+    users = df.filter(F.col(type).isin(steps) & F.col(user).isNotNull()).groupBy(user).agg(*did)
+
+    def upto(i: int) -> Column:
+        bits = [(1 << min(LANE, i + 1 - n * LANE)) - 1 for n in range(i // LANE + 1)]
+        return all_of([F.col(f"__did{n}").bitwiseAND(F.lit(b)) == F.lit(b) for n, b in enumerate(bits)])
+
+    return users.agg(*[F.count_if(upto(i)).alias(f"__{i}") for i in range(len(steps))]).select(F.inline(F.array(*[
         F.struct(F.lit(i + 1).alias("step"), F.lit(s).alias(type), F.col(f"__{i}").alias("users"))
         for i, s in enumerate(steps)
     ])))
-
-

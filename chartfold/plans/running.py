@@ -1,9 +1,11 @@
 """Running totals over a global order, without ever sorting in one task.
 
 A window without ``partitionBy`` moves its whole input into one task, and a
-window partitioned by a hot group moves that group into one.  Here the ordered
-rows are cut into contiguous chunks.  Each chunk is summed up on its own, and
-the totals of the chunks before it are added.
+window partitioned by a hot group moves that group into one.  Here Spark deals
+the rows out by range once; the partition that a row lands in is its chunk.  The
+chunks are written to the shared folder, so that all readers agree on them.
+Each chunk is summed up on its own, and the totals of the chunks before it are
+added.
 """
 
 from __future__ import annotations
@@ -15,164 +17,110 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chartfold.functions.keys import (
-    SortKey,
-    all_of,
-    row_hash,
-    same,
-    sort_columns,
-    sort_key,
-)
-
-ROWS_PER_MARK = 1 << 10
-MARKS_PER_CHUNK = 16
-CHUNKS_PER_PARTITION = 4
-
-
-def _cut_points(df: DataFrame, order: Sequence[SortKey], chunks: int, rows_per_mark: int) -> DataFrame:
-    """One row: up to ``chunks - 1`` sort keys that cut ``df`` evenly.
-
-    One row in ``rows_per_mark`` is marked by its hash, and the marks are
-    thinned to one for each of ``MARKS_PER_CHUNK * chunks`` hash buckets.  So the
-    list to sort is bounded by the number of chunks, whatever the size of the
-    data.  Marks steer the balance of the work only; every row is assigned
-    exactly.
-    """
-    marks = df.select(sort_key(df, order).alias("key"), row_hash(df).alias("hash")).filter(
-        F.pmod("hash", F.lit(rows_per_mark)) == 0
-    )
-    bucket = F.pmod(F.xxhash64("hash"), F.lit(MARKS_PER_CHUNK * chunks))
-    thinned = marks.groupBy(bucket.alias("bucket")).agg(F.min_by("key", "hash").alias("key"))
-    ranked = thinned.agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    place = lambda i: F.floor(i * F.size("keys") / chunks).cast("int")
-    return ranked.select(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(chunks - 1)), lambda i: F.get(F.col("keys"), place(i))
-        ).alias("cuts")
-    )
-
-
-def _with_chunk(df: DataFrame, cuts: Column, order: Sequence[SortKey], chunks: int) -> DataFrame:
-    """Adds the number of cut points at or before each row, by binary search.
-
-    One projection per halving: they all run inside the generated code of one
-    stage, where a lambda over the array would be interpreted row by row.
-    """
-    df = df.withColumns({"__key": sort_key(df, order), "__cuts": cuts, "__chunk": F.lit(0)})
-    for level in reversed(range((chunks - 1).bit_length())):
-        stride = 1 << level
-        df = df.withColumn("__cut", F.get(F.col("__cuts"), F.col("__chunk") + (stride - 1)))
-        past = F.col("__cut").isNotNull() & (F.col("__cut") <= F.col("__key"))
-        df = df.withColumn("__chunk", F.col("__chunk") + F.when(past, stride).otherwise(0))
-    return df.drop("__key", "__cuts", "__cut")
+from chartfold.functions.keys import SortKey, all_of, names, same, sort_columns
+from chartfold.sources.scratch import stored
 
 
 @dataclass(frozen=True)
 class Chunked:
-    """Rows of groups in an order, cut into chunks; see :func:`in_chunks`."""
+    """Rows of groups in an order, cut into chunks; see :func:`in_chunks`.
+
+    ``pieces`` has one row for each group in each chunk: ``__chunk``, the group
+    as ``__by_*``, per measure ``__sum_*`` (its sum in the piece), ``__before_*``
+    (in the group's earlier pieces) and ``__all_*`` (in the whole group), and
+    ``__split``, whether the group has other pieces.
+    """
 
     rows: DataFrame
     columns: Sequence[str]
     order: Sequence[SortKey]
     by: Sequence[str]
-    measure: str
-    spans: DataFrame | None
+    measures: Sequence[str]
+    pieces: DataFrame
 
     @property
-    def piece(self):
-        """Window over the rows of one group in one chunk."""
-        return W.partitionBy("__chunk", *self.by)
-
-    def running(self, out: str, total: str | None = None, crossing: bool = False) -> DataFrame:
-        """Running sum ``out`` and group sum ``total``, partitioned by piece.
+    def spans(self) -> DataFrame:
+        """Pieces of groups that cross a chunk boundary.
 
-        With ``crossing``, only the groups that cross a cut point.
+        A boundary splits one group at most, so these are at most two rows per
+        chunk, whatever the size of the data.
         """
-        rows, before, whole = self.rows, [], []
-        if self.spans is not None:
-            cond = all_of([
-                F.col("__chunk") == F.col("__c"),
-                *[same(F.col(c), F.col(f"__by_{c}")) for c in self.by],
-            ])
-            rows = rows.join(F.broadcast(self.spans), cond, "inner" if crossing else "left")
-            before, whole = [F.col("__before")], [F.col("__all")]
-        elif crossing:
-            rows = rows.limit(0)
-        sum_type = self.rows.select(F.sum(self.measure).alias("s")).schema["s"].dataType
-        zero = F.lit(0).cast(sum_type)
-        here = F.sum(self.measure).over(
-            self.piece.orderBy(*sort_columns(self.order)).rowsBetween(W.unboundedPreceding, 0)
-        )
-        upto = F.coalesce(here, zero)
-        for b in before:
-            upto = (F.coalesce(b, zero) + upto).cast(sum_type)
-        added = [upto.alias(out)]
-        if total:
-            added.append(F.coalesce(*whole, F.sum(self.measure).over(self.piece), zero).alias(total))
-        return rows.select(*self.columns, "__chunk", *added)
+        return self.pieces.filter("__split")
+
+    def on_piece(self) -> Column:
+        """Joins rows with their piece."""
+        return all_of([
+            F.col("__chunk") == F.col("__c"), *[same(F.col(c), F.col(f"__by_{c}")) for c in self.by]
+        ])
+
+    def upto(self, measure: str, before: Column) -> Column:
+        """The running sum of ``measure`` within a piece, and what lies before it."""
+        kind = self.rows.select(F.sum(measure).alias("s")).schema["s"].dataType
+        zero = F.lit(0).cast(kind)
+        piece = W.partitionBy("__chunk", *self.by).orderBy(*sort_columns(self.order))
+        here = F.sum(measure).over(piece.rowsBetween(W.unboundedPreceding, 0))
+        return (F.coalesce(before, zero) + F.coalesce(here, zero)).cast(kind)
+
+    def running(self, out: str | Sequence[str], total: str | Sequence[str] = ()) -> DataFrame:
+        """Running sums ``out`` and sums over the group ``total``, one per measure."""
+        known = self.rows.join(F.broadcast(self.spans), self.on_piece(), "left")
+        added = [
+            self.upto(m, F.col(f"__before_{m}")).alias(o) for m, o in zip(self.measures, names(out), strict=True)
+        ]
+        whole = W.partitionBy("__chunk", *self.by)
+        for m, t in zip(self.measures, names(total)):
+            kind = self.rows.select(F.sum(m).alias("s")).schema["s"].dataType
+            added.append(F.coalesce(f"__all_{m}", F.sum(m).over(whole), F.lit(0).cast(kind)).alias(t))
+        return known.select(*self.columns, *added)
 
 
 def in_chunks(
     df: DataFrame,
     order: Sequence[SortKey],
-    measure: str,
-    by: Sequence[str] = (),
+    measures: str | Sequence[str],
+    by: str | Sequence[str] = (),
     chunks: int | None = None,
-    rows_per_mark: int = ROWS_PER_MARK,
 ) -> Chunked:
-    """Cuts ``df`` into at most ``chunks`` chunks of contiguous (``by``, ``order``).
+    """Cuts ``df`` into chunks of contiguous (``by``, ``order``).  Runs a job.
 
     ``df`` must hold one row per (``by``, ``order``): reduce it first.  Then no
     two rows tie, so every chunk can be cut to size whatever the data are.
-    ``chunks`` is a few per shuffle partition unless given, so that hashing them
-    to partitions comes out even.  With ``chunks=1`` each group is one plain window: right for groups that are
-    known to be short, where it saves the jobs that find the cut points.
+    Adaptive execution joins small chunks up to its advised partition size, so
+    their number follows the data and not the settings.  ``chunks``, if given, is
+    the most there may be.
     """
-    by, columns = list(by), df.columns
-    if chunks is None:
-        chunks = CHUNKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if chunks == 1:
-        return Chunked(df.withColumn("__chunk", F.lit(0)), columns, order, by, measure, None)
-
-    # An explicit shuffle, so that all uses below read the same rows from it:
-    # chunk totals and running sums then agree even if the measure is a
-    # floating sum that another evaluation would round differently.
-    full_order = [*[(c, True) for c in by], *order]
-    cuts = _cut_points(df, full_order, chunks, rows_per_mark).scalar()
-    rows = _with_chunk(df, cuts, full_order, chunks).repartition("__chunk", *by)
-
-    pieces = (
-        rows.groupBy("__chunk", *by)
-        .agg(F.sum(measure).alias("__sum"), F.max(row_hash(rows)).alias("__hash"))
-        .filter(F.col("__hash").isNotNull())
-    )
+    by, measures, columns = names(by), names(measures), df.columns
+    keys = [*sort_columns([(c, True) for c in by]), *sort_columns(order)]
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a number given to repartitionByRange is kept; without one it adapts
+    dealt = df.repartitionByRange(chunks, *keys) if chunks and chunks < most else df.repartitionByRange(*keys)
+    rows = stored(dealt.withColumn("__chunk", F.spark_partition_id()), "chunks")
+
+    sums = rows.groupBy("__chunk", *by).agg(*[F.sum(m).alias(f"__sum_{m}") for m in measures])
     group = W.partitionBy(*by)
     earlier = group.orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
-    # Only groups that cross a cut point are kept.  Chunks are contiguous in
-    # (by, order), so a cut point splits at most one group: at most
-    # 2 * (chunks - 1) rows, whatever the size of the data.
-    spans = pieces.select(
+    pieces = sums.select(
         F.col("__chunk").alias("__c"),
         *[F.col(c).alias(f"__by_{c}") for c in by],
-        F.sum("__sum").over(earlier).alias("__before"),
-        F.sum("__sum").over(group).alias("__all"),
-        F.count(F.lit(1)).over(group).alias("__pieces"),
-    ).filter(F.col("__pieces") > 1)
-    return Chunked(rows, columns, order, by, measure, spans)
+        *[F.col(f"__sum_{m}") for m in measures],
+        *[F.sum(f"__sum_{m}").over(earlier).alias(f"__before_{m}") for m in measures],
+        *[F.sum(f"__sum_{m}").over(group).alias(f"__all_{m}") for m in measures],
+        (F.count(F.lit(1)).over(group) > 1).alias("__split"),
+    )
+    return Chunked(rows, columns, order, by, measures, pieces)
 
 
 def running_total(
     df: DataFrame,
     order: Sequence[SortKey],
-    measure: str,
-    by: Sequence[str] = (),
-    out: str = "running",
-    total: str | None = None,
+    measure: str | Sequence[str],
+    by: str | Sequence[str] = (),
+    out: str | Sequence[str] = "running",
+    total: str | Sequence[str] = (),
     chunks: int | None = None,
-    rows_per_mark: int = ROWS_PER_MARK,
 ) -> DataFrame:
-    """``df`` with the sum of ``measure`` up to each row, and over its group.
+    """``df`` with the sum of each measure up to each row, and over its group.
 
     ``df`` must hold one row per (``by``, ``order``); see :func:`in_chunks`.
     """
-    return in_chunks(df, order, measure, by, chunks, rows_per_mark).running(out, total).drop("__chunk")
+    return in_chunks(df, order, measure, by, chunks).running(out, total)

@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # sessions merge before the shuffle too, so that a busy key does not send all of its rows to one task
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # stream state outside the heap
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

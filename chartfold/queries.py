@@ -206,13 +206,12 @@ def moving_avg_hourly(spark, d):
 
 
 @query("""
-    SELECT CAST(ts AS DATE) AS day, arg_min(value, ts) AS open, max(value) AS high,
+    SELECT event_type, CAST(ts AS DATE) AS day, arg_min(value, ts) AS open, max(value) AS high,
            min(value) AS low, arg_max(value, ts) AS close, count(*) AS n
-    FROM events WHERE event_type = 'purchase' GROUP BY 1
+    FROM events GROUP BY 1, 2
 """)
 def ohlc(spark, d):
-    events = cf.load(spark, d, "events").filter(F.col("event_type") == "purchase")
-    return cf.ohlc(events, "ts", "value", "day", out="day")
+    return cf.ohlc(cf.load(spark, d, "events"), "ts", "value", "day", "event_type", out="day")
 
 
 # --- bins -------------------------------------------------------------------
@@ -221,9 +220,12 @@ def ohlc(spark, d):
 def _sql_histogram(table: str, value: str, bins: int) -> str:
     return f"""
     WITH ends AS (SELECT min({value}) AS lo, (max({value}) - min({value})) / {bins} AS w FROM {table}),
-    counts AS (
-        SELECT least(CAST(floor(({value} - lo) / w) AS BIGINT), {bins - 1}) AS bin, count(*) AS n
-        FROM {table} CROSS JOIN ends GROUP BY 1
+    near AS (
+        SELECT {value} AS v, lo, w, CAST(floor(({value} - lo) / w) AS BIGINT) AS b FROM {table} CROSS JOIN ends
+    ), counts AS (
+        SELECT greatest(0, least(CASE WHEN v < lo + b * w THEN b - 1 WHEN v >= lo + (b + 1) * w THEN b + 1 ELSE b END,
+                                 {bins - 1})) AS bin, count(*) AS n
+        FROM near GROUP BY 1
     ), frame AS (SELECT unnest(generate_series(0, {bins - 1})) AS bin)
     SELECT CAST(frame.bin AS INTEGER) AS bin, round(lo + frame.bin * w, 6) AS bin_lo,
            round(lo + (frame.bin + 1) * w, 6) AS bin_hi, CAST(coalesce(n, 0) AS BIGINT) AS n
@@ -436,7 +438,7 @@ def _upserted(spark: SparkSession, d: str, **windows) -> DataFrame:
         measures=[cf.count(), cf.greatest("peak", F.col("value"))], **windows,
     )
     out = shared_dir(spark, "live")
-    cf.upsert_series(series, f"{out}/series", f"{out}/state", available_now=True).awaitTermination()
+    cf.upsert_series(series, f"{out}/series", f"{out}/state", True, by="event_type").awaitTermination()
     return cf.latest_series(spark, f"{out}/series", series.schema, "event_type")
 
 
@@ -475,13 +477,13 @@ def live_series_sliding(spark, d):
         SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, user_id, count(*) AS n
         FROM s GROUP BY user_id, session
     )
-    SELECT * FROM t WHERE window_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)
+    SELECT * FROM t
 """)
 def live_series_sessions(spark, d):
-    """Sessions that the watermark has closed; those still open wait for more events."""
+    """All sessions of a stream that ends, those still open included."""
     series = cf.live_series(
         cf.load_stream(spark, d), "ts", None, "user_id", "1 hour", session_gap="30 minutes"
     )
     out = shared_dir(spark, "sessions")
-    cf.append_series(series, f"{out}/series", f"{out}/state", available_now=True).awaitTermination()
-    return spark.read.schema(series.schema).parquet(f"{out}/series")
+    cf.drain_series(series, f"{out}/series", f"{out}/state").awaitTermination()
+    return cf.latest_series(spark, f"{out}/series", series.schema, "user_id")

@@ -1,24 +1,33 @@
-"""Folders for stream state and written results."""
+"""Folders for stream state and written results, where all machines see them."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+WAREHOUSE = "spark.sql.warehouse.dir"
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the shared one that the cluster names.
+    """A new folder below the one in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back on a temporary folder: on a cluster each
-    machine would see its own.
+    Where that is not set, the folder lies below the session's warehouse, which
+    all machines of a cluster share too.  A machine's own temporary folder is
+    never used.
     """
-    base = spark.conf.get(SETTING, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {SETTING} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="chartfold-")
+    base = spark.conf.get(SETTING, None) or f"{spark.conf.get(WAREHOUSE).rstrip('/')}/_scratch"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df``, computed once, written to the shared folder and read from there.
+
+    Everything that reads it sees the same rows, also after executors are lost,
+    and its lineage ends here.  The file is as temporary as a checkpoint: whoever
+    owns the shared folder clears it.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

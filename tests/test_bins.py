@@ -71,3 +71,37 @@ def test_density_equals_brute_force(spark):
     got = cf.density2d(df, "x", 0.5, "y", 10).collect()
     assert {(r.x_bin, r.y_bin): r.n for r in got} == want
     assert all(r.x_lo == r.x_bin * 0.5 and r.y_lo == r.y_bin * 10 for r in got)
+
+
+@pytest.mark.parametrize("lo,hi,count", [(0.1, 1.1, 4), (0.0, 0.3, 3), (-1.7, 2.9, 23), (1e-9, 3e-9, 7), (0.7, 123.4, 49), (1e6, 1e6 + 0.1, 11)])
+def test_every_edge_falls_into_its_own_bin(spark, lo, hi, count):
+    empty = spark.createDataFrame([], "v double")
+    edges = [(r.bin, r.bin_lo) for r in cf.histogram(empty, "v", count, lo, hi).collect()]
+    df = spark.createDataFrame([(lo_,) for _, lo_ in edges], "v double")
+    assert bins(cf.histogram(df, "v", count, lo, hi)) == [(b, 1) for b in range(count)]
+
+
+def test_infinities_are_counted_beside_the_axis(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in (inf, -inf, inf, 0.0, 1.0, 4.0)], "v double")
+    got = sorted(cf.histogram(df, "v", 2).collect())
+    assert [tuple(r) for r in got] == [(-1, -inf, 0.0, 1), (0, 0.0, 2.0, 2), (1, 2.0, 4.0, 1), (2, 4.0, inf, 2)]
+    only = spark.createDataFrame([(inf,), (inf,)], "v double")
+    assert [(r.bin, r.bin_hi, r.n) for r in cf.histogram(only, "v", 3).collect()] == [(3, inf, 2)]
+
+
+def test_density_edges_and_infinities(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(0.3, 0.6), (inf, 0.05), (-inf, 1e300)], "x double, y double")
+    got = {(r.x_bin, r.y_bin): (r.x_lo, r.y_lo, r.n) for r in cf.density2d(df, "x", 0.1, "y", 0.1).collect()}
+    # as floats, 3 * 0.1 and 6 * 0.1 lie above 0.3 and 0.6
+    assert got[2, 5] == (2 * 0.1, 5 * 0.1, 1)
+    assert got[None, 0] == (inf, 0.0, 1)
+    assert got[None, None] == (-inf, inf, 1)
+
+
+@pytest.mark.parametrize("w", [0.1, 0.7, 1e-3, 3.3])
+def test_density_cells_hold_their_lower_edge(spark, w):
+    df = spark.createDataFrame([(i * w, float(i)) for i in range(-200, 200)], "x double, i double")
+    got = cf.density2d(df, "x", w, "i", 1).collect()
+    assert all(r.x_bin == r.y_bin and r.n == 1 for r in got) and len(got) == 400

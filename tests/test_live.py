@@ -106,7 +106,7 @@ def test_rows_within_the_watermark_are_counted(spark, folder, events):
     assert same_rows(got, cf.live_series(days(events, 20, 24), "ts", "1 day"))
 
 
-def test_retried_batch_replaces_its_version(spark, folder, events):
+def test_retried_batch_changes_nothing(spark, folder, events):
     folder.drop(days(events, 1, 5))
     live = cf.live_series(folder.stream(spark), "ts", "1 day")
     for state in ("a", "b"):  # the second run repeats batch 0 into the same sink
@@ -115,6 +115,41 @@ def test_retried_batch_replaces_its_version(spark, folder, events):
     assert same_rows(got, cf.live_series(days(events, 1, 5), "ts", "1 day"))
 
 
+def test_reader_sees_no_half_written_batch(spark, folder, events, tmp_path):
+    folder.drop(days(events, 1, 5))
+    live = cf.live_series(folder.stream(spark), "ts", "1 day")
+    cf.upsert_series(live, folder.out, folder.state, available_now=True).awaitTermination()
+    before = cf.latest_series(spark, folder.out, live.schema)
+    # what a writer leaves that is lost in the middle of a batch, or is still at work
+    events.limit(5).write.parquet(f"{folder.out}/.attempt")
+    after = cf.latest_series(spark, folder.out, live.schema)
+    assert same_rows(before, after) and same_rows(after, cf.live_series(days(events, 1, 5), "ts", "1 day"))
+
+
+def test_compaction_bounds_what_a_reader_opens(spark, folder, events, tmp_path):
+    for day in range(1, 13):
+        folder.drop(days(events, day, day))
+    live = cf.live_series(folder.stream(spark, files_per_trigger=1), "ts", "12 hours", "event_type")
+    cf.upsert_series(
+        live, folder.out, folder.state, available_now=True, by="event_type", compact_every=3
+    ).awaitTermination()
+    got = cf.latest_series(spark, folder.out, live.schema, "event_type")
+    assert same_rows(got, cf.live_series(days(events, 1, 12), "ts", "12 hours", "event_type"))
+    kept = [p.name for p in (tmp_path / "out").iterdir() if "=" in p.name]
+    assert len(kept) <= 2 * 3 + 2
+    assert len({f.rsplit("/", 2)[1] for f in got.inputFiles()}) <= 3
+
+
+def test_drain_returns_open_sessions_too(spark, folder, events):
+    for first, last in ((1, 15), (16, 31)):
+        folder.drop(days(events, first, last))
+    windows = dict(window=None, by="user_id", session_gap="30 minutes")
+    live = cf.live_series(folder.stream(spark, files_per_trigger=1), "ts", **windows)
+    cf.drain_series(live, folder.out, folder.state).awaitTermination()
+    got = cf.latest_series(spark, folder.out, live.schema, "user_id")
+    assert same_rows(got, cf.live_series(events, "ts", **windows))
+
+
 def test_zoned_times_stay_zoned(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 1, 10), 1), (datetime(2024, 1, 1, 11), 2)], "at timestamp, v int")
     got = cf.live_series(df, "at", "2 hours", measures=[cf.total("t", F.col("v"))])

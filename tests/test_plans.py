@@ -3,12 +3,11 @@
 import re
 
 import pytest
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 import chartfold as cf
-from __spark_entry__ import queries
-from chartfold.plans.running import _cut_points, _with_chunk
+from chartfold.plans.running import in_chunks
+from chartfold.queries import QUERIES
 from chartfold.sources.scratch import shared_dir
 
 
@@ -16,12 +15,12 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-BATCH = sorted(n for n in queries() if not n.startswith("live_series"))
+BATCH = sorted(n for n in QUERIES if not n.startswith("live_series"))
 
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_cross_join_and_no_python(spark, sf, name):
-    text = plan(queries()[name](spark, sf))
+    text = plan(QUERIES[name](spark, sf))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas", "ScanExistingRDD"):
         assert node not in text, node
 
@@ -29,7 +28,7 @@ def test_no_cross_join_and_no_python(spark, sf, name):
 @pytest.mark.parametrize("name", BATCH)
 def test_scans_read_no_unused_column(spark, sf, name):
     widest = {"lineitem": 11, "orders": 6, "customer": 5, "events": 6, "part": 6}
-    for path, schema in re.findall(r"/(\w+)\.parquet\].*?ReadSchema: struct<(.*?)>", plan(queries()[name](spark, sf))):
+    for path, schema in re.findall(r"/(\w+)\.parquet\].*?ReadSchema: struct<(.*?)>", plan(QUERIES[name](spark, sf))):
         if path in widest:
             assert len(schema.split(",")) <= widest[path] / 2 + 1, (path, schema)
 
@@ -49,7 +48,7 @@ def test_grouping_aggregates_before_every_join(spark, sf):
     """No join reads fact rows: each sits on an aggregate over its key."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(queries()["grouped_totals"](spark, sf))
+        text = plan(QUERIES["grouped_totals"](spark, sf))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("SortMergeJoin") == 4
@@ -71,44 +70,53 @@ def test_fast_ohlc_hashes(spark, sf):
     assert "SortAggregate" not in text
 
 
-def test_chunk_search_is_generated_code(spark):
-    df = spark.range(1000).select(F.col("id").alias("v")).repartition(4)
-    cuts = _cut_points(df, [("v", True)], 64, 8).scalar()
-    chunked = _with_chunk(df, cuts, [("v", True)], 64)
-    assert chunked.filter("__chunk > 3").count() > 0
-    assert "lambda" not in plan(chunked.select("__chunk")).split("Subquery")[0]
-
-
-@pytest.mark.parametrize("order", [[("g", True), ("v", True)], [("v", False), ("g", True)]])
+@pytest.mark.parametrize("order", [["g", "v"], ["v", "g"]])
 def test_a_hot_group_is_cut_into_even_chunks(spark, order):
     rows = spark.range(30_000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id"))).alias("g"),
-        F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(1)).alias("v"),
+        F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(1)).alias("v"), F.lit(1).alias("m"),
     )
-    chunked = _with_chunk(rows, _cut_points(rows, order, 32, 50).scalar(), order, 32)
+    chunked = in_chunks(rows, [(c, True) for c in order], "m", chunks=7).rows
     sizes = [r["count"] for r in chunked.groupBy("__chunk").count().collect()]
-    assert sum(sizes) == 30_000 and len(sizes) == 32
-    assert max(sizes) < 3 * 30_000 / 32
+    assert sum(sizes) == 30_000 and len(sizes) == 7
+    assert max(sizes) < 3 * 30_000 / 7
 
 
 def test_only_groups_on_a_cut_are_broadcast(spark):
     """The offsets a running total broadcasts do not grow with the number of groups."""
     df = spark.range(20_000).select((F.col("id") % 5000).alias("g"), F.col("id").alias("v"), F.lit(1).alias("m"))
-    order = [("g", True), ("v", True)]
-    chunked = _with_chunk(df, _cut_points(df, order, 16, 50).scalar(), order, 16)
-    pieces = chunked.groupBy("g", "__chunk").count()
-    spans = pieces.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("g"))).filter("k > 1")
-    assert spans.count() <= 2 * 15
-
-
-def test_shuffles_are_shared(spark, sf):
-    """The three readers of the value counts share one shuffle of the table."""
-    df = cf.ecdf(cf.load(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag")
-    df.collect()
-    text = plan(df)
-    assert text.count("Exchange hashpartitioning(l_returnflag") > 1
-    # cut points and rows read the same counts; chunk totals and rows the same chunks
-    assert text.count("ReusedExchange") >= 2
+    cut = in_chunks(df, [("v", True)], "m", ["g"], chunks=7)
+    assert cut.pieces.count() >= 5000
+    assert 0 < cut.spans.count() <= 2 * 6
+
+
+def test_the_number_of_chunks_follows_the_data(spark, sf):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        cut = in_chunks(cf.load(spark, sf, "customer"), [("c_custkey", True)], "c_nationkey")
+        assert cut.rows.select("__chunk").distinct().count() <= 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_box_counts_values_one_by_one_in_few_pieces(spark):
+    """Windows run over the pieces that hold a quartile, not over all rows."""
+    df = spark.range(70_000).select(F.col("id").alias("v"))
+    cut = in_chunks(df.withColumn("n", F.lit(1)), [("v", True)], "n", chunks=7)
+    held = F.col("__sum_n")
+    before = F.coalesce("__before_n", F.lit(0))
+    holds = [(before <= r) & (r < before + held) for r in (F.floor((F.col("__all_n") - 1) * p) for p in (0.25, 0.5, 0.75))]
+    assert cut.pieces.filter(holds[0] | holds[1] | holds[2]).count() <= 3
+
+
+@pytest.mark.parametrize("by", [(), ("event_type",)])
+def test_a_fine_series_is_filled_by_many_tasks(spark, sf, by):
+    events = cf.load(spark, sf, "events")
+    dense = cf.dense_series(events, "ts", "second", by, "2024-01-01", "2024-01-06")
+    sizes = [r["count"] for r in dense.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == (5 if by else 1) * 5 * 86_400 + (5 if by else 1)
+    assert len(sizes) > 1 and max(sizes) < 0.8 * sum(sizes)
 
 
 def test_shared_folder_comes_from_the_session(spark):

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 import chartfold as cf
 
-MARK = 2  # every other row may be a cut point, so that small tables are cut too
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +21,7 @@ def sales(spark):
 
 def test_cumulative_equals_brute_force(sales):
     df, ranked = sales
-    got = {r.k: (r.n, r.cumulative, r.cumulative_share) for r in cf.cumulative(df, "k", chunks=7, rows_per_mark=MARK).collect()}
+    got = {r.k: (r.n, r.cumulative, r.cumulative_share) for r in cf.cumulative(df, "k", chunks=7).collect()}
     run, want = 0, {}
     for k, n in ranked:
         run += n
@@ -72,11 +71,19 @@ def test_funnel_ignores_order_and_repeats(spark):
 
 
 def test_funnel_needs_different_steps(spark):
-    for steps in ([], ["a", "a"], [str(i) for i in range(63)]):
+    for steps in ([], ["a", "a"]):
         with pytest.raises(ValueError):
             cf.funnel(spark.range(1), "id", "id", steps)
 
 
+def test_funnel_of_many_steps(spark):
+    steps = [str(i) for i in range(130)]
+    rows = [(u, s) for u, reach in ((1, 130), (2, 62), (3, 63), (4, 125)) for s in steps[:reach]] + [(5, "129")]
+    df = spark.createDataFrame(rows, "u int, t string")
+    users = {r.step: r.users for r in cf.funnel(df, "u", "t", steps).collect()}
+    assert users == {i: sum(reach >= i for reach in (130, 62, 63, 125)) for i in range(1, 131)}
+
+
 def test_sample_of_negative_null_and_text_keys(spark):
     df = spark.createDataFrame([(-1,), (-3,), (0,), (2,), (None,)], "k int")
     assert sorted(r.k for r in cf.keyed_sample(df, "k", 3, 2).collect()) == [-1, 2]
