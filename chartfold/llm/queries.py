@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chartfold.llm import bpe_count, chat, linecrf
+from chartfold.llm import bpe_count, chat, linecrf, mixing, reshard
 
 QUERIES = {}
 SQL = {}
@@ -44,3 +45,23 @@ def op8_chat_formatting(spark, d):
 def op10_quality_rules(spark, d):
     docs = table(spark, d, "documents")
     return linecrf.quality_rules(docs, linecrf.train(docs, table(spark, d, "labels")))
+
+
+@query()
+def op3_source_mixing(spark, d):
+    return mixing.report(mixing.mix(table(spark, d, "documents")))
+
+
+@query()
+def op4_resharding(spark, d):
+    """From 32 shards by a hash of the id to 40 of equal bytes."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, d, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int").alias("old_shard"), F.xxhash64("doc_id", F.lit(1)).alias("hash"),
+    )
+    placed = reshard.reshard(rows, "old_shard", "size", ["hash", "doc_id"], 32, 40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
