@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartfold.llm import bpe_count, chat, linecrf, mixing, reshard
+from chartfold.llm import bpe_count, chat, jaccard, linecrf, mixing, reshard
 
 QUERIES = {}
 SQL = {}
@@ -65,3 +65,8 @@ def op4_resharding(spark, d):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query()
+def op5_jaccard_join(spark, d):
+    return jaccard.jaccard_components(table(spark, d, "documents"), k=3, percent=90)
