@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartfold.llm import bpe_count, chat, jaccard, linecrf, mixing, reshard
+from chartfold.llm import bpe_count, chat, jaccard, linecrf, mixing, qda, reshard
 
 QUERIES = {}
 SQL = {}
@@ -70,3 +70,9 @@ def op4_resharding(spark, d):
 @query()
 def op5_jaccard_join(spark, d):
     return jaccard.jaccard_components(table(spark, d, "documents"), k=3, percent=90)
+
+
+@query()
+def op7_quality_classifier(spark, d):
+    docs = table(spark, d, "documents")
+    return qda.score_quality(docs, qda.train(docs, table(spark, d, "labels")))
