@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartfold.llm import bpe_count, chat, jaccard, linecrf, mixing, qda, reshard
+from chartfold.llm import bpe_count, chat, jaccard, langid, linecrf, mixing, qda, reshard
 
 QUERIES = {}
 SQL = {}
@@ -76,3 +76,9 @@ def op5_jaccard_join(spark, d):
 def op7_quality_classifier(spark, d):
     docs = table(spark, d, "documents")
     return qda.score_quality(docs, qda.train(docs, table(spark, d, "labels")))
+
+
+@query()
+def op9_language_id(spark, d):
+    docs = table(spark, d, "documents")
+    return langid.identify(docs, langid.train(docs))
