@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartfold.llm import bpe_count, chat, jaccard, langid, linecrf, mixing, qda, reshard
+from chartfold.llm import bpe_count, chat, jaccard, langid, linecrf, mixing, piece_nbest, qda, reshard
 
 QUERIES = {}
 SQL = {}
@@ -82,3 +82,15 @@ def op7_quality_classifier(spark, d):
 def op9_language_id(spark, d):
     docs = table(spark, d, "documents")
     return langid.identify(docs, langid.train(docs))
+
+
+@query()
+def op2_piece_nbest(spark, d):
+    """Pieces of every whole text, the best three segmentations, and whether decoding gives the text back."""
+    encoded = piece_nbest.encode(table(spark, d, "documents"), PIECE_MODEL, n=3)
+    return piece_nbest.decode(encoded, PIECE_MODEL).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "score", F.xxhash64("ids").alias("ids_hash"),
+        (F.size("others") + 1).alias("n_best"), F.get("others", F.lit(0)).getField("score").alias("second_score"),
+        F.get("others", F.lit(1)).getField("score").alias("third_score"),
+        F.coalesce("decoded", F.lit("")).eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
