@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartfold.llm import bpe_count, chat, jaccard, langid, linecrf, mixing, piece_nbest, qda, reshard
+from chartfold.llm import (
+    bpe_count, chat, jaccard, langid, linecrf, mixing, multiindex, piece_nbest, qda, reshard,
+)
 
 QUERIES = {}
 SQL = {}
@@ -94,3 +96,8 @@ def op2_piece_nbest(spark, d):
         F.get("others", F.lit(1)).getField("score").alias("third_score"),
         F.coalesce("decoded", F.lit("")).eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
+
+
+@query()
+def op1_embedding_near_dedup(spark, d):
+    return multiindex.near_copies(table(spark, d, "embeddings"))
