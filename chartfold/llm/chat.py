@@ -36,6 +36,8 @@ def _escaped(texts: Texts, role: bool = False) -> tuple[np.ndarray, np.ndarray]:
         mark |= (b == ord(":")) | (b == ord("\n"))
     left = np.repeat(texts.at[1:], texts.n_bytes) - np.arange(len(b))  # bytes from here to the text's end
     for string in (b"###", b"</turn>"):
+        if len(b) < len(string):
+            continue
         found = left >= len(string)
         for i, c in enumerate(string):
             found[: len(b) - i] &= b[i:] == c

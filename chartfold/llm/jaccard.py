@@ -28,14 +28,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartfold.llm.components import components
-from chartfold.llm.textbatch import LOWER, Texts, Words, column, mix, runs, slices, span_hashes
+from chartfold.llm.textbatch import LOWER, Texts, Words, column, fresh, mix, runs, slices, span_hashes
 from chartfold.sources.scratch import stored
 
 MASK = (1 << 64) - 1
 #: comparing a candidate costs as much as so many signatures
 COMPARE = 50
-#: groups up to this size compare all their pairs at once; larger ones pivot by pivot
+#: the sets of a signature, up to so many, are compared in pairs; of more, in blocks
 SMALL = 16
+#: most sets of a block, and most elements in them, on average
+BLOCK_SETS, BLOCK_ELEMENTS = 256, 1 << 20
 #: up to so many ids are sent to all executors; more are joined by a shuffle
 SENT = 1_000_000
 
@@ -213,6 +215,79 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(compared.groupBy("a", "b").agg(F.max("linked").alias("linked")), "compared")
 
 
+def _linked(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of ``x`` and ``y`` are similar, from products of their incidence matrices."""
+    sizes = [np.array([len(s) for s in part]) for part in (x, y)]
+    flat = np.concatenate([*x, *y])
+    row = np.repeat(np.arange(len(x) + len(y)), np.concatenate(sizes))
+    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[place] > 1  # an element of one set only meets none
+    place, row = (np.cumsum(count > 1) - 1)[place[shared]], row[shared]
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    both = np.zeros((len(x), len(y)), np.float32)
+    width = 4096
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        a, b = np.searchsorted(place, [lo, lo + width])
+        held = np.zeros((len(x) + len(y), width), np.float32)
+        held[row[a:b], place[a:b] - lo] = 1
+        both += held[: len(x)] @ held[len(x) :].T
+    both = both.astype(np.int64)  # whole numbers below 2 ** 24 are exact in float32
+    return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+
+
+def _forest(linked: np.ndarray, x: list, y: list) -> list[tuple]:
+    """Links that join what ``linked`` joins, one less than there are nodes at most."""
+    parent: dict = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    out = []
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = root(x[i]), root(y[j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((max(x[i], y[j]), min(x[i], y[j])))
+    return out
+
+
+def _within_groups(members: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Links between sets of large groups: (``a``, ``b``) that join all that are similar.
+
+    Groups (``p``) that overlap are one.  Its sets are dealt into blocks of
+    bounded size and a task compares two blocks, so no task holds a group, and
+    what a task puts out are not its pairs but a forest over its sets.
+    """
+    group = components(members.select(F.col("id").alias("a"), F.col("p").alias("b"))).select(
+        F.col("node").alias("id"), F.col("component").alias("g")
+    )
+    group = group.unionByName(group.select(F.col("g").alias("id"), "g")).distinct()
+    held = group.join(sets, "id").select("g", "id", F.size("set").alias("n"))
+    blocks = held.groupBy("g").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("k")
+    )
+    dealt = group.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
+    sent = dealt.select("g", "id", "block", other).join(sets, "id").select(
+        "g", F.greatest("block", "other").alias("i"), F.least("block", "other").alias("j"), "block", "id", "set"
+    )
+
+    def compare(rows: pa.Table) -> pa.Table:
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        block, ids = rows["block"].to_numpy(), rows["id"].to_pylist()
+        found = [s.values.to_numpy() for s in rows["set"]]
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        linked = _linked([found[k] for k in x], [found[k] for k in y], percent) if len(x) and len(y) else np.zeros((0, 0))
+        pairs = _forest(linked, [ids[k] for k in x], [ids[k] for k in y])
+        kind_of = rows.schema.field("id").type
+        return pa.table([pa.array([p[k] for p in pairs], kind_of) for k in (0, 1)], names=["a", "b"])
+
+    return stored(sent.groupBy("g", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}"), "found")
+
+
 def jaccard_components(
     docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -253,6 +328,9 @@ def jaccard_components(
                 (F.col("leads") | ~F.col("met") | (F.count(F.lit(1)).over(group) > 1)).alias("some"))
         .filter("some").drop("some"), "met",
     )
+    candidates = stored(
+        met.filter("id <> p").select(F.explode(F.array("id", "p")).alias("id")).distinct(), "candidates"
+    )
     sizes = node_of.groupBy("node").agg(F.max("n").alias("n"), F.min("n").alias("least"))
     pairs = met.filter("id <> p").select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
     for side in ("a", "b"):
@@ -261,7 +339,6 @@ def jaccard_components(
     pairs = stored(
         pairs.filter(f"100 * n_a >= {percent} * l_b AND 100 * n_b >= {percent} * l_a").select("a", "b"), "pairs"
     )
-    candidates = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
     sets = stored(_sets(_picked(rows, candidates), k, kind), "sets")
 
     # the smallest candidate of each set first
@@ -278,29 +355,22 @@ def jaccard_components(
     rest = labelled(pairs.join(compared, ["a", "b"], "left_anti"), to)
     compared = stored(compared.unionByName(_compare(rest, sets, percent)), "compared")
 
-    # sets that met under a signature, but were not compared with one another
-    members = met.select("sig", "id")
-    while True:
-        links = compared.filter("linked").select("a", "b")
-        joined = components(links)
-        inside = members.join(joined.withColumnRenamed("node", "id"), "id", "left").select(
-            "sig", "id", F.coalesce("component", "id").alias("c")
-        )
-        open_ = inside.groupBy("sig").agg(
-            F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("n"), F.min("id").alias("p")
-        ).filter("c1 < c2").select("sig", "n", "p")
-        inside = stored(inside.join(open_, "sig"), "open")
-        if inside.isEmpty():
-            break
-        few = inside.filter(F.col("n") <= SMALL)
-        other = few.select("sig", F.col("id").alias("b"), F.col("c").alias("c_b"))
-        crossing = few.join(other, "sig").filter("b < id AND c <> c_b").select(F.col("id").alias("a"), "b")
-        many = inside.filter(F.col("n") > SMALL)
-        head = many.filter("id = p").select("sig", F.col("c").alias("c_p"))
-        against = many.join(head, "sig").filter("c <> c_p").select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b"))
-        new = crossing.unionByName(against).distinct().join(compared, ["a", "b"], "left_anti")
-        compared = stored(compared.unionByName(_compare(new, sets, percent)), "compared")
-        members = many.filter("id <> p").select("sig", "id")
+    # sets that met under a signature, were not compared, and are not in one component yet
+    joined = components(compared.filter("linked"))
+    inside = met.select("sig", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select(
+        "sig", "id", F.coalesce("component", "id").alias("c")
+    )
+    open_ = inside.groupBy("sig").agg(
+        F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("n"), F.min("id").alias("p")
+    ).filter("c1 < c2").select("sig", "n", "p")
+    inside = stored(inside.join(open_, "sig"), "open")
+    few = inside.filter(F.col("n") <= SMALL)
+    other = few.select("sig", F.col("id").alias("b"), F.col("c").alias("c_b"))
+    crossing = few.join(other, "sig").filter("b < id AND c <> c_b").select(F.col("id").alias("a"), "b").distinct()
+    crossing = _compare(crossing.join(compared, ["a", "b"], "left_anti"), sets, percent)
+    found = _within_groups(inside.filter(F.col("n") > SMALL).select("id", "p"), sets, percent, kind)
+    links = compared.unionByName(crossing).filter("linked").select("a", "b").unionByName(found)
+    joined = components(links)
 
     component = node_of.select("digest", "node").join(joined, "node", "left").select(
         F.col("digest").alias("__digest"), F.coalesce("component", "node").alias("__component")
@@ -308,3 +378,25 @@ def jaccard_components(
     return shingled.join(component, F.col("digest") == F.col("__digest"), "left").select(
         F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("__component", "id").alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, one of each group of linked texts: the one with the smallest id.
+
+    Rows that share an id are one group too, of which the row with the least
+    hash stays.  Texts without words are linked with nothing and stay, and rows
+    without an id are not compared and stay.  The columns are those of ``docs``.
+    """
+    named = docs.filter(F.col(id).isNotNull())
+    found = jaccard_components(named.select(id, text), id, text, k, percent)
+    key, n, place = (fresh(c, docs.columns) for c in ("__id", "__n", "__place"))
+    staying = stored(
+        found.filter(F.col(id) == F.col("component_id")).groupBy(F.col(id).alias(key)).agg(F.count(F.lit(1)).alias(n)),
+        "staying",
+    )
+    few = staying.count() <= SENT
+    rows = named.join(F.broadcast(staying) if few else staying, F.col(id) == F.col(key))
+    single = rows.filter(F.col(n) == 1).select(docs.columns)
+    first = W.partitionBy(id).orderBy(F.xxhash64(*docs.columns))
+    several = rows.filter(F.col(n) > 1).withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1)
+    return single.unionByName(several.select(docs.columns)).unionByName(docs.filter(F.col(id).isNull()))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartfold.functions.keys import all_of, same
+from chartfold.llm.textbatch import fresh
 from chartfold.plans.running import running_total
 from chartfold.sources.scratch import stored
 
@@ -131,13 +132,13 @@ def report(mixed: DataFrame, id: str = "doc_id") -> DataFrame:
 
 def take(docs: DataFrame, mixed: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``."""
+    names = [fresh(c, docs.columns) for c in ("__id", "__text_hash", "__source", "__copies", "__copy")]
     taken = mixed.filter("copies > 0").select(
-        F.col("id").alias("__id"), F.col("text_hash").alias("__text_hash"), F.col("source").alias("__source"),
-        F.col("copies").alias("__copies"),
+        *[F.col(c).alias(n) for c, n in zip(("id", "text_hash", "source", "copies"), names)]
     )
+    key, text_hash, of, copies, copy = names
     on = all_of([
-        same(docs[id], F.col("__id")), F.xxhash64(docs[text]) == F.col("__text_hash"), same(docs[source], F.col("__source")),
+        same(F.col(id), F.col(key)), F.xxhash64(F.col(text)) == F.col(text_hash), same(F.col(source), F.col(of)),
     ])
-    return docs.join(taken, on).select(
-        *[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")
-    ).drop("__copy")
+    repeated = docs.join(taken, on).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return repeated.select(docs.columns)

@@ -7,7 +7,7 @@ operations instead of a loop over rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -46,6 +46,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def fresh(name: str, taken: Sequence[str]) -> str:
+    """A column name like ``name`` that is not ``taken``, in any case of letters."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A text column; ids and the like are left alone."""
     return batch.column(batch.schema.get_field_index(name))

@@ -1,0 +1,145 @@
+"""Token counts, quality rules and what they share, against the library and brute force."""
+
+import itertools
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from brute import counts, messy, words
+from chartfold.llm import bpe_count, linecrf
+from chartfold.llm.queries import PIECE_MODEL, table
+from chartfold.llm.textbatch import Texts, Words, slices, span_hashes
+
+CHUNKS = st.lists(st.sampled_from([
+    "a", "b", " ", "  ", "▁", "\n", "\t", "é", "<s>", "</s>", "<0x0A>", "執", "ﬁ", "\x00", "the", "ing", "🙂", "_", ".",
+]), max_size=14).map("".join)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+
+
+@settings(max_examples=400, deadline=None)
+@given(CHUNKS)
+def test_counts_are_those_of_the_library(library, text):
+    assert bpe_count.count_tokens(text, PIECE_MODEL) == len(library.encode(text))
+
+
+def test_token_counts_of_all_documents(spark, sf, library):
+    docs = table(spark, sf, "documents")
+    got = {r.doc_id: r for r in bpe_count.token_counts(docs, PIECE_MODEL).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert {i: r.n_tokens for i, r in got.items()} == {i: len(library.encode(t)) for i, t in texts.items()}
+    assert all(got[i].n_bytes == len(t.encode()) and got[i].over_limit == (got[i].n_tokens > 4096) for i, t in texts.items())
+
+
+def test_token_counts_of_hard_rows(spark, library):
+    df = messy(spark)
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in bpe_count.token_counts(df, PIECE_MODEL).collect())
+    want = sorted((r.doc_id or -1, len((r.text or "").encode()), len(library.encode(r.text or ""))) for r in df.collect())
+    assert got == want
+    assert bpe_count.token_counts(df.limit(0), PIECE_MODEL).collect() == []
+
+
+def test_remembered_words_are_renewed(monkeypatch, library):
+    monkeypatch.setattr(bpe_count, "REMEMBERED", 3)
+    known = bpe_count.WordCounts(bpe_count.PieceRanks(PIECE_MODEL))
+    for w in ["▁the", "▁a", "▁of", "▁the", "▁and", "▁the", "▁in", "▁a"]:
+        assert known[w] == len(library.encode(w[1:]))
+    assert len(known) <= 3
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab \n\té", max_size=30)), min_size=1, max_size=8))
+def test_words_of_a_batch(texts):
+    found = Texts(pa.array(texts, pa.string()))
+    w = Words(found)
+    assert w.counts.tolist() == [len(words(t)) for t in texts]
+    raw = [found.data[a:b].tobytes().decode() for a, b in zip(w.begin, w.end)]
+    assert raw == [x for t in texts for x in words(t)]
+    hashes = span_hashes(found.data, w.begin, w.end)
+    assert len(set(hashes.tolist())) == len(set(raw))
+
+
+def test_slices_keep_all_rows():
+    batch = pa.record_batch([pa.array(["x" * n for n in (5, 0, 50, 3, 3, 3)])], ["t"]).slice(1)
+    got = [s.column(0).to_pylist() for s in slices(iter([batch]), "t", 7)]
+    assert [x for s in got for x in s] == ["", "x" * 50, "xxx", "xxx", "xxx"] and len(got) > 2
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a b c d e", "a", "# x", " ", "\n", "b c", "\t|", "é &&"]), max_size=30).map("".join))
+def test_text_counts(text):
+    got = linecrf.judge(pa.array([text]), linecrf.LineCRF())
+    assert tuple(int(got[c][0]) for c in linecrf.COUNTS) == counts(text)
+
+
+@pytest.fixture(scope="module")
+def crf(spark):
+    d = "/root/testdata/sf0.1"
+    return linecrf.train(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def test_rules_of_all_documents(spark, sf, crf):
+    docs = table(spark, sf, "documents")
+    got = {r.doc_id: r for r in linecrf.quality_rules(docs, crf).collect()}
+    for d in docs.collect():
+        r, want = got[d.doc_id], counts(d.text)
+        assert tuple(r[c] for c in linecrf.COUNTS) == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert r.kept == (not r.base_failed and r.content_share >= 0.5)
+
+
+def test_labelled_documents_are_told_apart(spark, sf, crf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    got = linecrf.quality_rules(docs, crf).join(labels, "doc_id").filter("NOT base_failed").collect()
+    right = sum(r.kept == bool(r.quality) for r in got)
+    assert right >= 0.98 * len(got)
+
+
+def test_viterbi_is_the_best_labelling(crf):
+    rng = random.Random(4)
+    chain = linecrf.LineCRF(step=np.array([[0.7, -1.1], [-0.4, 0.9]]))
+    for _ in range(200):
+        e = [rng.gauss(0, 2) for _ in range(rng.randint(1, 9))]
+
+        def value(labels):
+            return sum(x for x, y in zip(e, labels) if y) + sum(chain.step[a, b] for a, b in zip(labels, labels[1:]))
+
+        best = max(map(value, itertools.product((0, 1), repeat=len(e))))
+        assert value(chain.viterbi(e)) == pytest.approx(best)
+
+
+def test_gradient_raises_the_likelihood():
+    rng = np.random.default_rng(0)
+    bins = rng.integers(0, 2, (40, 6, len(linecrf.CUTS)))
+    labels = (bins[:, :, 0] > 0).astype(int)
+    lengths = rng.integers(1, 7, 40)
+    fitted = linecrf.LineCRF().fit(bins, labels, lengths)
+    right = [(np.array(fitted.viterbi(fitted.emissions(b[:n]).tolist())) == y[:n]).all() for b, y, n in zip(bins, labels, lengths)]
+    assert np.mean(right) == 1
+
+
+def test_rules_of_hard_rows(spark, crf):
+    df = messy(spark)
+    got = linecrf.quality_rules(df, crf).collect()
+    assert len(got) == df.count()
+    assert all(r.base_failed and not r.kept for r in got if r.doc_id in (2, 3, 4, 9, 10))
+    kept = linecrf.keep_good(df, crf)
+    assert kept.columns == df.columns
+    assert kept.count() == sum(r.kept for r in got)
+    assert linecrf.quality_rules(df.limit(0), crf).collect() == [] == linecrf.keep_good(df.limit(0), crf).collect()
+
+
+def test_nothing_to_learn_from(spark):
+    df = messy(spark)
+    none = spark.createDataFrame([(None, 1), (1, None), (99, 0)], "doc_id bigint, quality int")
+    chain = linecrf.train(df, none)
+    assert chain.viterbi([chain.bias] * 3) == [1, 1, 1]
+    assert linecrf.train(df.limit(0), none.limit(0)).bias > 0
