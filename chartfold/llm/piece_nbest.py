@@ -29,17 +29,17 @@ from pyspark.sql import functions as F
 from chartfold.llm.textbatch import column, slices
 
 MARK = "▁"
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 UNKNOWN_BELOW = 10.0  # a character without a piece scores so much less than the worst one with
 
 
 @dataclass(slots=True)
 class Part:
-    """The best segmentation of a part, and how much the next ones lose on it."""
+    """The best segmentation of a part, and how much the next one loses on it."""
 
+    text: str
     ids: bytes  # int32
     score: float
-    others: tuple[tuple[float, tuple[int, ...]], ...]  # (loss, pieces), least first
     gap: float
 
 
@@ -142,41 +142,46 @@ class Remembered(dict):
         return got
 
 
-def _parts_of_words(pieces: Pieces, n: int) -> Remembered:
-    """The parts of a word, each with its N best."""
-
-    def search(part: str) -> Part:
-        (score, ids), *rest = pieces.nbest(part, n)
-        others = tuple([(score - s, i) for s, i in rest])
-        return Part(array("i", ids).tobytes(), score, others, others[0][0] if others else inf)
-
-    known = Remembered(search)
-    return Remembered(lambda word: tuple([known[p] for p in pieces.cut(word)]))
-
-
-def _cheapest(parts: list[Part], n: int) -> list[tuple[float, list[tuple[int, int]]]]:
-    """The ``n`` least (loss, [(part, which of its others)]), that of nothing changed first.
-
-    Only the ``n - 1`` parts that lose least can be in them: with any other part
-    changed there are already ``n`` that lose no more.
-    """
-    if n == 1:
-        return [(0.0, [])]
-    near = nsmallest(n - 1, [(p.gap, i) for i, p in enumerate(parts) if p.others])
-    heap, out = [(0.0, ())], []
-    while heap and len(out) < n:
-        loss, changed = heappop(heap)
-        out.append((loss, [(near[k][1], which) for k, which in changed]))
-        # every set of changes is made from one other: by its last part's next choice, or by one more part
-        last = changed[-1][0] if changed else -1
-        if changed:
-            k, which = changed[-1]
-            others = parts[near[k][1]].others
-            if which + 1 < len(others):
-                heappush(heap, (loss - others[which][0] + others[which + 1][0], (*changed[:-1], (k, which + 1))))
-        for k in range(last + 1, len(near)):
-            heappush(heap, (loss + near[k][0], (*changed, (k, 0))))
-    return out
+class Known:
+    """What has been searched so far: the parts of words, and the next best of those parts that were asked for."""
+
+    def __init__(self, pieces: Pieces, n: int):
+        def search(part: str) -> Part:
+            (score, ids), *rest = pieces.nbest(part, min(n, 2))
+            return Part(part, array("i", ids).tobytes(), score, score - rest[0][0] if rest else inf)
+
+        def others(part: str) -> list[tuple[float, tuple[int, ...]]]:
+            (score, _), *rest = pieces.nbest(part, n)
+            return [(score - s, ids) for s, ids in rest]
+
+        parts = Remembered(search)
+        self.words = Remembered(lambda word: tuple([parts[p] for p in pieces.cut(word)]))
+        self.others = Remembered(others)
+
+    def cheapest(self, parts: list[Part], n: int) -> list[tuple[float, list[tuple[int, tuple[int, ...]]]]]:
+        """The ``n`` least (loss, [(part, its other pieces)]), that of nothing changed first.
+
+        Only the ``n - 1`` parts that lose least can be in them: with any other
+        part changed there are already ``n`` that lose no more.
+        """
+        if n == 1:
+            return [(0.0, [])]
+        near = [(i, self.others[parts[i].text])
+                for gap, i in nsmallest(n - 1, [(p.gap, i) for i, p in enumerate(parts)]) if gap < inf]
+        heap, out = [(0.0, ())], []
+        while heap and len(out) < n:
+            loss, changed = heappop(heap)
+            out.append((loss, [(near[k][0], near[k][1][which][1]) for k, which in changed]))
+            # every set of changes is made from one other: by its last part's next choice, or by one more part
+            last = -1
+            if changed:
+                last, which = changed[-1]
+                others = near[last][1]
+                if which + 1 < len(others):
+                    heappush(heap, (loss - others[which][0] + others[which + 1][0], (*changed[:-1], (last, which + 1))))
+            for k in range(last + 1, len(near)):
+                heappush(heap, (loss + near[k][1][0][0], (*changed, (k, 0))))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -185,25 +190,24 @@ def _pieces(model_path: str) -> Pieces:
 
 
 @lru_cache(maxsize=2)
-def _parts(model_path: str, n: int) -> Remembered:
-    return _parts_of_words(_pieces(model_path), n)
+def _known(model_path: str, n: int) -> Known:
+    return Known(_pieces(model_path), n)
 
 
 def encode_text(text: str | None, model_path: str, n: int = 3) -> tuple[bytes, float, list[dict]]:
     """Best pieces (int32), their score, and the next best ones as edits of these."""
     if not text:
         return b"", 0.0, []
-    known = _parts(model_path, n)
+    known = _known(model_path, n)
     words = _pieces(model_path).words(MARK + text.replace(" ", MARK))
-    parts = list(chain.from_iterable(map(known.__getitem__, words)))
+    parts = list(chain.from_iterable(map(known.words.__getitem__, words)))
     ids = [p.ids for p in parts]
     score = sum([p.score for p in parts])
     others = []
-    for loss, changes in _cheapest(parts, n)[1:]:
+    for loss, changes in known.cheapest(parts, n)[1:]:
         edits = []
-        for i, which in sorted(changes):
-            at = sum(map(len, ids[:i])) // 4
-            edits.append({"at": at, "drop": len(ids[i]) // 4, "ids": list(parts[i].others[which][1])})
+        for i, other in sorted(changes):
+            edits.append({"at": sum(map(len, ids[:i])) // 4, "drop": len(ids[i]) // 4, "ids": list(other)})
         others.append({"score": score - loss, "edits": edits})
     return b"".join(ids), score, others
 
