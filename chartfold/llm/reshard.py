@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chartfold.llm.textbatch import fresh
 from chartfold.plans.running import running_total
 from chartfold.sources.scratch import stored
 
@@ -100,8 +101,13 @@ def reshard(
     unless given.  Rows of an old shard go by the hash columns ``order``; rows
     larger than ``grain`` times a capacity come first, the largest ahead, so that
     blocks are cut between small rows and shards come out near their capacity.
-    A row that a cut falls into goes to the side that has its middle.
+    A row that a cut falls into goes to the side that has its middle.  Repeated
+    rows are placed one by one.  Columns of ``rows`` named like those of the
+    result give way to them.
     """
+    if old in ("shard", "slot"):
+        raise ValueError(f"{old!r} is a column of the result")
+    rows = rows.drop("shard", "slot")
     base = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "reshard")
     found = base.groupBy(old).agg(F.sum(size).alias("bytes")).collect()  # a row per old shard
     sizes = [0] * old_shards
@@ -153,8 +159,11 @@ def rewrite(docs: DataFrame, placed: DataFrame, key: str, old: str, path: str) -
     """Writes the affected shards of ``docs`` below ``path``, one folder each, ordered by slot.
 
     ``placed`` is the result of :func:`reshard` over the same ``key`` (unique).
-    Shards that keep all their rows are not touched.
+    Shards that keep all their rows are not touched.  Columns of ``docs`` named
+    ``shard`` and ``slot`` give way to the new ones.
     """
-    plan = placed.select(F.col(key).alias("__key"), "shard", "slot").join(affected(placed, old), "shard")
-    rows = docs.join(plan, docs[key] == F.col("__key")).drop("__key")
+    docs = docs.drop("shard", "slot")
+    same = fresh("__key", docs.columns)
+    plan = placed.select(F.col(key).alias(same), "shard", "slot").join(affected(placed, old), "shard")
+    rows = docs.join(plan, F.col(key) == F.col(same)).drop(same)
     rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
