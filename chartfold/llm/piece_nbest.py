@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from chartfold.llm.textbatch import column, slices
 
 MARK = "▁"
-REMEMBERED = 500_000
+#: words and parts that a worker remembers, twice: some 250 MB together
+REMEMBERED = 200_000
 UNKNOWN_BELOW = 10.0  # a character without a piece scores so much less than the worst one with
 
 
@@ -65,7 +66,7 @@ class Pieces:
                 value = int(p[3:5], 16)
                 self.byte[value], self.text[i] = i, bytes([value])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                self.text[i] = p
+                self.text[i] = p.replace(MARK, " ")
                 self.table[p] = (sp.get_score(i), (i,))
                 for j in range(1, len(p)):
                     self.table.setdefault(p[:j])
@@ -73,6 +74,7 @@ class Pieces:
         single = [v[0] for p, v in self.table.items() if v and len(p) == 1]
         self.unknown = min(single, default=0.0) - UNKNOWN_BELOW
         self.inner = inner
+        self.mark = Part(MARK, array("i", [self.byte[b] for b in MARK.encode()]).tobytes(), self.unknown, inf)
         held = set("".join(self.table))
         if any(MARK in p.lstrip(MARK) for p in self.table):
             raise ValueError(f"{model_path} has pieces that reach over the start of a word")
@@ -198,9 +200,14 @@ def encode_text(text: str | None, model_path: str, n: int = 3) -> tuple[bytes, f
     """Best pieces (int32), their score, and the next best ones as edits of these."""
     if not text:
         return b"", 0.0, []
-    known = _known(model_path, n)
-    words = _pieces(model_path).words(MARK + text.replace(" ", MARK))
-    parts = list(chain.from_iterable(map(known.words.__getitem__, words)))
+    known, pieces = _known(model_path, n), _pieces(model_path)
+    parts: list[Part] = []
+    # the mark stands for a space; where it is in the text itself it goes as bytes, to come back as it was
+    for i, stretch in enumerate(text.split(MARK)):
+        if i:
+            parts.append(pieces.mark)
+        words = pieces.words(("" if i else MARK) + stretch.replace(" ", MARK))
+        parts += chain.from_iterable(map(known.words.__getitem__, words))
     ids = [p.ids for p in parts]
     score = sum([p.score for p in parts])
     others = []
@@ -222,7 +229,7 @@ def encode(docs: DataFrame, model_path: str, id: str = "doc_id", text: str = "te
     next ``n - 1``, fewer if there are no more: each by its score and the edits
     that make it from ``ids`` (``drop`` pieces from ``at`` on give way to its
     ``ids``).  A score is the sum of the scores in the file; a character without
-    a piece becomes its UTF-8 bytes.  Null and empty texts have no pieces.  No
+    a piece, and a word mark in the text itself, becomes its UTF-8 bytes.  Null and empty texts have no pieces.  No
     begin or end piece is added, and no string in a text is taken for one.
     Other columns are not looked at.  ``model_path`` must exist on every machine.
     """
@@ -261,7 +268,7 @@ def decode_ids(ids: np.ndarray, model_path: str) -> str:
         out.append(piece)
     if raw:
         out.append(raw.decode(errors="replace"))
-    return "".join(out).replace(MARK, " ").removeprefix(" ")
+    return "".join(out).removeprefix(" ")
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

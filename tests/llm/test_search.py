@@ -56,6 +56,12 @@ def test_nbest_equals_exhaustive_search(text, n):
     assert piece_nbest.decode_ids(ids, PIECE_MODEL) == text
 
 
+def test_marks_in_the_text_come_back():
+    for text in ("▁", "▁a", " ▁", "a▁▁ b", "▁ ", "a ▁b▁"):
+        ids = np.frombuffer(piece_nbest.encode_text(text, PIECE_MODEL)[0], np.int32)
+        assert piece_nbest.decode_ids(ids, PIECE_MODEL) == text
+
+
 def test_long_runs_of_equal_letters_end():
     text = "a" * 20_000
     ids, _, others = piece_nbest.encode_text(text, PIECE_MODEL, 3)
