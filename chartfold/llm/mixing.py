@@ -86,7 +86,7 @@ def mix(
     reruns agree.  A hot source is cut into chunks like any long series.
     """
     entries = stored(
-        docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(source).alias("source"),
+        docs.select(F.col(id).alias("id"), F.md5(text).alias("text_hash"), F.col(source).alias("source"),
                     word_count(text).alias("size"))
         .groupBy("id", "text_hash", "source")
         .agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("size")),
@@ -99,7 +99,7 @@ def mix(
     ).drop("__source")
 
     shuffled = aimed.filter("size > 0").withColumns({
-        "__size": F.col("size") * F.col("rows"), "__order": F.xxhash64(F.col("id"), "text_hash", F.lit(seed)),
+        "__size": F.col("size") * F.col("rows"), "__order": F.md5(F.concat_ws("/", F.col("id").cast("string"), "text_hash", F.lit(str(seed)))),
     })
     queued = running_total(
         shuffled, [("__order", True), ("id", True), ("text_hash", True)], "__size", "source", out="__upto"
@@ -138,7 +138,7 @@ def take(docs: DataFrame, mixed: DataFrame, id: str = "doc_id", text: str = "tex
     )
     key, text_hash, of, copies, copy = names
     on = all_of([
-        same(F.col(id), F.col(key)), F.xxhash64(F.col(text)) == F.col(text_hash), same(F.col(source), F.col(of)),
+        same(F.col(id), F.col(key)), same(F.md5(F.col(text)), F.col(text_hash)), same(F.col(source), F.col(of)),
     ])
     repeated = docs.join(taken, on).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return repeated.select(docs.columns)

@@ -127,7 +127,7 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span (in order, not overlapping).
+    """A 64-bit hash of the bytes (or code points) of each span (in order, not overlapping).
 
     Spans are hashed by prefix sums of byte values times powers of an odd
     number, which one more power brings back to the start of its span.
@@ -140,7 +140,8 @@ def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
         size = max(HASH_BYTES, 1 << int(hi - lo).bit_length()) if hi - lo > HASH_BYTES else HASH_BYTES
         up, down = _powers(int(size) + 1)
         prefix = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[data[lo:hi]] * up[: hi - lo], out=prefix[1:])
+        value = _BYTE[data[lo:hi]] if data.dtype == np.uint8 else mix((data[lo:hi].astype(np.uint64) + np.uint64(1)) * _STEP)
+        np.cumsum(value * up[: hi - lo], out=prefix[1:])
         b, e = begin[i:j] - lo, end[i:j] - lo
         out[i:j] = mix((prefix[e] - prefix[b]) * down[b] + (e - b).astype(np.uint64))
         i = j
