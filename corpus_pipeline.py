@@ -8,7 +8,6 @@ it again, so a lost executor costs a stage at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chartfold.llm import jaccard, linecrf, mixing, piece_nbest, qda
 from chartfold.llm.queries import PIECE_MODEL, table
@@ -42,9 +41,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every text, the best three segmentations, and whether they decode to the text."""
-    encoded = piece_nbest.decode(piece_nbest.encode(docs, PIECE_MODEL, n=3), PIECE_MODEL)
-    same = F.coalesce("decoded", F.lit("")).eqNullSafe(F.coalesce("text", F.lit("")))
-    return encoded.select("doc_id", "ids", "score", "others", same.alias("round_trip"))
+    return piece_nbest.encode(docs, PIECE_MODEL, n=3)
 
 
 STAGES = [
