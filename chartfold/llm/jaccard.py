@@ -32,6 +32,7 @@ from chartfold.llm.textbatch import LOWER, Texts, Words, column, fresh, mix, run
 from chartfold.sources.scratch import stored
 
 MASK = (1 << 64) - 1
+LOW = np.uint64(255)
 #: comparing a candidate costs as much as so many signatures
 COMPARE = 50
 #: the sets of a signature, up to so many, are compared in pairs; of more, in blocks
@@ -146,18 +147,48 @@ def signatures(found: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _digests(docs: DataFrame, k: int, kind: str) -> DataFrame:
-    """id, n, and a digest of the set; null without words."""
+    """id, n, a digest of the set (null without words), and how many elements it has in each of 256 buckets."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             sets = shingles(Texts(column(batch, "text")), k)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            counts = [np.minimum(np.bincount((mix(s + np.uint64(3)) & LOW).astype(np.int64), minlength=256), 255) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())],
-                ["id", "n", "digest"],
+                [column(batch, "id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                 pa.array([c.astype(np.uint8).tobytes() for c in counts], pa.binary())],
+                ["id", "n", "digest", "counts"],
             )
 
-    return docs.mapInArrow(run, f"id {kind}, n bigint, digest binary")
+    return docs.mapInArrow(run, f"id {kind}, n bigint, digest binary, counts binary")
+
+
+def _plausible(pairs: DataFrame, shingled: DataFrame, percent: int, kind: str) -> DataFrame:
+    """The ``pairs`` (``a``, ``b``) that may be similar by their sizes and counts.
+
+    Two sets differ in at least as many elements as their counts do, so no
+    similar pair is lost; most pairs that met by chance go without a comparison.
+    """
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = column(batch, "n_a").to_numpy(), column(batch, "n_b").to_numpy()
+            counts = [
+                np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
+                for c in ("counts_a", "counts_b")
+            ]
+            apart = np.abs(counts[0] - counts[1]).sum(axis=1)
+            most = a + b - 2 * -(-percent * (a + b) // (100 + percent))
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= most))
+
+    for side in ("a", "b"):
+        known = shingled.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("counts").alias(f"counts_{side}"))
+        pairs = pairs.join(known.filter(F.col(f"n_{side}") > 0), side)
+    sized = pairs.filter(f"100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a")
+    columns = ("a", "b", "n_a", "n_b", "counts_a", "counts_b")
+    return sized.select(*columns).mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def _indexed(docs: DataFrame, k: int, bands: Bands, kind: str) -> DataFrame:
@@ -315,7 +346,7 @@ def jaccard_components(
     shingled = stored(_digests(rows, k, kind), "shingled")
     # equal sets stand for one another: the smallest id has them all
     named = shingled.filter("id IS NOT NULL AND digest IS NOT NULL")
-    node_of = stored(named.groupBy("digest").agg(F.min("id").alias("node"), F.max("n").alias("n")), "nodes")
+    node_of = stored(named.groupBy("digest").agg(F.min("id").alias("node")), "nodes")
     nodes = stored(node_of.select(F.col("node").alias("id")).distinct(), "nodes")
 
     indexed = _indexed(_picked(rows, nodes), k, bands, kind)
@@ -328,18 +359,13 @@ def jaccard_components(
                 (F.col("leads") | ~F.col("met") | (F.count(F.lit(1)).over(group) > 1)).alias("some"))
         .filter("some").drop("some"), "met",
     )
-    candidates = stored(
-        met.filter("id <> p").select(F.explode(F.array("id", "p")).alias("id")).distinct(), "candidates"
-    )
-    sizes = node_of.groupBy("node").agg(F.max("n").alias("n"), F.min("n").alias("least"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return stored(_sets(_picked(rows, stored(ids.distinct(), "candidates")), k, kind), "sets")
+
     pairs = met.filter("id <> p").select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"),
-                                        F.col("least").alias(f"l_{side}")), side)
-    pairs = stored(
-        pairs.filter(f"100 * n_a >= {percent} * l_b AND 100 * n_b >= {percent} * l_a").select("a", "b"), "pairs"
-    )
-    sets = stored(_sets(_picked(rows, candidates), k, kind), "sets")
+    pairs = stored(_plausible(pairs, shingled, percent, kind), "pairs")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
 
     # the smallest candidate of each set first
     compared = _compare(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, percent)
@@ -367,12 +393,16 @@ def jaccard_components(
     few = inside.filter(F.col("n") <= SMALL)
     other = few.select("sig", F.col("id").alias("b"), F.col("c").alias("c_b"))
     crossing = few.join(other, "sig").filter("b < id AND c <> c_b").select(F.col("id").alias("a"), "b").distinct()
-    crossing = _compare(crossing.join(compared, ["a", "b"], "left_anti"), sets, percent)
-    found = _within_groups(inside.filter(F.col("n") > SMALL).select("id", "p"), sets, percent, kind)
+    crossing = crossing.join(compared, ["a", "b"], "left_anti")
+    crossing = stored(_plausible(crossing, shingled, percent, kind), "pairs")
+    many = inside.filter(F.col("n") > SMALL).select("id", "p")
+    sets = sets_of(crossing.select(F.explode(F.array("a", "b")).alias("id")).unionByName(many.select("id")))
+    crossing = _compare(crossing, sets, percent)
+    found = _within_groups(many, sets, percent, kind)
     links = compared.unionByName(crossing).filter("linked").select("a", "b").unionByName(found)
     joined = components(links)
 
-    component = node_of.select("digest", "node").join(joined, "node", "left").select(
+    component = node_of.join(joined, "node", "left").select(
         F.col("digest").alias("__digest"), F.coalesce("component", "node").alias("__component")
     )
     return shingled.join(component, F.col("digest") == F.col("__digest"), "left").select(
