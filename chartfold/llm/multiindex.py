@@ -4,7 +4,8 @@ The two halves of a vector have codebooks of their own; a pair of centroids is a
 cell of the product grid, and every vector lies in the cell of its nearest pair.
 A multi-sequence traversal visits the cells around a vector in the order of their
 distance.  How many are visited comes from a set of query vectors that are
-compared with all vectors: as many as the target recall takes.  Whatever meets in
+compared with all vectors, as many as it takes to find enough links: as many cells
+as the target recall takes.  Whatever meets in
 a cell is verified exactly.
 """
 
@@ -26,6 +27,11 @@ from chartfold.sources.scratch import stored
 PER_CELL = 16
 MOST_CELLS = 1024
 LEAST_CELLS = 4
+#: so many queries with a link settle how many cells are visited; to find them, up to so many queries
+LINKED = 64
+MOST_QUERIES = 16384
+#: made-up pairs that settle it where links are too rare
+MADE_UP = 2048
 #: members of a cell that are compared with one another in one block
 BLOCK = 512
 
@@ -75,6 +81,17 @@ class MultiIndex:
             out[r] = [ia[i] * k + ib[j] for i, j in _multi_sequence(da, db, n)]
         return out
 
+    def places(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many cells of the whole grid come before ``cells[r]`` around row ``r``; ties come before."""
+        half, k = self.first.shape[1], len(self.second)
+        out = np.empty(len(x), np.int64)
+        for lo in range(0, len(x), 1024):
+            a, b = _distances(x[lo : lo + 1024, :half], self.first), _distances(x[lo : lo + 1024, half:], self.second)
+            for r, cell in enumerate(cells[lo : lo + 1024].tolist()):
+                upto = a[r, cell // k] + b[r, cell % k] + 1e-12
+                out[lo + r] = np.searchsorted(np.sort(b[r]), upto - a[r], "right").sum() - 1
+        return out
+
 
 def _multi_sequence(a: list[float], b: list[float], n: int) -> list[tuple[int, int]]:
     """The ``n`` pairs of places with the least sums of two sorted lists, least first.
@@ -104,41 +121,96 @@ def fit(vectors: DataFrame, size: int, sample: int) -> MultiIndex:
     return MultiIndex(_codebook(x[:, :half], k), _codebook(x[:, half:], k))
 
 
-def visits_for(vectors: DataFrame, index: MultiIndex, least: float, target: float, queries: int) -> int:
+@dataclass(frozen=True)
+class Visits:
+    """How many cells a vector visits, and what the number rests on."""
+
+    cells: int
+    recall: float | None  # of the pairs that the queries have, at that number; None if they have none
+    linked: int  # queries that have a pair
+    queries: int
+
+
+def visits_for(vectors: DataFrame, index: MultiIndex, least: float, target: float, queries: int) -> Visits:
     """How many cells a vector has to visit for the ``target`` recall.
 
     ``queries`` vectors are compared with all others; for each similar one it is
     noted how many cells come before its own.  The recall is that of all pairs
-    and that of the average query, whichever is lower.
+    and that of the average query, whichever is lower.  While fewer than
+    ``LINKED`` queries have a similar vector there are four times as many
+    queries, up to ``MOST_QUERIES`` or all vectors.  Where links are so rare
+    that this does not settle it, the number is also that of made-up pairs.
     """
-    chosen = vectors.select("id", "vec").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(queries).collect()
-    ids = [r["id"] for r in chosen]
-    x = _unit(pa.array([r["vec"] for r in chosen], pa.list_(pa.float64())), index.size)
-    ranks = [{c: i for i, c in enumerate(row)} for row in index.cells(x, MOST_CELLS).tolist()]
-    size, beyond = index.size, len(ranks[0])
+    n = vectors.count()
+    while True:
+        chosen = vectors.select("id", "vec").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(queries).collect()
+        x = _unit(pa.array([r["vec"] for r in chosen], pa.list_(pa.float64())), index.size)
+        held = _places(vectors, index, [r["id"] for r in chosen], x, least)
+        linked = len(np.unique(held[:, 0]))
+        if linked >= LINKED or len(x) >= min(n, MOST_QUERIES):
+            break
+        queries = min(4 * max(queries, 1), MOST_QUERIES)
+    grid = len(index.first) * len(index.second)
+    cells = min(LEAST_CELLS, MOST_CELLS, grid)
+    places, recall = _recall(held)
+    if linked:
+        enough = np.flatnonzero(recall >= target - 1e-9)
+        cells = max(cells, int(places[enough[0]]) + 1)
+    if linked < LINKED and len(x) < n:
+        cells = max(cells, _made_up(index, x[:MADE_UP], least, target))
+    cells = min(cells, MOST_CELLS, grid)
+    reached = np.searchsorted(places, cells)  # places before the cells that are visited
+    return Visits(cells, (float(recall[reached - 1]) if reached else 0.0) if linked else None, linked, len(x))
+
+
+def _places(vectors: DataFrame, index: MultiIndex, ids: list, x: np.ndarray, least: float) -> np.ndarray:
+    """(query, place, pairs): in how many pairs of the query ``place`` cells come before the other's own."""
+    size, step = index.size, max(1, (1 << 22) // max(len(x), 1))
 
     def compare(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            y = _unit(column(batch, "vec"), size)
-            own, other = index.cells(y, 1)[:, 0].tolist(), column(batch, "id").to_pylist()
-            found = [(q, ranks[q].get(own[j], beyond)) for q, j in zip(*np.nonzero(x @ y.T >= least)) if ids[q] != other[j]]
+            y, other = _unit(column(batch, "vec"), size), column(batch, "id").to_pylist()
+            own, met = index.cells(y, 1)[:, 0], []
+            for lo in range(0, len(y), step):
+                q, j = np.nonzero(x @ y[lo : lo + step].T >= least)
+                differ = np.array([ids[a] != other[lo + b] for a, b in zip(q.tolist(), j.tolist())], bool)
+                met.append(np.stack([q[differ], own[lo + j[differ]]], axis=1))
+            pairs, count = np.unique(np.concatenate(met), axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f[i] for f in found], pa.int32()) for i in (0, 1)], ["query", "place"]
+                [pa.array(pairs[:, 0]), pa.array(index.places(x[pairs[:, 0]], pairs[:, 1])), pa.array(count)],
+                ["query", "place", "pairs"],
             )
 
-    counts = vectors.select("id", "vec").mapInArrow(compare, "query int, place int").groupBy("query", "place").count()
-    held = np.zeros((len(ids), beyond + 1))
-    for r in counts.collect():  # at most a row per query and cell that is ranked
-        held[r["query"], r["place"]] = r["count"]
-    held = held[held.sum(axis=1) > 0]
-    if not len(held):
-        return min(LEAST_CELLS, beyond)
-    upto = np.cumsum(held, axis=1)
-    recall = np.minimum(upto.sum(axis=0) / upto[:, -1].sum(), (upto / upto[:, -1:]).mean(axis=0))[:beyond]
-    enough = np.flatnonzero(recall >= target)
-    return max(min(LEAST_CELLS, beyond), int(enough[0]) + 1 if len(enough) else beyond)
+    found = vectors.select("id", "vec").mapInArrow(compare, "query bigint, place bigint, pairs bigint")
+    held = found.groupBy("query", "place").agg(F.sum("pairs")).collect()  # at most a row per query and cell
+    return np.array(sorted(tuple(r) for r in held), np.int64).reshape(-1, 3)
+
+
+def _recall(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in their order, and the recall once the cells up to each are visited."""
+    query, place, pairs = held[np.argsort(held[:, 1], kind="stable")].T
+    of_query = np.bincount(query, pairs, 1)[query] if len(query) else pairs
+    share = pairs / of_query / max(len(np.unique(query)), 1)
+    return place, np.minimum(np.cumsum(pairs) / max(pairs.sum(), 1), np.cumsum(share))
+
+
+def _made_up(index: MultiIndex, x: np.ndarray, least: float, target: float) -> int:
+    """Cells to visit for pairs at the greatest distance that ``least`` allows.
+
+    Each of ``x`` is turned by the angle of ``least``, once in a random
+    direction and once towards another of ``x``, as far as pairs can be apart;
+    the number is that of the kind that takes more.
+    """
+    cells = 0
+    for to in (np.random.default_rng(0).normal(size=x.shape), np.roll(x, 1, axis=0)):
+        aside = to - (to * x).sum(1, keepdims=True) * x
+        aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
+        y = least * x + max(0.0, 1 - least * least) ** 0.5 * aside
+        places = np.sort(index.places(x, index.cells(y, 1)[:, 0]))
+        cells = max(cells, int(places[int(np.ceil(target * len(places))) - 1]) + 1)
+    return cells
 
 
 def _members(vectors: DataFrame, index: MultiIndex, visits: int, kind: str, item: str) -> DataFrame:
@@ -260,7 +332,7 @@ def near_copies(
         found = nothing
     else:
         index = fit(stand, lengths["size"], sample)
-        visits = visits_for(stand, index, least, target, queries)
+        visits = visits_for(stand, index, least, target, queries).cells
         found = stored(_verify(_members(stand, index, visits, kind, item), lengths["size"], least, kind), "found")
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found, "id", "to")

@@ -141,6 +141,39 @@ def test_every_cell_visited_finds_all(vectors, monkeypatch):
     assert [got[i] for i in range(len(data))] == links(data).sum(axis=1).tolist()
 
 
+@pytest.fixture(scope="module")
+def sparse(spark):
+    """Vectors that are all different, but for 12 pairs just above the limit."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(12):
+        aside = rng.normal(size=32)
+        aside -= aside @ x[i] * x[i]
+        x[5000 + i] = 0.91 * x[i] + (1 - 0.91**2) ** 0.5 * aside / np.linalg.norm(aside)
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    return spark.createDataFrame(data, "vec_id bigint, embedding array<double>").repartition(4), data
+
+
+@pytest.mark.parametrize("most", [256, 16384])
+def test_rare_links_are_found(sparse, monkeypatch, most):
+    monkeypatch.setattr(multiindex, "MOST_QUERIES", most)
+    df, data = sparse
+    near = links(data)
+    got = {r.vec_id: r.n_links for r in multiindex.near_copies(df).collect()}
+    found = sum(got.values())
+    assert near.sum() == 24 and all(got[i] <= near[i].sum() for i in got) and found >= 0.98 * near.sum()
+
+
+def test_queries_are_added_until_enough_have_a_link(sparse):
+    df, _ = sparse
+    vectors = stored(df.selectExpr("vec_id AS id", "embedding AS vec"), "test")
+    index = multiindex.fit(vectors, 32, 8192)
+    got = multiindex.visits_for(vectors, index, 0.9, 0.98, 256)
+    assert got.queries == 6000 and got.linked == 24 and got.recall >= 0.98
+    assert got.cells > multiindex.LEAST_CELLS
+
+
 def test_recall_on_all_embeddings(spark):
     d = "/root/testdata/check_s"
     df = table(spark, d, "embeddings")
