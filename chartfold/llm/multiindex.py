@@ -11,7 +11,9 @@ a cell is verified exactly.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import logging
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from heapq import heappop, heappush
 
 import numpy as np
@@ -25,7 +27,6 @@ from chartfold.sources.scratch import stored
 
 #: a cell holds about so many vectors, as far as the sample can fit codebooks
 PER_CELL = 16
-MOST_CELLS = 1024
 LEAST_CELLS = 4
 #: so many queries with a link settle how many cells are visited; to find them, up to so many queries
 LINKED = 64
@@ -129,6 +130,7 @@ class Visits:
     recall: float | None  # of the pairs that the queries have, at that number; None if they have none
     linked: int  # queries that have a pair
     queries: int
+    all_pairs: bool = False  # too many cells: all pairs are compared instead, and the recall is 1
 
 
 def visits_for(vectors: DataFrame, index: MultiIndex, least: float, target: float, queries: int) -> Visits:
@@ -151,14 +153,14 @@ def visits_for(vectors: DataFrame, index: MultiIndex, least: float, target: floa
             break
         queries = min(4 * max(queries, 1), MOST_QUERIES)
     grid = len(index.first) * len(index.second)
-    cells = min(LEAST_CELLS, MOST_CELLS, grid)
+    cells = LEAST_CELLS
     places, recall = _recall(held)
     if linked:
         enough = np.flatnonzero(recall >= target - 1e-9)
         cells = max(cells, int(places[enough[0]]) + 1)
     if linked < LINKED and len(x) < n:
         cells = max(cells, _made_up(index, x[:MADE_UP], least, target))
-    cells = min(cells, MOST_CELLS, grid)
+    cells = min(cells, grid)
     reached = np.searchsorted(places, cells)  # places before the cells that are visited
     return Visits(cells, (float(recall[reached - 1]) if reached else 0.0) if linked else None, linked, len(x))
 
@@ -214,7 +216,7 @@ def _made_up(index: MultiIndex, x: np.ndarray, least: float, target: float) -> i
 
 
 def _members(vectors: DataFrame, index: MultiIndex, visits: int, kind: str, item: str) -> DataFrame:
-    """(cell, own, id, weight, vec, cells): every vector in every cell that it visits."""
+    """(cell, own, id, weight, vec, cells): every vector in every cell that it visits; ``cells`` only in its own."""
 
     def run(batches):
         for batch in batches:
@@ -223,11 +225,11 @@ def _members(vectors: DataFrame, index: MultiIndex, visits: int, kind: str, item
             cells = index.cells(_unit(column(batch, "vec"), index.size), visits)
             n, row = cells.shape[1], np.repeat(np.arange(len(cells)), cells.shape[1])
             take = pa.array(row)
-            ends = np.arange(len(row) + 1, dtype=np.int32) * n
+            ends = -(-np.arange(len(row) + 1) // n) * n  # the first of a vector's rows has all its cells
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cells.ravel()), pa.array(cells[row, 0]), column(batch, "id").take(take),
                  column(batch, "weight").take(take), column(batch, "vec").take(take),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(cells[row].ravel()))],
+                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(cells.ravel()))],
                 ["cell", "own", "id", "weight", "vec", "cells"],
             )
 
@@ -235,6 +237,12 @@ def _members(vectors: DataFrame, index: MultiIndex, visits: int, kind: str, item
     return vectors.mapInArrow(run, schema)
 
 
+def _together(vectors: DataFrame) -> DataFrame:
+    """Like :func:`_members`, with all vectors in one cell, so that all pairs are compared."""
+    cell = F.lit(0).cast("bigint")
+    return vectors.select(cell.alias("cell"), cell.alias("own"), "id", "weight", "vec", F.array(cell).alias("cells"))
+
+
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least row that each row is joined with, over links ``a`` to ``b``."""
     label = np.arange(n)
@@ -248,11 +256,12 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _verify(members: DataFrame, size: int, least: float, kind: str) -> DataFrame:
+def _verify(members: DataFrame, size: int, least: float, kind: str, few: bool = False) -> DataFrame:
     """(id, links, to): per block, how much each vector is linked, and one that it is joined with.
 
     A pair is looked at where one of the two lies in the cell.  If each visits
-    the other's cell, the pair counts in the cell with the lower number.
+    the other's cell, the pair counts in the cell with the lower number.  ``few``
+    tells that there are few cells.
     """
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -263,19 +272,22 @@ def _verify(members: DataFrame, size: int, least: float, kind: str) -> DataFrame
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
         block, own, weight = (rows[c].to_numpy() for c in ("block", "own", "weight"))
         x = _unit(rows["vec"].combine_chunks(), size)
-        cells = rows["cells"].combine_chunks().flatten().to_numpy().reshape(len(x), -1)
+        home = own == cell
+        visited = rows["cells"].combine_chunks().flatten().to_numpy().reshape(home.sum(), -1) if home.any() else own[:, None]
+        at = np.cumsum(home) - 1
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = np.nonzero(x[left] @ x[right].T >= least)
         a, b = left[a], right[b]
         fit = (a < b) if i == j else np.ones(len(a), bool)
-        fit &= (own[a] == cell) | (own[b] == cell)
+        fit &= home[a] | home[b]
+        a, b = a[fit], b[fit]
         # of two cells that both see the pair, the lower one counts it
-        here, there = np.where(own[a] == cell, a, b), np.where(own[a] == cell, b, a)
-        both = np.zeros(len(a), bool)
-        for lo in range(0, len(a), 1 << 16):
-            part = slice(lo, lo + (1 << 16))
-            both[part] = (cells[here[part]] == own[there[part], None]).any(axis=1)
-        fit &= ~both | (own[there] >= cell)
+        here, there = np.where(home[a], a, b), np.where(home[a], b, a)
+        both, step = np.zeros(len(a), bool), max(1, (1 << 22) // visited.shape[1])
+        for lo in range(0, len(a), step):
+            part = slice(lo, lo + step)
+            both[part] = (visited[at[here[part]]] == own[there[part], None]).any(axis=1)
+        fit = ~both | (own[there] >= cell)
         a, b = a[fit], b[fit]
         links = np.bincount(a, weight[b], len(x)) + np.bincount(b, weight[a], len(x))
         label = _labels(len(x), a, b)
@@ -284,7 +296,7 @@ def _verify(members: DataFrame, size: int, least: float, kind: str) -> DataFrame
                          ids.take(pa.array(label[some]))], names=["id", "links", "to"])
 
     hot = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k")).filter("k > 1")
-    dealt = members.join(hot, "cell", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    dealt = members.join(F.broadcast(hot) if few else hot, "cell", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
     sent = dealt.select("cell", "own", "id", "weight", "vec", "cells", "block", other).withColumns({
@@ -301,6 +313,7 @@ def near_copies(
     target: float = 0.98,
     sample: int = 8192,
     queries: int = 256,
+    report: Callable[[Visits], None] | None = None,
 ) -> DataFrame:
     """One row per row of ``vectors``: ``id``, ``n_links``, ``component_id``, ``kept``.
 
@@ -314,7 +327,9 @@ def near_copies(
     link with nothing, like those whose length is not the most frequent one, and
     rows without an id, which are not kept.  Rows that share an id are one node,
     whose links add up.  Codebooks are fit on at most ``sample`` vectors; every
-    vector is indexed.  Other columns are not looked at.
+    vector is indexed, or compared with all others in blocks where this takes no
+    more than visiting cells.  ``report`` gets the :class:`Visits` with their
+    recall, which are logged, too.  Other columns are not looked at.
     """
     kind, type_ = vectors.schema[id].dataType.simpleString(), vectors.schema[vector].dataType
     item = type_.elementType.simpleString()
@@ -332,8 +347,14 @@ def near_copies(
         found = nothing
     else:
         index = fit(stand, lengths["size"], sample)
-        visits = visits_for(stand, index, least, target, queries).cells
-        found = stored(_verify(_members(stand, index, visits, kind, item), lengths["size"], least, kind), "found")
+        visits = visits_for(stand, index, least, target, queries)
+        if visits.cells > -(-stand.count() // BLOCK):
+            visits = replace(visits, recall=1.0, all_pairs=True)
+        logging.getLogger(__name__).info("%s", visits)
+        if report:
+            report(visits)
+        members = _together(stand) if visits.all_pairs else _members(stand, index, visits.cells, kind, item)
+        found = stored(_verify(members, lengths["size"], least, kind, visits.all_pairs), "found")
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found, "id", "to")
     known = (

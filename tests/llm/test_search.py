@@ -174,6 +174,16 @@ def test_queries_are_added_until_enough_have_a_link(sparse):
     assert got.cells > multiindex.LEAST_CELLS
 
 
+def test_recall_is_reported_and_kept_beyond_any_number_of_cells(sparse, monkeypatch):
+    df, data = sparse
+    told = []
+    # every pair is as far off as can be: the places of the others come last
+    monkeypatch.setattr(multiindex.MultiIndex, "places", lambda self, x, cells: np.full(len(x), len(self.first) ** 2 - 1))
+    got = {r.vec_id: r.n_links for r in multiindex.near_copies(df, report=told.append).collect()}
+    assert [got[i] for i in range(len(data))] == links(data).sum(axis=1).tolist()
+    assert len(told) == 1 and told[0].all_pairs and told[0].recall == 1.0 and told[0].linked == 24
+
+
 def test_recall_on_all_embeddings(spark):
     d = "/root/testdata/check_s"
     df = table(spark, d, "embeddings")
