@@ -14,6 +14,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 from heapq import heappop, heappush
 
 import numpy as np
@@ -238,8 +239,8 @@ def _members(vectors: DataFrame, index: MultiIndex, visits: int, kind: str, item
 
 
 def _together(vectors: DataFrame) -> DataFrame:
-    """Like :func:`_members`, with all vectors in one cell, so that all pairs are compared."""
-    cell = F.lit(0).cast("bigint")
+    """Like :func:`_members`, with one cell per length, so that all pairs are compared."""
+    cell = F.size("vec").cast("bigint")
     return vectors.select(cell.alias("cell"), cell.alias("own"), "id", "weight", "vec", F.array(cell).alias("cells"))
 
 
@@ -256,7 +257,7 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _verify(members: DataFrame, size: int, least: float, kind: str, few: bool = False) -> DataFrame:
+def _verify(members: DataFrame, least: float, kind: str, few: bool = False) -> DataFrame:
     """(id, links, to): per block, how much each vector is linked, and one that it is joined with.
 
     A pair is looked at where one of the two lies in the cell.  If each visits
@@ -271,7 +272,7 @@ def _verify(members: DataFrame, size: int, least: float, kind: str, few: bool =
         ids, cell = rows["id"].combine_chunks(), rows["cell"][0].as_py()
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
         block, own, weight = (rows[c].to_numpy() for c in ("block", "own", "weight"))
-        x = _unit(rows["vec"].combine_chunks(), size)
+        x = _unit(rows["vec"].combine_chunks(), len(rows["vec"][0]))
         home = own == cell
         visited = rows["cells"].combine_chunks().flatten().to_numpy().reshape(home.sum(), -1) if home.any() else own[:, None]
         at = np.cumsum(home) - 1
@@ -324,37 +325,43 @@ def near_copies(
 
     Equal vectors stand for one another and count as often as there are rows.
     Vectors that are null, zero, or have null, infinite or undefined components
-    link with nothing, like those whose length is not the most frequent one, and
-    rows without an id, which are not kept.  Rows that share an id are one node,
+    link with nothing, like rows without an id, which are not kept.  Vectors of
+    different lengths are not linked; each length has an index of its own, those
+    of few vectors are compared in blocks.  Rows that share an id are one node,
     whose links add up.  Codebooks are fit on at most ``sample`` vectors; every
     vector is indexed, or compared with all others in blocks where this takes no
     more than visiting cells.  ``report`` gets the :class:`Visits` with their
-    recall, which are logged, too.  Other columns are not looked at.
+    recall, which are logged, too, once for each length that has an index.  Other columns are not looked at.
     """
     kind, type_ = vectors.schema[id].dataType.simpleString(), vectors.schema[vector].dataType
     item = type_.elementType.simpleString()
     rows = vectors.select(F.col(id).alias("id"), F.col(vector).alias("vec"))
     ok = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     ok = F.col("id").isNotNull() & F.coalesce(ok & F.exists("vec", lambda v: v != 0), F.lit(False))
-    lengths = rows.filter(ok).groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    rows = rows.withColumn("ok", ok & (F.size("vec") == F.lit(lengths["size"] if lengths else 0)))
+    rows = rows.withColumn("ok", ok)
 
     stand = stored(
         rows.filter("ok").groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "vectors"
     )
-    if stand.isEmpty():
-        nothing = vectors.sparkSession.createDataFrame([], f"id {kind}, links bigint, to {kind}")
-        found = nothing
-    else:
-        index = fit(stand, lengths["size"], sample)
-        visits = visits_for(stand, index, least, target, queries)
-        if visits.cells > -(-stand.count() // BLOCK):
+    # an index is for lengths that take more blocks than the least number of cells
+    size = F.size("vec")
+    large = stand.groupBy(size.alias("size")).count().filter(F.col("count") > LEAST_CELLS * BLOCK).orderBy("size").collect()
+    whole, parts = [], []
+    for r in large:
+        same = stand.filter(size == r["size"])
+        index = fit(same, r["size"], sample)
+        visits = visits_for(same, index, least, target, queries)
+        if visits.cells > -(-r["count"] // BLOCK):
             visits = replace(visits, recall=1.0, all_pairs=True)
-        logging.getLogger(__name__).info("%s", visits)
+            whole.append(r["size"])
+        else:
+            parts.append(_verify(_members(same, index, visits.cells, kind, item), least, kind))
+        logging.getLogger(__name__).info("length %d: %s", r["size"], visits)
         if report:
             report(visits)
-        members = _together(stand) if visits.all_pairs else _members(stand, index, visits.cells, kind, item)
-        found = stored(_verify(members, lengths["size"], least, kind, visits.all_pairs), "found")
+    indexed = [r["size"] for r in large if r["size"] not in whole]
+    parts.append(_verify(_together(stand.filter(~size.isin(indexed))), least, kind, few=True))
+    found = stored(reduce(DataFrame.union, parts), "found")
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found, "id", "to")
     known = (

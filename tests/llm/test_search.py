@@ -205,6 +205,20 @@ def test_vectors_that_link_with_nothing(spark):
     assert multiindex.near_copies(df.limit(0)).collect() == []
 
 
+def test_vectors_of_every_length_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(multiindex, "BLOCK", 32)
+    rng, data = np.random.default_rng(8), []
+    for length, n in ((12, 500), (8, 300), (5, 40), (3, 2)):
+        x = np.repeat(rng.normal(size=(n // 2, length)), 2, axis=0) + rng.normal(size=(n, length)) * 0.05
+        data += [(len(data) + i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").repartition(4)
+    got = {r.vec_id: r.n_links for r in multiindex.near_copies(df).collect()}
+    for length in (12, 8, 5, 3):
+        part = [(i, v) for i, v in data if len(v) == length]
+        there, found = links(part).sum(axis=1), np.array([got[i] for i, _ in part])
+        assert there.sum() >= len(part) and (found <= there).all() and found.sum() >= 0.97 * there.sum()
+
+
 def test_pipeline_stage_by_stage(spark, sf):
     docs = table(spark, sf, "documents")
     columns = docs.columns
