@@ -216,9 +216,12 @@ def train(
     """Fits the chain on about ``sample`` labelled documents, chosen by a hash of their id.
 
     The lines of a good document count as content, those of a bad one and
-    repeated lines as boilerplate; of a long document up to ``lines`` lines take
-    part.  Both bounds hold for the fit alone.  Without documents of both kinds
-    there is nothing to learn, and the chain calls every line content.
+    repeated lines as boilerplate.  A document of more than ``lines`` lines is cut
+    into even stretches, of which one takes part, chosen by a hash, so that every
+    line of a text has the same chance.  Rows of equal id and text count once, and
+    at most twice ``sample`` rows take part.  These bounds hold for the fit alone.
+    Without documents of both kinds there is nothing to learn, and the chain calls
+    every line content.
     """
     marked = labels.filter(F.col(quality).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(
         F.min(quality).cast("int").alias("good")
@@ -228,7 +231,8 @@ def train(
     chosen = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
     rows = (
         docs.select(F.col(id).alias("id"), F.col(text).alias("text")).filter(chosen)
-        .join(marked.filter(chosen), "id").select("text", "good")
+        .join(marked.filter(chosen), "id").select("id", "text", "good").distinct()
+        .select("text", "good", F.xxhash64("id", "text").alias("pick"))
     )
 
     def featurise(batches):
@@ -236,14 +240,20 @@ def train(
             found = Lines(Texts(column(batch, "text")))
             bins, good = found.features().astype(np.int8), column(batch, "good").to_numpy()
             out = []
-            for a, b, g in zip(found.first[:-1], np.minimum(found.first[1:], found.first[:-1] + lines), good):
-                if b > a:
-                    out.append((bins[a:b].tobytes(), (~found.repeated[a:b] & (g > 0)).astype(np.int8).tobytes()))
+            for first, n, g, pick in zip(found.first[:-1].tolist(), np.diff(found.first).tolist(), good, column(batch, "pick").to_pylist()):
+                if n:
+                    parts = -(-n // lines)
+                    part = pick % parts
+                    a, b = first + part * n // parts, first + (part + 1) * n // parts
+                    out.append((pick, bins[a:b].tobytes(), (~found.repeated[a:b] & (g > 0)).astype(np.int8).tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], ["bins", "labels"]
+                [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))],
+                ["pick", "bins", "labels"],
             )
 
-    got = rows.mapInArrow(featurise, "bins binary, labels binary").orderBy("bins", "labels").collect()
+    found = rows.mapInArrow(featurise, "pick bigint, bins binary, labels binary")
+    got = found.orderBy("pick", "bins", "labels").limit(2 * sample).collect()
+    got.sort(key=lambda r: (bytes(r["bins"]), bytes(r["labels"])))
     kinds = {x for r in got for x in set(bytes(r["labels"]))}
     if kinds != {0, 1}:
         return LineCRF(bias=1.0)

@@ -5,10 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brute import messy
-from chartfold.llm import langid, qda
+from chartfold.llm import langid, linecrf, qda
 from chartfold.llm.queries import QUERIES, table
 
 BIG = "/root/testdata/sf0.1"
@@ -117,3 +118,17 @@ def test_language_of_hard_rows(spark, model):
     nothing = langid.train(df.limit(0))
     assert nothing is None and {r.lang_pred for r in langid.identify(df, nothing).collect()} == {"und"}
     langid.train(df)  # learns from nulls and long words without trouble
+
+
+def test_the_end_of_long_documents_is_learned_from(spark):
+    """Boilerplate that stands only after the 64th line of long documents; rows that are repeated count once."""
+    good = [(i, "\n".join(f"This is a sentence number {j} of text {i}, and it ends." for j in range(200)), 1) for i in range(40)]
+    bad = [(i, "\n".join([f"This is a sentence number {j} of text {i}, and it ends." for j in range(70)]
+                         + [f"### $$$ | BUY {j} NOW | $$$ ###" for j in range(130)]), 0) for i in range(40, 80)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in good + bad], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in good + bad], "doc_id bigint, quality int")
+    crf = linecrf.train(docs, labels)
+    tail = linecrf.Lines(linecrf.Texts(pa.array(["\n".join(["### $$$ | BUY 1 NOW | $$$ ###", "$$$ | BUY 2 NOW | $$$"])])))
+    assert (crf.emissions(tail.features()) < -1).all()
+    again = linecrf.train(docs.unionAll(docs).unionAll(docs), labels)
+    assert np.array_equal(crf.weights, again.weights) and crf.bias == again.bias
