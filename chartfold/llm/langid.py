@@ -39,7 +39,7 @@ def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every code point: is it a letter, its script, its lower case (where that is one code point)."""
     n = 0x110000
     letter, lower = np.zeros(n, bool), np.arange(n, dtype=np.uint32)
-    for c in range(0x30000):
+    for c in range(n):
         s = chr(c)
         if s.isalpha():
             letter[c] = True

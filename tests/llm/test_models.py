@@ -108,6 +108,14 @@ def test_scripts_narrow_the_candidates(spark):
     assert {r.doc_id: r.lang_pred for r in langid.identify(new, model).collect()} | {3: "-"} == {1: "en", 2: "ru", 3: "-"}
 
 
+def test_letters_of_every_plane_count(spark):
+    """Han letters of the extensions B (plane 2), G and H (plane 3)."""
+    rows = [(i, "\U00020000\U00020001 \U00020002", "zh") for i in range(1, 20)] + [(i, "hello you are well", "en") for i in range(20, 40)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    new = spark.createDataFrame([(1, "\U00020000\U00020001"), (2, "\U00030000\U00030001"), (3, "\U00031350")], "doc_id bigint, text string")
+    assert {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(new, model).collect()} == {i: ("zh", 1.0) for i in (1, 2, 3)}
+
+
 def test_language_of_hard_rows(spark, model):
     df = messy(spark)
     got = langid.identify(df, model).collect()
