@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chartfold.llm import (
     bpe_count, chat, jaccard, langid, linecrf, mixing, multiindex, piece_nbest, qda, reshard,
 )
+from chartfold.sources.scratch import shared_dir, stored
 
 QUERIES = {}
 SQL = {}
@@ -113,15 +114,28 @@ def op3_source_mixing(spark, d):
 
 @query()
 def op4_resharding(spark, d):
-    """From 32 shards by a hash of the id to 40 of equal bytes."""
+    """From 32 shards by a hash of the id to 40 of equal bytes.
+
+    The affected shards are written to the shared folder; the result comes from
+    what is read there, and from the documents of the shards that stay as they are.
+    """
     text = F.coalesce("text", F.lit(""))
-    rows = table(spark, d, "documents").select(
-        "doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int").alias("old_shard"), F.xxhash64("doc_id", F.lit(1)).alias("hash"),
+    size = (F.octet_length(text) + 16).cast("bigint")
+    docs = table(spark, d, "documents").select(
+        "*", F.struct("_metadata.file_path", "_metadata.row_index").alias("row_key"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int").alias("old_shard"),
     )
-    placed = reshard.reshard(rows, "old_shard", "size", ["hash", "doc_id"], 32, 40)
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+    rows = docs.select("row_key", "doc_id", size.alias("size"), "old_shard", F.xxhash64("doc_id", F.lit(1)).alias("hash"))
+    placed = stored(reshard.reshard(rows, "old_shard", "size", ["hash", "doc_id"], 32, 40), "placed")
+    path = shared_dir(spark, "shards")
+    reshard.rewrite(docs, placed, "row_key", "old_shard", path)
+    written = spark.read.schema("doc_id bigint, text string, slot bigint, shard int").parquet(path)
+    written = written.select("doc_id", "text", "shard", "slot")
+    touched = [r["shard"] for r in reshard.affected(placed, "old_shard").collect()]  # at most a row per shard
+    left = placed.filter(~F.col("shard").isin(touched)).select("row_key", "shard", "slot")
+    untouched = docs.filter(~F.col("old_shard").isin(touched)).join(left, "row_key").select("doc_id", "text", "shard", "slot")
+    return written.unionByName(untouched).select(
+        "doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 

@@ -20,6 +20,10 @@ from chartfold.plans.running import running_total
 from chartfold.sources.scratch import stored
 
 
+#: slots in a row that one task writes
+SLOTS = 4096
+
+
 def stay_free(old: int, new: int) -> int:
     """A byte costs 1 to move and nothing to leave in the shard of its number."""
     return int(old != new)
@@ -156,7 +160,7 @@ def affected(resharded: DataFrame, old: str) -> DataFrame:
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, key: str, old: str, path: str) -> None:
-    """Writes the affected shards of ``docs`` below ``path``, one folder each, ordered by slot.
+    """Writes the affected shards of ``docs`` below ``path``, one folder each, whose files are ordered by slot.
 
     ``placed`` is the result of :func:`reshard` over the same ``key`` (unique).
     Shards that keep all their rows are not touched.  Columns of ``docs`` named
@@ -166,4 +170,5 @@ def rewrite(docs: DataFrame, placed: DataFrame, key: str, old: str, path: str) -
     same = fresh("__key", docs.columns)
     plan = placed.select(F.col(key).alias(same), "shard", "slot").join(affected(placed, old), "shard")
     rows = docs.join(plan, F.col(key) == F.col(same)).drop(same)
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    # a shard is written by several tasks, so that none has to hold it
+    rows.repartition("shard", F.floor(F.col("slot") / SLOTS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

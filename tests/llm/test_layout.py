@@ -117,6 +117,28 @@ def test_shards_of_all_documents(spark):
     assert max(sizes) < 1.01 * min(sizes)
 
 
+def test_resharding_reads_what_it_has_written(spark, tmp_path, monkeypatch):
+    df = messy(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    paths, rewrite = [], reshard.rewrite
+
+    def changed(docs, placed, key, old, path):
+        paths.append(path)
+        rewrite(docs.withColumn("text", F.concat(F.lit("x"), F.col("text"))), placed, key, old, path)
+
+    plain = QUERIES["op4_resharding"](spark, str(tmp_path)).collect()
+    texts = [(r.text or "").encode() for r in df.collect()]
+    assert Counter(r.text_crc32 for r in plain) == Counter(map(zlib.crc32, texts)) and len(plain) == len(texts)
+    monkeypatch.setattr(reshard, "rewrite", changed)
+    got = QUERIES["op4_resharding"](spark, str(tmp_path)).collect()
+    files = spark.read.parquet(*paths)
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    assert {"lang", "source", "n_chars"} <= set(files.columns)
+    written = Counter((r[0], r[1], r[2]) for r in files.select("shard", "slot", crc).collect())
+    result = Counter((r.shard, r.slot, r.text_crc32) for r in got)
+    assert written and all(result[k] >= n for k, n in written.items()) and len(got) == len(texts)
+
+
 def test_resharding_of_hard_rows_and_rewriting(spark, tmp_path):
     df = messy(spark).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows = df.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("size"),
