@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartfold.llm import (
-    bpe_count, chat, jaccard, langid, linecrf, mixing, multiindex, piece_nbest, qda, reshard,
+    backtrack_bpe, bpe_count, chat, jaccard, langid, linecrf, mixing, multiindex, piece_nbest, qda, reshard,
 )
 from chartfold.sources.scratch import shared_dir, stored
 
@@ -15,6 +15,7 @@ QUERIES = {}
 SQL = {}
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(sql: str | None = None):
@@ -191,3 +192,12 @@ def op2_piece_nbest(spark, d):
 @query()
 def op1_embedding_near_dedup(spark, d):
     return multiindex.near_copies(table(spark, d, "embeddings"))
+
+
+@query()
+def op11_bpe_encoding(spark, d):
+    """Tokens of every whole text, and the text that they decode to."""
+    encoded = backtrack_bpe.encode(table(spark, d, "documents"), WORD_MODEL)
+    return backtrack_bpe.decode(encoded, WORD_MODEL).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

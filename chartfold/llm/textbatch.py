@@ -107,11 +107,20 @@ def spans_total(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of spans that begin at ``begin``, one span after the other."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(begin - (end - size), size)
+
+
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+``: where each begins and ends, and the first word of each text."""
+    """Words ``[^\\x20\\x09-\\x0D]+``: where each begins and ends, and the first word of each text.
+
+    ``space`` names other bytes that part words.
+    """
 
-    def __init__(self, texts: Texts):
-        inside = ~SPACE[texts.data]
+    def __init__(self, texts: Texts, space: np.ndarray = SPACE):
+        inside = ~space[texts.data]
         n = len(inside)
         edge = np.zeros(n + 1, bool)
         edge[texts.at] = True
