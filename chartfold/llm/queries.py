@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartfold.llm import (
-    backtrack_bpe, bpe_count, chat, jaccard, langid, linecrf, mixing, multiindex, piece_nbest, qda, reshard,
+    backtrack_bpe, bpe_count, chat, jaccard, langid, lexical, linecrf, mixing, multiindex, piece_nbest, qda, reshard,
 )
 from chartfold.sources.scratch import shared_dir, stored
 
@@ -201,3 +201,32 @@ def op11_bpe_encoding(spark, d):
     return backtrack_bpe.decode(encoded, WORD_MODEL).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(r"""
+    WITH docs AS (
+        SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+        FROM documents
+    ), sizes AS (SELECT d, doc_id, len(ts) AS n FROM docs WHERE len(ts) > 0),
+    corpus AS (SELECT count(*) AS n_docs, sum(n) AS n_terms FROM sizes),
+    held AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(ts) AS t FROM docs) GROUP BY 1, 2),
+    asked AS (
+        SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY 1, 2
+    ), weights AS (
+        SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM held CROSS JOIN corpus GROUP BY t
+    ), scored AS (
+        SELECT item_id, d, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS score
+        FROM asked JOIN weights USING (t) JOIN held USING (t) JOIN sizes USING (d) CROSS JOIN corpus GROUP BY 1, 2
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+           doc_id, CAST(score AS BIGINT) AS score
+    FROM scored JOIN sizes USING (d) WHERE score > 0 QUALIFY rank <= 20
+""")
+def op12_lexical_search(spark, d):
+    index = lexical.build_index(table(spark, d, "documents"))
+    return lexical.search(index, table(spark, d, "benchmark"), k=20)
