@@ -260,27 +260,24 @@ class WordSplitter:
         return self.words("σ".join([t.lower() for t in composed.split("Σ")]))
 
 
+def _config(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    model = config["model"]
+    if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
+        raise ValueError(f"{path} is not a plain BPE file")
+    return config
+
+
 class Encoder:
-    """Splits, encodes and decodes as a byte-level BPE file with word ends says."""
+    """Splits and encodes as a byte-level BPE file says."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            config = json.load(f)
+        config = _config(path)
         model = config["model"]
-        if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
-            raise ValueError(f"{path} is not a plain BPE file")
-        if config.get("decoder"):
-            raise ValueError(f"{path} has a decoder; only tokens with blanks between them are supported")
         suffix = model.get("end_of_word_suffix") or ""
         self.split = WordSplitter(config)
         self.known = WordTokens(Merges(model["vocab"], model["merges"], suffix), bool(suffix), self.split.special)
-        names = [""] * (1 + max([*model["vocab"].values(), *self.split.special.values()]))
-        for name, i in [*model["vocab"].items(), *self.split.special.items()]:
-            names[i] = name
-        # decoding: the tokens' texts in one buffer, each with the blank that follows it, and where each begins
-        texts = [f"{n} ".encode() for n in names]
-        self.begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        self.text = np.frombuffer(b"".join(texts), np.uint8)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all texts, one after the other, and where each text's begin, and the end."""
@@ -291,23 +288,41 @@ class Encoder:
         tokens, size = self.known.of(number)
         return tokens, np.concatenate([[0], np.cumsum(size)])[first]
 
+
+class Decoder:
+    """The tokens' texts in one buffer, each with the blank that follows it, and where each begins."""
+
+    def __init__(self, path: str):
+        config = _config(path)
+        if config.get("decoder"):
+            raise ValueError(f"{path} has a decoder; only tokens with blanks between them are supported")
+        names = {i: t for t, i in config["model"]["vocab"].items()} | {t["id"]: t["content"] for t in config["added_tokens"]}
+        texts = [f"{names.get(i, '')} ".encode() for i in range(max(names) + 1)]
+        self.begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        self.text = np.frombuffer(b"".join(texts), np.uint8)
+
     def decode(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of the texts whose tokens begin at ``at``, and where each text begins, and the end."""
         size = self.begin[tokens + 1] - self.begin[tokens]
         upto = np.concatenate([[0], np.cumsum(size)])[at]
         data = self.text[places(self.begin[tokens], size)]
         # no blank behind the last token of a text
-        last = upto[1:][np.diff(at) > 0] - 1
+        some = np.diff(at) > 0
         keep = np.ones(len(data), bool)
-        keep[last] = False
-        return data[keep], upto - np.concatenate([[0], np.cumsum(np.diff(at) > 0)])
+        keep[upto[1:][some] - 1] = False
+        return data[keep], upto - np.concatenate([[0], np.cumsum(some)])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@lru_cache(maxsize=1)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``ids`` (the tokens), ``n_tokens`` and ``ids_sha256``.
 
@@ -354,7 +369,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
                 if values.null_count:
                     raise ValueError("a token is null")
                 at = lists.offsets.to_numpy().astype(np.int64)
-                data, upto = encoder(path).decode(values.to_numpy().astype(np.int64), at - at[0])
+                data, upto = decoder(path).decode(values.to_numpy().astype(np.int64), at - at[0])
                 text = pa.StringArray.from_buffers(len(part), pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(data))
                 yield pa.RecordBatch.from_arrays([*part.drop_columns([name]).columns, text], [*kept, out])
 
