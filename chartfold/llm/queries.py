@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartfold.llm import (
-    backtrack_bpe, bpe_count, chat, jaccard, langid, lexical, linecrf, mixing, multiindex, piece_nbest, qda, reshard,
+    align, backtrack_bpe, bpe_count, chat, jaccard, langid, lexical, linecrf, mixing, multiindex, piece_nbest, qda, reshard,
 )
 from chartfold.sources.scratch import shared_dir, stored
 
@@ -15,6 +15,7 @@ QUERIES = {}
 SQL = {}
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -230,3 +231,8 @@ def op11_bpe_encoding(spark, d):
 def op12_lexical_search(spark, d):
     index = lexical.build_index(table(spark, d, "documents"))
     return lexical.search(index, table(spark, d, "benchmark"), k=20)
+
+
+@query()
+def op13_token_alignment(spark, d):
+    return align.align(table(spark, d, "documents"), BYTE_MODEL, PIECE_MODEL)

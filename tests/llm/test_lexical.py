@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from brute import lower, messy
@@ -52,19 +54,56 @@ def test_query_on_all_documents(spark, sf):
     assert result(QUERIES["op12_lexical_search"](spark, sf)) == ranked(docs, items)
 
 
+LETTERS = "the of and a river bank old fox ünder 12 x1 dog cat".split()
+
+
+def made_up(rng, n):
+    docs = [(rng.randrange(400), " ".join(rng.choices(LETTERS, range(13, 0, -1), k=rng.randint(0, 12)))) for _ in range(n)]
+    queries = [(i, " ".join(rng.choices([*LETTERS, "unknown"], k=rng.randint(0, 6)))) for i in range(30)]
+    return docs, queries
+
+
 @pytest.mark.parametrize("short", [1, 4, 10**9])
-def test_small_windows_ties_and_batches(spark, monkeypatch, short):
-    """Many blocks, windows and batches of queries; all lists long, some, or all short."""
+@pytest.mark.parametrize("window", [1, 7, 1000])
+def test_lists_are_summed_or_skipped_through(monkeypatch, short, window):
+    """All lists long, some, or all short; windows of one document, of some, of all."""
     monkeypatch.setattr(lexical, "SHORT", short)
-    monkeypatch.setattr(lexical, "WINDOW", 7)
+    monkeypatch.setattr(lexical, "WINDOW", window)
+    docs, queries = made_up(random.Random(window), 500)
+    blocks = []
+    for lo in range(0, len(docs), 90):
+        part = [d for d in docs[lo : lo + 90] if terms(d[1])]
+        postings = lexical.Postings(lexical.Texts(pa.array([t for _, t in part])))
+        half = pa.array([i for i, _ in part])
+        blocks.append(pa.RecordBatch.from_arrays(lexical._block([(half, postings)]), lexical.INDEX))
+    n_docs = sum(len(b.column(0)[0]) for b in blocks)
+    df = Counter(t for _, d in docs for t in terms(d))
+    weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for t, n in df.items()}
+    n_terms = sum(sum(terms(d).values()) for _, d in docs)
+    searcher = lexical.Searcher([lexical.query_terms(q) for _, q in queries], weight, n_docs, n_terms, 5)
+    got = {(q, rank): (i, -s) for q, best in enumerate(searcher.run(iter(blocks))) for rank, (s, i) in enumerate(best.rows, 1)}
+    assert got == ranked(docs, queries, k=5)
+
+
+def test_weak_lists_name_no_candidates(monkeypatch):
+    """Once the best are found, a list whose bound is below them is not gone through."""
+    monkeypatch.setattr(lexical, "SHORT", 10**9)
+    rare, common = (np.arange(0, 50), np.full(50, 1000)), (np.arange(0, 10_000), np.full(10_000, 3))
+    its, best = lexical.Iterators([common, rare], 10_000), lexical.Best(20)
+    assert its.bound == [3, 1000]
+    seen = []
+    add = best.add
+    best.add = lambda score, doc, ids: (seen.append(len(doc)), add(score, doc, ids))
+    lexical.top_of_block(its, 10_000, best, list(range(10_000)))
+    assert [i for _, i in best.rows] == list(range(20)) and best.least == 1003
+    assert len(seen) == 1  # the windows after the rare documents are skipped
+
+
+def test_batches_of_queries(spark, monkeypatch):
     monkeypatch.setattr(lexical, "BATCH_BYTES", 60)
-    rng = random.Random(5)
-    letters = "the of and a river bank old fox ünder 12 x1 dog cat".split()
-    docs = [(rng.randrange(400), " ".join(rng.choices(letters, range(13, 0, -1), k=rng.randint(0, 12)))) for _ in range(600)]
-    queries = [(i, " ".join(rng.choices([*letters, "unknown"], k=rng.randint(0, 6)))) for i in range(30)]
+    docs, queries = made_up(random.Random(5), 600)
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
-    index = lexical.build_index(df)
-    got = result(lexical.search(index, spark.createDataFrame(queries, "item_id int, text string"), k=5))
+    got = result(lexical.search(lexical.build_index(df), spark.createDataFrame(queries, "item_id int, text string"), k=5))
     assert got == ranked(docs, queries, k=5)
 
 
