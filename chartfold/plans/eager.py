@@ -6,6 +6,10 @@ next join key before every join.  Map-side combining shrinks each key to one
 row per task *before* it is shuffled, so a key that holds a third of the table
 costs one row per map task instead of one giant reduce partition.  The shuffle
 of each aggregation is also the one its join needs.
+
+Tables that are small by their meaning are broadcast, so a join with them needs
+no shuffle and no aggregation before it: those that follow one another are all
+joined before the next aggregation.
 """
 
 from __future__ import annotations
@@ -22,12 +26,17 @@ from chartfold.functions.measures import Measure, finals, merges, partials
 
 @dataclass(frozen=True)
 class Lookup:
-    """A table to join: ``left`` (columns so far) = ``right`` (its columns)."""
+    """A table to join: ``left`` (columns so far) = ``right`` (its columns).
+
+    ``small`` states that the table has a fixed number of rows that any task can
+    hold, such as countries or months, however large the data are.
+    """
 
     table: DataFrame
     left: str | Sequence[str]
     right: str | Sequence[str]
     how: str = "inner"
+    small: bool = False
 
     def __post_init__(self):
         if self.how not in ("inner", "left"):
@@ -64,10 +73,14 @@ def staged_totals(
             *[F.col(c).alias(k) for c, k in zip(right, on)], *[F.col(c) for c in carried]
         )
         current = current.join(
-            side, all_of([F.col(a) == F.col(b) for a, b in zip(left, on)]), lk.how
+            F.broadcast(side) if lk.small else side, all_of([F.col(a) == F.col(b) for a, b in zip(left, on)]), lk.how
         )
-        keys = wanted([*keys, *carried], rest)
-        current = current.groupBy(*keys).agg(*merges(measures))
+        there = [*keys, *carried]
+        keys = wanted(there, rest)
+        if rest and rest[0].small:
+            current = current.drop(*on, *[c for c in there if c not in keys])
+        else:
+            current = current.groupBy(*keys).agg(*merges(measures))
     missing = [c for c in by if c not in keys]
     if missing:
         raise ValueError(f"no table supplies the grouping columns {missing}")

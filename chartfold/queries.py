@@ -44,8 +44,8 @@ SQL_REVENUE = (
 
 def _places(spark: SparkSession, d: str) -> list[cf.Lookup]:
     return [
-        cf.Lookup(cf.load(spark, d, "nation"), "c_nationkey", "n_nationkey"),
-        cf.Lookup(cf.load(spark, d, "region"), "n_regionkey", "r_regionkey"),
+        cf.Lookup(cf.load(spark, d, "nation"), "c_nationkey", "n_nationkey", small=True),
+        cf.Lookup(cf.load(spark, d, "region"), "n_regionkey", "r_regionkey", small=True),
     ]
 
 
@@ -438,7 +438,7 @@ def _upserted(spark: SparkSession, d: str, **windows) -> DataFrame:
         measures=[cf.count(), cf.greatest("peak", F.col("value"))], **windows,
     )
     out = shared_dir(spark, "live")
-    cf.upsert_series(series, f"{out}/series", f"{out}/state", True, by="event_type").awaitTermination()
+    cf.upsert_series(series, f"{out}/series", f"{out}/state", True).awaitTermination()
     return cf.latest_series(spark, f"{out}/series", series.schema, "event_type")
 
 
