@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,45 +73,10 @@ def append_series(
     )
 
 
-class _Folders:
-    """The batches below ``path``: ``batch=N`` has what batch ``N`` changed, ``upto=N`` all up to it.
-
-    A folder is written under a hidden name and then renamed, so that readers
-    see it whole or not at all.  The file system must rename in one step.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.root = path.rstrip("/")
-        self.jvm = spark._jvm.org.apache.hadoop.fs
-        self.fs = self.jvm.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def numbers(self, kind: str) -> list[int]:
-        root = self.jvm.Path(self.root)
-        if not self.fs.exists(root):
-            return []
-        found = [f.getPath().getName() for f in self.fs.listStatus(root)]
-        return sorted(int(f.split("=")[1]) for f in found if f.startswith(f"{kind}="))
-
-    def write(self, df: DataFrame, name: str) -> None:
-        """Does nothing if the folder is there: an earlier attempt has committed it."""
-        if self.fs.exists(self.jvm.Path(f"{self.root}/{name}")):
-            df.write.format("noop").mode("overwrite").save()  # a stream's state wants each batch to run
-            return
-        hidden = f"{self.root}/.{uuid.uuid4().hex}"
-        df.write.parquet(hidden)
-        if not self.fs.rename(self.jvm.Path(hidden), self.jvm.Path(f"{self.root}/{name}")):
-            raise OSError(f"could not commit {self.root}/{name}")
-
-    def current(self) -> list[str]:
-        """The folders that hold the newest versions: one ``upto``, and the batches after it."""
-        whole = self.numbers("upto")[-1:]
-        later = [n for n in self.numbers("batch") if not whole or n > whole[0]]
-        return [f"{self.root}/upto={n}" for n in whole] + [f"{self.root}/batch={n}" for n in later]
-
-    def forget(self, kind: str, upto: int) -> None:
-        for n in self.numbers(kind):
-            if n <= upto:
-                self.fs.delete(self.jvm.Path(f"{self.root}/{kind}={n}"), True)
+def _put(rows: DataFrame, path: str, batch: int) -> None:
+    """Writes ``rows`` as the partition ``batch`` below ``path``, in place of one that is there."""
+    numbered = rows.withColumn("batch", F.lit(batch).cast("bigint"))
+    numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
 
 def upsert_series(
@@ -120,39 +85,23 @@ def upsert_series(
     checkpoint: str,
     available_now: bool = False,
     every: str = "1 minute",
-    by: str | Sequence[str] = (),
-    compact_every: int = 64,
 ) -> StreamingQuery:
     """Write every changed window in every batch, open ones included.
 
-    Each batch commits a folder of its own; a retry of a batch that has
-    committed changes nothing.  After ``compact_every`` batches the newest
-    versions of all windows go to one folder, so that a reader opens at most
-    ``compact_every`` folders more.  Folders are removed one compaction after
-    the one that replaced them, to let readers finish.  ``by`` are the keys of
-    ``series`` beside its window.
+    Batch ``N`` is the partition ``batch=N`` of a plain Parquet table, written by
+    Spark's dynamic partition overwrite: a batch that is tried again replaces
+    its own partition and no other.  A reader sees a batch whole or not at all;
+    while one is replaced, it may see the windows as they were a batch before,
+    or find a file gone that it had listed, and has to read again.
 
-    Read the current state with :func:`latest_series`.  Session windows cannot
-    be written this way, as Spark has no update mode for them.
+    Read the current state with :func:`latest_series`, a Spark job over the
+    versions; write what it returns elsewhere to be rid of old ones.  Session
+    windows cannot be written this way, as Spark has no update mode for them.
     """
-    schema = series.schema
-
-    def write(changed: DataFrame, batch: int) -> None:
-        spark = changed.sparkSession
-        folders = _Folders(spark, path)
-        folders.write(changed.withColumn("batch", F.lit(batch).cast("bigint")), f"batch={batch}")
-        whole = folders.numbers("upto")
-        if batch - (whole[-1] if whole else -1) >= compact_every:
-            merged = _newest(_versions(spark, folders, schema), schema, by)
-            folders.write(merged, f"upto={batch}")
-            if whole:
-                folders.forget("batch", whole[-1])
-                folders.forget("upto", whole[-1] - 1)
-
     trigger = {"availableNow": True} if available_now else {"processingTime": every}
     return (
         series.writeStream.outputMode("update")
-        .foreachBatch(write)
+        .foreachBatch(lambda changed, batch: _put(changed, path, batch))
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
@@ -163,39 +112,34 @@ def drain_series(series: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     """Write all windows of a stream that ends, closed or still open.
 
     Works for session windows too.  State is kept for every window, so this is
-    for bounded input, such as a backfill; every batch writes the whole series.
-    Read it with :func:`latest_series`.
+    for bounded input, such as a backfill; every batch writes the whole series
+    in place of the one before.  Read it with :func:`latest_series` when the
+    stream has ended.
     """
-
-    def write(all_windows: DataFrame, batch: int) -> None:
-        folders = _Folders(all_windows.sparkSession, path)
-        folders.write(all_windows.withColumn("batch", F.lit(batch).cast("bigint")), f"upto={batch}")
-        folders.forget("upto", batch - 2)
-
     return (
         series.writeStream.outputMode("complete")
-        .foreachBatch(write)
+        .foreachBatch(lambda whole, batch: _put(whole, path, 0))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def _versions(spark: SparkSession, folders: _Folders, schema: T.StructType) -> DataFrame:
-    kept = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    paths = folders.current()
-    return spark.read.schema(kept).parquet(*paths) if paths else spark.createDataFrame([], kept)
-
+def latest_series(
+    spark: SparkSession, path: str, schema: T.StructType, by: str | Sequence[str] = ()
+) -> DataFrame:
+    """Newest version of every window that was written to ``path``; no rows where none was.
 
-def _newest(versions: DataFrame, schema: T.StructType, by: str | Sequence[str]) -> DataFrame:
+    ``by`` are the keys of the series beside its window.
+    """
+    kept = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    try:
+        versions = spark.read.schema(kept).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
     keys = [*EDGES, *names(by)]
     measures = [c for c in schema.fieldNames() if c not in keys]
     newest = [F.max_by(m, "batch").alias(m) for m in measures]
-    return versions.groupBy(*keys).agg(*newest, F.max("batch").alias("batch")).select(*schema.fieldNames(), "batch")
-
-
-def latest_series(
-    spark: SparkSession, path: str, schema: T.StructType, by: str | Sequence[str] = ()
-) -> DataFrame:
-    """Newest version of every window that was written to ``path``."""
-    return _newest(_versions(spark, _Folders(spark, path), schema), schema, by).drop("batch")
+    return versions.groupBy(*keys).agg(*newest).select(*schema.fieldNames())

@@ -126,18 +126,45 @@ def test_reader_sees_no_half_written_batch(spark, folder, events, tmp_path):
     assert same_rows(before, after) and same_rows(after, cf.live_series(days(events, 1, 5), "ts", "1 day"))
 
 
-def test_compaction_bounds_what_a_reader_opens(spark, folder, events, tmp_path):
-    for day in range(1, 13):
+def test_a_batch_is_one_partition(spark, folder, events, tmp_path):
+    for day in range(1, 7):
         folder.drop(days(events, day, day))
     live = cf.live_series(folder.stream(spark, files_per_trigger=1), "ts", "12 hours", "event_type")
-    cf.upsert_series(
-        live, folder.out, folder.state, available_now=True, by="event_type", compact_every=3
-    ).awaitTermination()
+    cf.upsert_series(live, folder.out, folder.state, available_now=True).awaitTermination()
     got = cf.latest_series(spark, folder.out, live.schema, "event_type")
-    assert same_rows(got, cf.live_series(days(events, 1, 12), "ts", "12 hours", "event_type"))
-    kept = [p.name for p in (tmp_path / "out").iterdir() if "=" in p.name]
-    assert len(kept) <= 2 * 3 + 2
-    assert len({f.rsplit("/", 2)[1] for f in got.inputFiles()}) <= 3
+    assert same_rows(got, cf.live_series(days(events, 1, 6), "ts", "12 hours", "event_type"))
+    kept = [p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith((".", "_"))]
+    assert sorted(kept) == [f"batch={n}" for n in range(6)]
+
+
+def test_a_batch_that_is_tried_again_replaces_its_own_partition_only(spark, folder, events, tmp_path):
+    for first, last in ((1, 3), (4, 6)):
+        folder.drop(days(events, first, last))
+    live = cf.live_series(folder.stream(spark, files_per_trigger=1), "ts", "1 day")
+    cf.upsert_series(live, folder.out, folder.state, available_now=True).awaitTermination()
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "out" / "batch=0").iterdir()}
+    # as after a driver that was lost between the write of batch 1 and its commit
+    for log in ("commits/1", "commits/.1.crc"):
+        (tmp_path / "state" / log).unlink(missing_ok=True)
+    cf.upsert_series(live, folder.out, folder.state, available_now=True).awaitTermination()
+    got = cf.latest_series(spark, folder.out, live.schema)
+    assert same_rows(got, cf.live_series(days(events, 1, 6), "ts", "1 day"))
+    assert before == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "out" / "batch=0").iterdir()}
+    rows = spark.read.parquet(folder.out)
+    assert rows.count() == rows.select("window_start", "batch").distinct().count()
+
+
+def test_nothing_written_yet(spark, folder, events):
+    live = cf.live_series(events, "ts", "1 day")
+    assert cf.latest_series(spark, folder.out, live.schema).collect() == []
+
+
+def test_drain_keeps_one_series(spark, folder, events, tmp_path):
+    for first, last in ((1, 2), (3, 4), (5, 6)):
+        folder.drop(days(events, first, last))
+    live = cf.live_series(folder.stream(spark, files_per_trigger=1), "ts", "1 day")
+    cf.drain_series(live, folder.out, folder.state).awaitTermination()
+    assert same_rows(spark.read.parquet(folder.out).drop("batch"), cf.live_series(days(events, 1, 6), "ts", "1 day"))
 
 
 def test_drain_returns_open_sessions_too(spark, folder, events):
