@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartfold.functions.keys import all_of, names, row_hash, same
+from chartfold.functions.keys import names, row_hash
 from chartfold.functions.measures import Measure, count, finals, partials
 from chartfold.functions.timebuckets import (
     SUB_DAY,
@@ -109,7 +109,10 @@ def dense_series(
     first = bounds.getField("first") if start is None else literal(floor_to(start, unit), kind)
     last = bounds.getField("last") if end is None else literal(floor_to(end, unit), kind)
 
-    groups = series.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    if by:  # reads all columns of the series, as the bounds do, and so shares its shuffle
+        groups = series.groupBy(*by).agg(F.max(row_hash(series)).alias("__h")).filter(F.col("__h").isNotNull())
+    else:
+        groups = df.sparkSession.range(1).select()
     axis = groups.select(*by, first.alias("__first"), last.alias("__last")).filter(F.col("__first").isNotNull())
     firsts = _block_firsts(F.col("__first"), F.col("__last"), unit, kind)
     markers = axis.select(*by, F.explode(firsts).alias(out))
@@ -161,34 +164,15 @@ def moving_avg(
 
     ``series`` holds one row per (``by``, ``order``), as the other series
     operators return it.  A row's place in its group comes from a distributed
-    running count.  For whole numbers and decimals so does the running sum, and
-    the mean is that of the row less that of the row ``n`` places before, so the
-    work does not depend on ``n``.  Floating sums would lose digits that way:
-    for them groups are cut into blocks of places, the last ``n - 1`` rows of a
-    block are copied to the next one, and each row's frame is summed up.
+    running count.  Groups are cut into blocks of places, and the last ``n - 1``
+    rows of a block are copied to the next one.  For whole numbers and decimals
+    a mean is the running sum within the block less that of ``n`` rows before,
+    so the work does not depend on ``n``; floating sums would lose digits that
+    way, so for them each row's frame is summed up.
     """
     if n < 1:
         raise ValueError(f"n must be at least 1, got {n}")
     by, columns, kind = names(by), series.columns, series.schema[value].dataType
-    if isinstance(kind, (T.IntegralType, T.DecimalType)):
-        measured = series.withColumns({
-            "__one": F.lit(1),
-            "__there": F.col(value).isNotNull().cast("int"),
-            "__sum": F.coalesce(F.col(value), F.lit(0)).cast(f"decimal(38,{getattr(kind, 'scale', 0)})"),
-        })
-        sums = running_total(
-            measured, [(order, True)], ["__one", "__there", "__sum"], by,
-            out=["__place", "__count", "__total"], chunks=chunks,
-        )
-        earlier = sums.select(
-            *[F.col(c).alias(f"__by_{c}") for c in by], (F.col("__place") + n).alias("__to"),
-            F.col("__count").alias("__count0"), F.col("__total").alias("__total0"),
-        )
-        on = all_of([F.col("__place") == F.col("__to"), *[same(F.col(c), F.col(f"__by_{c}")) for c in by]])
-        held = F.col("__count") - F.coalesce("__count0", F.lit(0))
-        total = F.col("__total") - F.coalesce("__total0", F.lit(0))
-        mean = total.cast("double") / F.nullif(held, F.lit(0)).cast("double")
-        return sums.join(earlier, on, "left").select(*columns, mean.alias(out))
     size = max(n, block)
     placed = running_total(series.withColumn("__one", F.lit(1)), [(order, True)], "__one", by, "__place", chunks=chunks)
     index = F.col("__place") - 1
@@ -196,12 +180,23 @@ def moving_avg(
     blocks = placed.withColumn("__block", F.floor(index / size)).withColumn(
         "__copy", F.explode(F.when(is_tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     ).withColumn("__block", F.col("__block") + F.col("__copy"))
-    frame = W.partitionBy("__block", *by).orderBy("__place")
-    return (
-        blocks.withColumn(out, F.avg(value).over(frame.rowsBetween(-(n - 1), 0)))
-        .filter(F.col("__copy") == 0)
-        .select(*columns, out)
-    )
+    ordered = W.partitionBy("__block", *by).orderBy("__place")
+    if not isinstance(kind, (T.IntegralType, T.DecimalType)):
+        mean = F.avg(value).over(ordered.rowsBetween(-(n - 1), 0))
+        return blocks.withColumn(out, mean).filter(F.col("__copy") == 0).select(*columns, out)
+    upto = ordered.rowsBetween(W.unboundedPreceding, 0)
+    exact = F.col(value).cast(f"decimal(38,{getattr(kind, 'scale', 0)})")
+    sums = blocks.withColumns({
+        "__count": F.count(value).over(upto),
+        "__total": F.coalesce(F.sum(exact).over(upto), F.lit(0).cast(f"decimal(38,{getattr(kind, 'scale', 0)})")),
+    })
+    earlier = sums.withColumns({
+        "__count0": F.coalesce(F.lag("__count", n).over(ordered), F.lit(0)),
+        "__total0": F.coalesce(F.lag("__total", n).over(ordered), F.lit(0)),
+    })
+    held = F.col("__count") - F.col("__count0")
+    mean = (F.col("__total") - F.col("__total0")).cast("double") / F.nullif(held, F.lit(0)).cast("double")
+    return earlier.filter(F.col("__copy") == 0).select(*columns, mean.alias(out))
 
 
 def ohlc(
