@@ -17,12 +17,13 @@ def _finite(df: DataFrame, name: str) -> Column:
     return F.abs(F.col(name)) < F.lit(float("inf"))
 
 
-def _placed(value: Column, low: Column, width: Column) -> Column:
-    """The bin whose own edges, as they are put out, hold ``value``.
+def _guess(value: Column, low: Column, width: Column) -> Column:
+    """The bin of ``value``, but for one that the quotient may miss by where it rounds."""
+    return F.floor((value - low) / width)
 
-    The quotient may miss by one bin where it rounds.
-    """
-    bin = F.floor((value - low) / width)
+
+def _placed(value: Column, bin: Column, low: Column, width: Column) -> Column:
+    """The bin at or beside the guess ``bin``, a column, whose own edges, as they are put out, hold ``value``."""
     edge = lambda b: low + b * width
     return F.when(value < edge(bin), bin - 1).when(value >= edge(bin + 1), bin + 1).otherwise(bin)
 
@@ -62,9 +63,10 @@ def histogram(
         axis = rows.agg(F.struct(low.alias("low"), width.alias("width"))).scalar()
         low, width = axis.getField("low"), axis.getField("width")
 
-    place = F.greatest(F.lit(0), F.least(_placed(v, low, width), F.lit(bins - 1)))
+    guessed = rows.select(value, F.when(finite, _guess(v, low, width)).alias("__guess"))
+    place = F.greatest(F.lit(0), F.least(_placed(v, F.col("__guess"), low, width), F.lit(bins - 1)))
     place = F.when(finite, place).when(v < 0, F.lit(-1)).otherwise(F.lit(bins)).cast("int")
-    counts = rows.groupBy(place.alias("__bin")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = guessed.groupBy(place.alias("__bin")).agg(F.count(F.lit(1)).alias("__n"))
     frame = df.sparkSession.range(-1, bins + 1).select(
         F.col("id").cast("int").alias("bin"), low.alias("__lo"), width.alias("__w")
     )
@@ -107,11 +109,17 @@ def density2d(df: DataFrame, x: str, wx: float, y: str, wy: float) -> DataFrame:
     """
     if wx <= 0 or wy <= 0:
         raise ValueError(f"cell sizes must be positive, got {wx} and {wy}")
-    rows, keys = present(df, x, y), []
-    for axis, c, w in (("x", x, wx), ("y", y, wy)):
-        value, width = F.col(c).cast("double"), F.lit(float(w))
-        near = F.abs(value / width) < F.lit(2.0**53)
-        cell = F.when(near, _placed(F.when(near, value), F.lit(0.0), width))
-        edge = F.when(cell.isNotNull(), cell * width).otherwise(F.signum(value) * F.lit(float("inf")))
-        keys += [cell.cast("bigint").alias(f"{axis}_bin"), edge.alias(f"{axis}_lo")]
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select("x_bin", "y_bin", "x_lo", "y_lo", "n")
+    axes = (("x", x, F.lit(float(wx))), ("y", y, F.lit(float(wy))))
+    values = present(df, x, y).select(*[F.col(c).cast("double").alias(axis) for axis, c, _ in axes])
+    guesses, keys, edges = {}, [], []
+    for axis, _, width in axes:
+        near = F.abs(F.col(axis) / width) < F.lit(2.0**53)
+        guesses[f"__{axis}"] = F.when(near, _guess(F.col(axis), F.lit(0.0), width))
+        cell = _placed(F.col(axis), F.col(f"__{axis}"), F.lit(0.0), width)
+        keys.append(F.when(F.col(f"__{axis}").isNotNull(), cell).alias(f"{axis}_bin"))
+        # all that lies beyond the grid on one side is one group
+        keys.append(F.when(F.col(f"__{axis}").isNull(), F.signum(axis)).alias(f"{axis}_beyond"))
+        edge = F.col(f"{axis}_bin") * width
+        edges.append(F.coalesce(edge, F.col(f"{axis}_beyond") * F.lit(float("inf"))).alias(f"{axis}_lo"))
+    cells = values.withColumns(guesses).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return cells.select("x_bin", "y_bin", *edges, "n")
