@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chartfold.functions.keys import all_of, names, present, same
 from chartfold.plans.running import in_chunks, running_total
+from chartfold.sources.scratch import stored
 
 QUARTILES = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
 
@@ -46,10 +48,13 @@ def box_summary(
 
     The distinct values of a group lie in order in pieces.  The totals of the
     pieces tell which of them hold a quartile and which of them a fence cuts;
-    values are looked at one by one in those only.
+    values are looked at one by one in those only.  The table of pieces is
+    written to the shared folder, and again with the quartiles, as each has
+    several readers.
     """
     by = names(by)
     cut = in_chunks(_value_counts(df, value, by), [(value, True)], "n", by, chunks)
+    cut = replace(cut, pieces=stored(cut.pieces, "pieces"))
     group = [F.col(f"__by_{c}").alias(c) for c in by]
     before, held, rows = F.col("__before_n"), F.col("__sum_n"), F.col("__all_n")
     before = F.coalesce(before, F.lit(0))
@@ -77,13 +82,8 @@ def box_summary(
     )
     reach = (F.col("q3") - F.col("q1")) * F.lit(whisker)
     fences = [(F.col("q1") - reach).alias("__lo"), (F.col("q3") + reach).alias("__hi")]
-    ends = cut.rows.groupBy("__chunk", *by).agg(F.min(value).alias("__min"), F.max(value).alias("__max"))
-    boxed = (
-        ends.join(cut.pieces, cut.on_piece())
-        .drop("__chunk", *by)
-        .join(quartiles, all_of([same(F.col(f"__by_{c}"), F.col(f"__q_{c}")) for c in by]))
-        .select("*", *fences)
-    )
+    found = cut.pieces.join(quartiles, all_of([same(F.col(f"__by_{c}"), F.col(f"__q_{c}")) for c in by]))
+    boxed = stored(found.select(*cut.pieces.columns, "q1", "median", "q3", *fences), "boxes")
 
     v, lo, hi = F.col(value), F.col("__lo"), F.col("__hi")
     first, last = F.col("__min"), F.col("__max")

@@ -25,10 +25,11 @@ from chartfold.sources.scratch import stored
 class Chunked:
     """Rows of groups in an order, cut into chunks; see :func:`in_chunks`.
 
-    ``pieces`` has one row for each group in each chunk: ``__chunk``, the group
-    as ``__by_*``, per measure ``__sum_*`` (its sum in the piece), ``__before_*``
-    (in the group's earlier pieces) and ``__all_*`` (in the whole group), and
-    ``__split``, whether the group has other pieces.
+    ``pieces`` has one row for each group in each chunk: ``__c`` (the chunk), the
+    group as ``__by_*``, per measure ``__sum_*`` (its sum in the piece),
+    ``__before_*`` (in the group's earlier pieces) and ``__all_*`` (in the whole
+    group), ``__split`` (whether the group has other pieces), and ``__min`` and
+    ``__max`` of the first column of the order.
     """
 
     rows: DataFrame
@@ -96,7 +97,10 @@ def in_chunks(
     dealt = df.repartitionByRange(chunks, *keys) if chunks and chunks < most else df.repartitionByRange(*keys)
     rows = stored(dealt.withColumn("__chunk", F.spark_partition_id()), "chunks")
 
-    sums = rows.groupBy("__chunk", *by).agg(*[F.sum(m).alias(f"__sum_{m}") for m in measures])
+    first = order[0][0]
+    sums = rows.groupBy("__chunk", *by).agg(
+        *[F.sum(m).alias(f"__sum_{m}") for m in measures], F.min(first).alias("__min"), F.max(first).alias("__max")
+    )
     group = W.partitionBy(*by)
     earlier = group.orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
     pieces = sums.select(
@@ -106,6 +110,7 @@ def in_chunks(
         *[F.sum(f"__sum_{m}").over(earlier).alias(f"__before_{m}") for m in measures],
         *[F.sum(f"__sum_{m}").over(group).alias(f"__all_{m}") for m in measures],
         (F.count(F.lit(1)).over(group) > 1).alias("__split"),
+        "__min", "__max",
     )
     return Chunked(rows, columns, order, by, measures, pieces)
 

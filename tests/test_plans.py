@@ -44,11 +44,75 @@ def test_histogram_bounds_reach_the_scan(spark, sf):
     assert "GreaterThanOrEqual(value,0.0)" in text and "LessThanOrEqual(value,100.0)" in text
 
 
+def ran(df) -> str:
+    """The plan as it was run, in which branches share what they can."""
+    df.collect()
+    return plan(df).split("== Initial Plan ==")[0]
+
+
+def revenue_by_region(spark, sf, small):
+    load = lambda name: cf.load(spark, sf, name)
+    return cf.grouped_totals(load("lineitem"), "r_name", [cf.count()], [
+        cf.Lookup(load("orders"), "l_orderkey", "o_orderkey"),
+        cf.Lookup(load("customer"), "o_custkey", "c_custkey"),
+        cf.Lookup(load("nation"), "c_nationkey", "n_nationkey", small=small),
+        cf.Lookup(load("region"), "n_regionkey", "r_regionkey", small=small),
+    ])
+
+
+def test_small_tables_that_follow_one_another_take_one_aggregation(spark, sf):
+    assert plan(QUERIES["grouped_totals"](spark, sf)).count("Exchange") <= 7
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(revenue_by_region(spark, sf, small=True))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # customers are joined with both before they are summed up again, and nothing is shuffled for that
+    assert text.count("SortMergeJoin") == 2 and text.count("BroadcastHashJoin") == 2
+    assert text.count("HashAggregate") == 6
+    for key in ("l_orderkey", "o_custkey", "r_name"):
+        assert re.search(rf"HashAggregate\(keys=\[{key}#\d+L?\], functions=\[partial", text), key
+    same = sorted(revenue_by_region(spark, sf, small=True).collect())
+    assert same == sorted(revenue_by_region(spark, sf, small=False).collect())
+
+
+@pytest.mark.parametrize("bounds", [("2024-01-01", "2024-02-05"), (None, None)])
+@pytest.mark.parametrize("by", [(), ("event_type",)])
+def test_a_dense_series_reads_its_table_once(spark, sf, by, bounds):
+    text = ran(cf.dense_series(cf.load(spark, sf, "events"), "ts", "day", by, *bounds))
+    assert text.count("FileScan") == 1
+
+
+def test_a_moving_average_joins_no_rows_with_others(spark, sf):
+    """Offsets of chunks are broadcast; rows n places apart meet in a window, whatever n is."""
+    texts = [plan(cf.moving_avg(cf.dense_series(cf.load(spark, sf, "events"), "ts", "hour"), "bucket", "n", n)) for n in (2, 500)]
+    for text in texts:
+        assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") == 1
+        assert "lag(" in text
+    assert len({re.sub(r"#\d+L?|plan_id=\d+|-?\d+", "", t).count("\n") for t in texts}) == 1
+
+
+def test_a_box_summary_reads_its_pieces_from_one_table(spark, sf, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, parquet = [], DataFrameWriter.parquet
+
+    def noted(self, path, *args, **kw):
+        out = parquet(self, path, *args, **kw)
+        plans.append(plan(self._df))
+        return out
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    last = plan(QUERIES["box_summary_price"](spark, sf))
+    assert sum(p.count("Exchange") for p in [*plans, last]) <= 10
+    assert sum(len(re.findall(r"FileScan.*/chunks-", p)) for p in [*plans, last]) <= 3
+
+
 def test_grouping_aggregates_before_every_join(spark, sf):
     """No join reads fact rows: each sits on an aggregate over its key."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(QUERIES["grouped_totals"](spark, sf))
+        text = plan(revenue_by_region(spark, sf, small=False))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("SortMergeJoin") == 4
