@@ -20,6 +20,7 @@ import hashlib
 import json
 import uuid
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,12 +84,14 @@ class Pieces:
 
 
 class Tokens:
-    """Tokens of some texts, one after the other: ``ids``, the byte ``size`` of each, and where each text's begin, ``at``."""
+    """Tokens of some texts, one after the other: ``ids``, the byte ``size`` of each, where they end, and where
+    each text's begin, ``at``; ``spelled``: what the tokens of each text spell out."""
 
     def __init__(self, tokenizer, texts: list[str]):
         found = tokenizer(texts)
         self.at = np.cumsum([0, *map(len, found)])
-        self.ids = np.fromiter((i for x in found for i in x), np.int64, int(self.at[-1]))
+        self.ids = np.fromiter(chain.from_iterable(found), np.int64, int(self.at[-1]))
+        self.spelled = [b"".join(map(tokenizer.bytes.__getitem__, x)) for x in found]
         self.size = tokenizer.sizes[self.ids]
         self.ends = np.cumsum(self.size)
 
@@ -99,6 +102,7 @@ class Tokens:
         self.ids, self.size = self.ids[keep], self.size[keep]
         self.ends = np.cumsum(self.size)
         self.at = np.concatenate([[0], np.cumsum(n * texts)])
+        del self.spelled
 
 
 def runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,11 +259,8 @@ class Aligner:
         """The tokens of both; none for texts that are null, empty or not spelled out by both."""
         plain = [t or "" for t in texts]
         a, b = Tokens(self.a, plain), Tokens(self.b, plain)
-        raw = [t.encode() for t in plain]
         spelled = np.array([
-            bool(r) and all(b"".join([t.bytes[i] for i in x.ids[x.at[k] : x.at[k + 1]].tolist()]) == b" " + r
-                            for t, x in ((self.a, a), (self.b, b)))
-            for k, r in enumerate(raw)
+            bool(t) and x == y == b" " + t.encode() for t, x, y in zip(plain, a.spelled, b.spelled)
         ], bool)
         a.only(spelled)
         b.only(spelled)
