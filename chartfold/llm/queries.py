@@ -124,21 +124,21 @@ def op4_resharding(spark, d):
     text = F.coalesce("text", F.lit(""))
     size = (F.octet_length(text) + 16).cast("bigint")
     docs = table(spark, d, "documents").select(
-        "*", F.struct("_metadata.file_path", "_metadata.row_index").alias("row_key"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int").alias("old_shard"),
+        "*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), size.alias("size"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int").alias("old_shard"), F.xxhash64("doc_id", F.lit(1)).alias("hash"),
     )
-    rows = docs.select("row_key", "doc_id", size.alias("size"), "old_shard", F.xxhash64("doc_id", F.lit(1)).alias("hash"))
-    placed = stored(reshard.reshard(rows, "old_shard", "size", ["hash", "doc_id"], 32, 40), "placed")
+    keys = ["hash", "doc_id", "file", "row"]
+    moves = reshard.plan(docs.select(*keys, "size", "old_shard"), "old_shard", "size", keys, 32, 40)
     path = shared_dir(spark, "shards")
-    reshard.rewrite(docs, placed, "row_key", "old_shard", path)
-    written = spark.read.schema("doc_id bigint, text string, slot bigint, shard int").parquet(path)
-    written = written.select("doc_id", "text", "shard", "slot")
-    touched = [r["shard"] for r in reshard.affected(placed, "old_shard").collect()]  # at most a row per shard
-    left = placed.filter(~F.col("shard").isin(touched)).select("row_key", "shard", "slot")
-    untouched = docs.filter(~F.col("old_shard").isin(touched)).join(left, "row_key").select("doc_id", "text", "shard", "slot")
-    return written.unionByName(untouched).select(
-        "doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
+    reshard.rewrite(docs, moves, path)
+    shown = [F.col("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32")]
+    found = reshard.written(spark, path, "doc_id bigint, text string", *shown)
+    if len(moves.touched) < 40:
+        left = moves.placed.filter(~F.col("shard").isin(moves.touched)).select("file", "row", "shard", "slot")
+        untouched = docs.filter(~F.col("old_shard").isin(moves.touched)).select("file", "row", *shown)
+        found = found.unionByName(untouched.join(left, ["file", "row"]).drop("file", "row"))
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
