@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from chartfold.llm.linecrf import IS_DIGIT, IS_LOWER, IS_POINT, IS_SYMBOL, IS_UPPER
 from chartfold.llm.textbatch import SPACE, Texts, Words, column, slices, span_hashes, spans_total
 
+#: text whose statistics are worked out together: they take some hundred bytes of memory for each
+PART_BYTES = 1 << 19
+
 FEATURES = (
     "log_words", "word_length", "symbols", "exclaims", "pipes", "capitals", "digits", "stops", "commas",
     "line_words", "different_words", "repeated_lines", "long_words", "symbol_words",
@@ -150,7 +153,7 @@ def train(
     d = len(FEATURES)
 
     def measure(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PART_BYTES):
             x = statistics(Texts(column(batch, "text")))
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([*x])], ["id", "x"])
 
@@ -196,7 +199,7 @@ def score_quality(docs: DataFrame, model: Discriminant | Constant, id: str = "do
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PART_BYTES):
             score = model.score(statistics(Texts(column(batch, "text"))))
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
@@ -209,10 +212,16 @@ def score_quality(docs: DataFrame, model: Discriminant | Constant, id: str = "do
 
 
 def keep_good(docs: DataFrame, model: Discriminant | Constant, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more, unchanged."""
+    """The rows of ``docs`` that score ``least`` or more, unchanged.
+
+    Only the text decides: a null text scores as an empty one, copies and
+    repeated rows stay or go together, a score equal to ``least`` stays, and
+    other columns, whatever they are called or hold, are passed on.  An empty
+    table gives an empty one.
+    """
 
     def run(batches):
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, PART_BYTES):
             yield batch.filter(pa.array(model.score(statistics(Texts(column(batch, text)))) >= least))
 
     return docs.mapInArrow(run, docs.schema)
