@@ -14,8 +14,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates large and small stars: every node's neighbours are linked to its
     smallest neighbour, upwards and then downwards, until nothing changes.  Each
     round is written to the shared folder, which cuts the lineage.  A node with
-    very many links is summed up before the shuffle, and joins with it are split
-    by adaptive execution.
+    very many links is summed up before the shuffle.  The join of its links with
+    that sum is dealt out by node; adaptive execution splits it where the node's
+    partition passes ``spark.sql.adaptive.skewJoin`` thresholds, and below them a
+    task has all links of the node.
     """
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     edges = stored(links.select(u, v).filter("u <> v").distinct(), "links")

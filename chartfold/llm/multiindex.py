@@ -36,6 +36,8 @@ MOST_QUERIES = 16384
 MADE_UP = 2048
 #: members of a cell that are compared with one another in one block
 BLOCK = 512
+#: up to so many cells of several blocks are sent to all tasks, 12 bytes each
+HOT_SENT = 1_000_000
 
 
 def _unit(array: pa.Array, size: int) -> np.ndarray:
@@ -257,12 +259,13 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _verify(members: DataFrame, least: float, kind: str, few: bool = False) -> DataFrame:
+def _verify(members: DataFrame, least: float, kind: str) -> DataFrame:
     """(id, links, to): per block, how much each vector is linked, and one that it is joined with.
 
     A pair is looked at where one of the two lies in the cell.  If each visits
-    the other's cell, the pair counts in the cell with the lower number.  ``few``
-    tells that there are few cells.
+    the other's cell, the pair counts in the cell with the lower number.  Cells
+    of several blocks are looked up in a table that is sent to all tasks while it
+    is small, and joined by a shuffle beyond that.
     """
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -297,12 +300,16 @@ def _verify(members: DataFrame, least: float, kind: str, few: bool = False) -> D
                          ids.take(pa.array(label[some]))], names=["id", "links", "to"])
 
     hot = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k")).filter("k > 1")
-    dealt = members.join(F.broadcast(hot) if few else hot, "cell", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    hot = stored(hot, "hot-cells")
+    small = hot.count() <= HOT_SENT
+    dealt = members.join(F.broadcast(hot) if small else hot, "cell", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
     sent = dealt.select("cell", "own", "id", "weight", "vec", "cells", "block", other).withColumns({
         "i": F.greatest("block", "other"), "j": F.least("block", "other"),
     }).drop("other")
+    # a join by cell would do for the groups, too, and leave a hot cell in one task
+    sent = sent.repartition("cell", "i", "j")
     return sent.groupBy("cell", "i", "j").applyInArrow(compare, f"id {kind}, links bigint, to {kind}")
 
 
@@ -360,7 +367,7 @@ def near_copies(
         if report:
             report(visits)
     indexed = [r["size"] for r in large if r["size"] not in whole]
-    parts.append(_verify(_together(stand.filter(~size.isin(indexed))), least, kind, few=True))
+    parts.append(_verify(_together(stand.filter(~size.isin(indexed))), least, kind))
     found = stored(reduce(DataFrame.union, parts), "found")
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found, "id", "to")
