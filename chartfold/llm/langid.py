@@ -24,14 +24,24 @@ BITS = 15
 SLOTS = 1 << BITS
 NONE = "und"
 
-# first code points of stretches of scripts, and the script of each: fixed values of Unicode
-SCRIPT_FROM = (0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x780, 0x900, 0x980, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200,
-               0x1E00, 0x1F00, 0x2000, 0x2E80, 0x3040, 0x3100, 0x3130, 0x3190, 0xA000, 0xAC00, 0xD7B0, 0xF900,
-               0xFB00, 0xFB1D, 0xFB50, 0xFE00, 0xFF21, 0xFF66, 0xFFA0, 0x20000)
-SCRIPT = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "other", "devanagari", "other", "thai", "other",
-          "georgian", "hangul", "other", "latin", "greek", "other", "han", "kana", "other", "hangul", "other", "other",
-          "hangul", "other", "han", "latin", "hebrew", "arabic", "other", "latin", "kana", "hangul", "han")
-SCRIPTS = tuple(dict.fromkeys(SCRIPT))
+# Fixed values of Unicode: where stretches of code points of a script begin.
+SCRIPT_FROM = {
+    0x0: "latin", 0x370: "greek", 0x400: "cyrillic", 0x530: "armenian", 0x590: "hebrew", 0x600: "arabic",
+    0x700: "syriac", 0x750: "arabic", 0x780: "thaana", 0x7C0: "other", 0x870: "arabic", 0x900: "devanagari",
+    0x980: "bengali", 0xA00: "gurmukhi", 0xA80: "gujarati", 0xB00: "oriya", 0xB80: "tamil", 0xC00: "telugu",
+    0xC80: "kannada", 0xD00: "malayalam", 0xD80: "sinhala", 0xE00: "thai", 0xE80: "lao", 0xF00: "tibetan",
+    0x1000: "myanmar", 0x10A0: "georgian", 0x1100: "hangul", 0x1200: "ethiopic", 0x13A0: "other", 0x1780: "khmer",
+    0x1800: "mongolian", 0x18B0: "other", 0x1C80: "cyrillic", 0x1C90: "georgian", 0x1CC0: "other", 0x1D00: "latin",
+    0x1F00: "greek", 0x2000: "other", 0x2C60: "latin", 0x2C80: "other", 0x2D00: "georgian", 0x2D30: "other",
+    0x2D80: "ethiopic", 0x2DE0: "cyrillic", 0x2E00: "other", 0x2E80: "han", 0x2FE0: "other", 0x3005: "han",
+    0x3008: "other", 0x3021: "han", 0x302A: "other", 0x3038: "han", 0x303C: "other", 0x3040: "kana", 0x3100: "bopomofo",
+    0x3130: "hangul", 0x3190: "other", 0x31A0: "bopomofo", 0x31C0: "other", 0x31F0: "kana", 0x3200: "other",
+    0x3400: "han", 0xA000: "other", 0xA640: "cyrillic", 0xA6A0: "other", 0xA720: "latin", 0xA800: "other",
+    0xA960: "hangul", 0xA980: "other", 0xAB30: "latin", 0xAB70: "other", 0xAC00: "hangul", 0xD800: "other",
+    0xF900: "han", 0xFB00: "latin", 0xFB13: "armenian", 0xFB1D: "hebrew", 0xFB50: "arabic", 0xFE00: "other",
+    0xFE70: "arabic", 0xFF00: "latin", 0xFF66: "kana", 0xFFA0: "hangul", 0xFFE0: "other", 0x20000: "han", 0x40000: "other",
+}
+SCRIPTS = tuple(dict.fromkeys(SCRIPT_FROM.values()))
 
 
 @lru_cache(maxsize=1)
@@ -45,8 +55,8 @@ def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             letter[c] = True
             if len(t := s.lower()) == 1:
                 lower[c] = ord(t)
-    number = np.array([SCRIPTS.index(s) for s in SCRIPT], np.int8)
-    script = number[np.searchsorted(SCRIPT_FROM, np.arange(n), "right") - 1]
+    number = np.array([SCRIPTS.index(s) for s in SCRIPT_FROM.values()], np.int8)
+    script = number[np.searchsorted([*SCRIPT_FROM], np.arange(n), "right") - 1]
     return letter, script, lower
 
 

@@ -1,14 +1,16 @@
 """Learned scores: quality and language, by accuracy on what was held out."""
 
 import itertools
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from brute import messy
+from brute import messy, words
 from chartfold.llm import langid, linecrf, qda
 from chartfold.llm.queries import QUERIES, table
 
@@ -140,3 +142,90 @@ def test_the_end_of_long_documents_is_learned_from(spark):
     assert (crf.emissions(tail.features()) < -1).all()
     again = linecrf.train(docs.unionAll(docs).unionAll(docs), labels)
     assert np.array_equal(crf.weights, again.weights) and crf.bias == again.bias
+
+
+TEXTS = [
+    None, "", " \n\t", "One. Two, three!", "AB cd12 ### $| !!\n\nsame line here\nsame line here\nSAME line here\n",
+    "größere Häuser, ünd wéiter.\nx\nx\nx", "averyveryverylongword another_very_long_word a a a a\n  lower start (end)",
+    "日本 語 🙂 | | ok", "\n\n\n", "word " * 50 + "\x0b\x0c\r end\"",
+]
+
+
+def _share(part, whole, smooth=20.0):
+    return math.sqrt(part / (whole + smooth))
+
+
+def test_statistics_equal_brute_force():
+    got = qda.statistics(linecrf.Texts(pa.array(TEXTS)))
+    for row, text in zip(got, TEXTS):
+        text = text or ""
+        w, lines = words(text), [x for x in text.split("\n") if x]
+        n, chars = len(w), sum(map(len, w))
+        symbols = [c for c in text if c in linecrf.SYMBOLS.decode()]
+        upper, lower = (sum(a <= c <= z for c in text) for a, z in (("A", "Z"), ("a", "z")))
+        again = len(lines) - len(set(lines))
+        assert row.tolist() == pytest.approx([
+            math.log1p(n), math.log1p(chars / max(n, 1)), _share(len(symbols), chars), _share(text.count("!"), chars),
+            _share(text.count("|"), chars), _share(upper, upper + lower), _share(sum(c in "0123456789" for c in text), chars),
+            _share(text.count("."), n, 5), _share(text.count(","), n, 5), math.log1p(n / max(len(lines), 1)),
+            math.log1p(len(set(w))) - math.log1p(n), _share(again, len(lines), 3),
+            _share(sum(len(x) > 12 for x in w), n, 5),
+            _share(sum(any(c in linecrf.SYMBOLS.decode() for c in x) for x in w), n, 5),
+        ]), text
+
+
+def test_line_features_equal_brute_force():
+    found = linecrf.Lines(linecrf.Texts(pa.array(TEXTS)))
+    want = []
+    for text in TEXTS:
+        seen = set()
+        for line in (text or "").split("\n"):
+            w = words(line)
+            if not w:
+                continue
+            chars, bare = sum(map(len, w)), line.strip(" \t\n\x0b\x0c\r")
+            upper, lower = (sum(a <= c <= z for c in line) / chars for a, z in (("A", "Z"), ("a", "z")))
+            values = {
+                "symbol_share": sum(c in linecrf.SYMBOLS.decode() for c in line) / chars,
+                "exclaim_share": line.count("!") / chars, "upper_share": upper / max(upper + lower, 1e-9),
+                "digit_share": sum(c in "0123456789" for c in line) / chars, "pipe_share": line.count("|") / chars,
+                "words": len(w), "word_length": chars / len(w), "ends": bare[-1] in linecrf.ENDS.decode(),
+                "starts_lower": "a" <= bare[0] <= "z", "repeated": line in seen,
+            }
+            seen.add(line)
+            want.append([sum(c < values[name] for c in cuts) for name, cuts in linecrf.CUTS.items()])
+    assert found.features().tolist() == want
+
+
+def test_word_scores_equal_brute_force(model):
+    texts = ["Häuser und the river", None, "", "a İx 12 été", "執 x" * 3]
+    chars = langid.Chars(pa.array(texts))
+    got = model.word_scores(chars)
+    allowed = model.scripts[chars.script]
+    allowed |= ~allowed.any(axis=1, keepdims=True)
+    letters = [w for t in texts for w in re.findall(r"[^\W\d_]+", t or "")]
+    assert len(letters) == chars.n
+
+    def slot(gram):
+        h = len(gram)
+        for c in gram:
+            h = ((h ^ c) * 0x9E3779B97F4A7C15) % 2**64
+            h ^= h >> 29
+        return (h * 0x9E3779B97F4A7C15) % 2**64 >> (64 - langid.BITS)
+
+    for w, row, may in zip(letters, got, allowed):
+        padded = [0, *[ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in w], 0]
+        total = sum(
+            model.logs[k - 1, slot(padded[i : i + k])].astype(float) for k in langid.GRAMS for i in range(len(padded) - k + 1)
+        )
+        assert row[may] == pytest.approx(total[may], abs=1e-3), w
+
+
+def test_scripts_of_their_own(spark):
+    """Common Han letters, Tamil, Lao and Ethiopic are four scripts, and kana is another."""
+    known = {"zh": "中文 漢字", "ta": "தமிழ் மொழி", "lo": "ພາສາ ລາວ", "am": "አማርኛ ቋንቋ", "ja": "ひらがな カタカナ"}
+    rows = [(20 * i + j, t, x) for i, (x, t) in enumerate(known.items()) for j in range(19)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    new = {"zh": "國 学", "ta": "உலகம்", "lo": "ໂລກ", "am": "ዓለም", "ja": "せかい"}
+    df = spark.createDataFrame(list(enumerate(new.values())), "doc_id bigint, text string")
+    assert [r.lang_pred for r in langid.identify(df, model).orderBy("doc_id").collect()] == list(new)
