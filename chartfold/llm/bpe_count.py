@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from chartfold.llm.textbatch import column, slices
 
 MARK = "▁"
-REMEMBERED = 500_000
+REMEMBERED = 500_000  # words
+REMEMBERED_BYTES = 64 << 20  # what they take, about
 
 
 class PieceRanks:
@@ -77,17 +78,20 @@ class WordCounts(dict):
 
     def __init__(self, ranks: PieceRanks):
         super().__init__()
-        self.ranks, self.old = ranks, {}
+        self.ranks, self.old, self.held = ranks, {}, 0
 
     def __missing__(self, word: str) -> int:
         n = self.old.get(word)
         if n is None:
             parts = self.ranks.parts(word)
             n = count_by_merging(word, self.ranks) if len(parts) == 1 else sum(map(self.__getitem__, parts))
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
+        size = 150 + 4 * len(word)
+        if len(self) >= REMEMBERED or self.held + size > REMEMBERED_BYTES:
+            self.old, self.held = dict(self), 0
             self.clear()
-        self[word] = n
+        if size <= REMEMBERED_BYTES:
+            self[word] = n
+            self.held += size
         return n
 
 

@@ -29,7 +29,8 @@ from chartfold.llm.textbatch import Texts, column, mix, slices, span_hashes
 
 MARK = "▁"
 LITERAL = 0x110000  # stands for the mark where it is in a text itself: beyond all code points
-REMEMBERED = 50_000
+REMEMBERED = 50_000  # words
+REMEMBERED_BYTES = 64 << 20  # what they take, about
 UNKNOWN_BELOW = 10.0  # a character without a piece scores so much less than the worst one with
 SLOT_BITS = 20
 CELLS = 1 << 16  # characters of a block of words
@@ -222,16 +223,19 @@ class Remembered(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.held = make, {}, 0
 
     def __missing__(self, key: str):
         got = self.old.get(key)
         if got is None:
             got = self.make(key)
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
+        size = 500 + 4 * len(key[0]) + 40 * (len(key[-1]) + sum(len(ids) for _, ids in got))
+        if len(self) >= REMEMBERED or self.held + size > REMEMBERED_BYTES:
+            self.old, self.held = dict(self), 0
             self.clear()
-        self[key] = got
+        if size <= REMEMBERED_BYTES:
+            self[key] = got
+            self.held += size
         return got
 
 

@@ -1,6 +1,7 @@
 """N-best pieces and the vector index against exhaustive search; the pipeline stage by stage."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -184,14 +185,43 @@ def test_recall_is_reported_and_kept_beyond_any_number_of_cells(sparse, monkeypa
     assert len(told) == 1 and told[0].all_pairs and told[0].recall == 1.0 and told[0].linked == 24
 
 
-def test_recall_on_all_embeddings(spark):
-    d = "/root/testdata/check_s"
-    df = table(spark, d, "embeddings")
-    got = {r.vec_id: r.n_links for r in QUERIES["op1_embedding_near_dedup"](spark, d).collect()}
-    data = sorted((r.vec_id, r.embedding) for r in df.collect())
+def test_searched_words_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(piece_nbest, "REMEMBERED_BYTES", 3000)
+    asked = []
+    known = piece_nbest.Remembered(lambda key: asked.append(key) or [(0.5, (1, 2, 3))])
+    keys = [("w" * n, 0.0, (1,) * n) for n in (1, 10, 500, 2, 10, 1, 10)]
+    assert all(known[k] == [(0.5, (1, 2, 3))] for k in keys)
+    assert keys[2] not in known and keys[2] not in known.old and known.held <= 3000
+    assert asked.count(keys[1]) == 1  # it came over from the old table
+
+
+def test_recall_on_an_indexed_table(spark):
+    """All embeddings of sf0.1 and two noisy copies of each: more than are compared pair by pair."""
+    rows = sorted((r.vec_id, r.embedding) for r in table(spark, "/root/testdata/sf0.1", "embeddings").collect())
+    rng, x = np.random.default_rng(4), np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    copies = [x + rng.normal(size=x.shape) * s / x.shape[1] ** 0.5 for s in (0.25, 0.45)]
+    data = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, *copies]))]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").repartition(8)
+    told = []
+    got = {r.vec_id: r.n_links for r in multiindex.near_copies(df, report=told.append).collect()}
+    assert len(told) == 1 and not told[0].all_pairs
     there = links(data).sum(axis=1)
     found = np.array([got[i] for i, _ in data])
-    assert (found <= there).all() and found.sum() >= 0.95 * there.sum()
+    assert there.sum() > 2 * len(x) and (found <= there).all() and found.sum() >= 0.95 * there.sum()
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_hot_cells_are_dealt_out_by_their_blocks(spark, monkeypatch, sent):
+    """A cell of many vectors goes to as many tasks as it has pairs of blocks."""
+    monkeypatch.setattr(multiindex, "BLOCK", 16)
+    monkeypatch.setattr(multiindex, "HOT_SENT", sent)
+    rows = [(i, i, 1, [1.0, float(i)], i % 300 and 7 or i) for i in range(600)]
+    members = spark.createDataFrame(rows, "id bigint, own bigint, weight bigint, vec array<double>, cell bigint")
+    members = members.withColumns({"own": F.col("cell"), "cells": F.array("cell")})
+    found = multiindex._verify(members, 0.9, "bigint")
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(cell#\d+L, i#\d+, j#\d+", text)
 
 
 def test_vectors_that_link_with_nothing(spark):

@@ -55,6 +55,15 @@ def test_remembered_words_are_renewed(monkeypatch, library):
     assert len(known) <= 3
 
 
+def test_remembered_words_are_bounded_by_bytes(monkeypatch, library):
+    monkeypatch.setattr(bpe_count, "REMEMBERED_BYTES", 1000)
+    known = bpe_count.WordCounts(bpe_count.PieceRanks(PIECE_MODEL))
+    words = ["▁" + w * n for w in ("the", "執", "zz") for n in (1, 3, 50, 400)]
+    for w in words * 2:
+        assert known[w] == len(library.encode(w[1:]))
+        assert sum(150 + 4 * len(x) for x in known) <= 1000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="ab \n\té", max_size=30)), min_size=1, max_size=8))
 def test_words_of_a_batch(texts):
