@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartfold.llm.textbatch import Texts, column
+from chartfold.llm.textbatch import SLICE_BYTES, Texts, column
 
 # the template
 OPEN, NAMED, CLOSE = b"### ", b": ", b" </turn>\n"
@@ -70,6 +71,8 @@ def assemble(roles: pa.Array, texts: pa.Array, first: np.ndarray, loss_role: str
     r_mark, r_size = _escaped(r, role=True)
     t_mark, t_size = _escaped(t)
     row = np.concatenate([[0], np.cumsum(len(OPEN) + r_size + len(NAMED) + t_size + len(CLOSE))])
+    if row[-1] >= 1 << 31:
+        raise ValueError("a conversation takes 2 GiB or more, which no string column holds")
     out = np.empty(row[-1], np.uint8)
     name = row[:-1] + len(OPEN)
     body = name + r_size + len(NAMED)
@@ -79,9 +82,8 @@ def assemble(roles: pa.Array, texts: pa.Array, first: np.ndarray, loss_role: str
     _scatter(out, body, t, t_mark)
     _fill(out, body + t_size, CLOSE)
 
-    kind = pa.string() if row[-1] < 1 << 31 else pa.large_string()
-    ends = row[first].astype(np.int32 if kind == pa.string() else np.int64)
-    formatted = pa.Array.from_buffers(kind, len(first) - 1, [None, pa.py_buffer(ends), pa.py_buffer(out)])
+    ends = row[first].astype(np.int32)
+    formatted = pa.Array.from_buffers(pa.string(), len(first) - 1, [None, pa.py_buffer(ends), pa.py_buffer(out)])
 
     points = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])
     scored = np.flatnonzero(pc.fill_null(pc.equal(roles, loss_role), False).to_numpy(zero_copy_only=False))
@@ -119,17 +121,26 @@ def format_chat(
 
     A conversation is one value of one row, so it is put together in one task;
     tasks stream over their conversations and hold one batch and the
-    conversation that runs on.
+    conversation that runs on.  One of 2 GiB or more is beyond a string column
+    and fails.
     """
     kind = turns.schema[conversation].dataType.simpleString()
 
-    def whole(rows: pa.Table) -> pa.RecordBatch:
+    def whole(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Conversations in slices of bounded size, one at least."""
         rows = rows.combine_chunks()
         ids, roles, texts = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns)
         first = np.concatenate([[0], _changes(ids), [len(ids)]])
-        formatted, spans, n = assemble(roles, texts, first, loss_role)
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(first[:-1])), formatted, spans, n],
-                                          ["id", "formatted", "loss_spans", "n_turns"])
+        size = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy().astype(np.int64) for c in (roles, texts))
+        upto = np.concatenate([[0], np.cumsum(size)])[first]
+        at = 0
+        while at < len(first) - 1:
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] + SLICE_BYTES, "right")) - 1)
+            a, n = first[at], first[end] - first[at]
+            formatted, spans, turns = assemble(roles.slice(a, n), texts.slice(a, n), first[at : end + 1] - a, loss_role)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(first[at:end])), formatted, spans, turns],
+                                             ["id", "formatted", "loss_spans", "n_turns"])
+            at = end
 
     def run(batches):
         held = []
@@ -139,16 +150,16 @@ def format_chat(
             batch = batch.select(["id", "role", "text"])
             edges = _changes(column(batch, "id"))
             if held and _changes(pa.concat_arrays([column(held[-1], "id")[-1:], column(batch, "id")[:1]])).size:
-                yield whole(pa.Table.from_batches(held))
+                yield from whole(pa.Table.from_batches(held))
                 held = []
             if len(edges):
                 held.append(batch.slice(0, edges[-1]))
-                yield whole(pa.Table.from_batches(held))
+                yield from whole(pa.Table.from_batches(held))
                 held = [batch.slice(edges[-1])]
             else:
                 held.append(batch)
         if held:
-            yield whole(pa.Table.from_batches(held))
+            yield from whole(pa.Table.from_batches(held))
 
     rows = turns.select(
         F.col(conversation).alias("id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")

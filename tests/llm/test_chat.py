@@ -64,3 +64,10 @@ def test_conversations_that_run_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == {c: [("user", str(c * 100 + i)) for i in range(100)] for c in range(5)}
+
+
+def test_conversations_are_put_together_in_slices_of_bytes(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SLICE_BYTES", 40)
+    df = spark.range(60).selectExpr("id DIV 3 AS conv_id", "id AS turn", "'user' AS role", "repeat('x', int(id)) AS text").coalesce(1)
+    got = {r.conv_id: chat.parse(r.formatted) for r in chat.format_chat(df).collect()}
+    assert got == {c: [("user", "x" * (3 * c + i)) for i in range(3)] for c in range(20)}
