@@ -307,7 +307,13 @@ def quality_rules(
 
 
 def keep_good(docs: DataFrame, crf: LineCRF, text: str = "text", min_share: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, unchanged."""
+    """The rows of ``docs`` that the rules keep, unchanged.
+
+    Only the text decides: null and empty texts have too few words and go, as do
+    very short ones, copies and repeated rows stay or go together, and other
+    columns, whatever they are called or hold, are passed on.  An empty table
+    gives an empty one.
+    """
 
     def run(batches):
         for batch in slices(batches, text):

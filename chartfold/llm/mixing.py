@@ -83,7 +83,9 @@ def mix(
     all their words, so they are taken together; ``rows`` is their number.  A
     null source is a source; null and empty texts have no words and are never
     taken.  The order within a source is a hash of id, text and ``seed``, so
-    reruns agree.  A hot source is cut into chunks like any long series.
+    reruns agree.  A hot source is cut into chunks like any long series.  Other
+    columns of ``docs`` are not looked at, whatever their names, and an empty
+    table gives an empty one.
     """
     entries = stored(
         docs.select(F.col(id).alias("id"), F.md5(text).alias("text_hash"), F.col(source).alias("source"),
