@@ -3,6 +3,9 @@
 A stage takes ``(spark, docs, sf_dir)``.  All but the last return the columns of
 ``documents``; ``run`` writes what a stage returns to the shared folder and reads
 it again, so a lost executor costs a stage at most.
+
+Every stage takes nulls in any column, repeated rows and an empty table, which
+gives an empty one; columns beside those that it reads are passed on as they are.
 """
 
 from __future__ import annotations
@@ -15,7 +18,10 @@ from chartfold.sources.scratch import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the counts and are mostly content, line by line."""
+    """Documents that pass the counts and are mostly content, line by line.
+
+    Null and empty texts have no words and go; copies stay or go together.
+    """
     return linecrf.keep_good(docs, linecrf.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -23,24 +29,36 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that score as good ones.
 
     The stage before has rejected most bad examples, so the classifier learns
-    from all labelled documents of the input and judges those that are left.
+    from all labelled documents of the input and judges those that are left.  A
+    score of exactly 0.5 stays; equal texts score alike.
     """
     model = qda.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return qda.keep_good(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles are similar by 0.8 or more."""
+    """One document of each group whose sets of five-word shingles are similar by 0.8 or more.
+
+    The smallest id stays, of rows that share it the one with the least hash.
+    Texts without words, and rows without an id, are linked with nothing and stay.
+    """
     return jaccard.keep_one(docs, k=5, percent=80)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources to their target weights; a document that is taken more than once is repeated."""
+    """Sources to their target weights; a document that is taken more than once is repeated.
+
+    A null source is a source.  Texts without words are never taken; rows of equal
+    id, text and source are taken together.
+    """
     return mixing.take(docs, mixing.mix(docs))
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every text, the best three segmentations, and whether they decode to the text."""
+    """The pieces of every text, the best three segmentations, and whether they decode to the text.
+
+    A null or empty text has no pieces.
+    """
     return piece_nbest.encode(docs, PIECE_MODEL, n=3)
 
 
