@@ -35,8 +35,11 @@ MASK = (1 << 64) - 1
 LOW = np.uint64(255)
 #: comparing a candidate costs as much as so many signatures
 COMPARE = 50
-#: the sets of a signature, up to so many, are compared in pairs; of more, in blocks
+#: the sets of a signature, up to so many, are screened in pairs; of more, in blocks of their sizes and counts
 SMALL = 16
+SCREEN_SETS = 512
+#: a block with more plausible pairs for each set than this is compared whole, set by set, without naming them
+DENSE = 16
 #: most sets of a block, and most elements in them, on average
 BLOCK_SETS, BLOCK_ELEMENTS = 256, 1 << 20
 #: up to so many ids are sent to all executors; more are joined by a shuffle
@@ -285,8 +288,52 @@ def _forest(linked: np.ndarray, x: list, y: list) -> list[tuple]:
     return out
 
 
+def _screened(members: DataFrame, shingled: DataFrame, percent: int, kind: str) -> DataFrame:
+    """What may be similar among the sets of large signatures: (``a``, ``b``, ``dense``).
+
+    ``members`` are (``sig``, ``id``, ``c``, ``n``): the signature, a set, its
+    component so far, and how many sets the signature has.  These are dealt into
+    blocks, and a task compares the sizes and bucket counts of two blocks of one
+    signature.  It puts out the pairs of different components that may be
+    similar; where these are too many, each set with the block's smallest
+    one, as ``dense``: then all sets of the two blocks have to be compared.
+    """
+    known = shingled.select("id", F.col("n").alias("size"), "counts").filter("size > 0")
+    dealt = members.withColumn("k", F.ceil(F.col("n") / SCREEN_SETS).cast("int")).join(known, "id")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
+    sent = dealt.select("sig", "id", "c", "size", "counts", "block", other).select(
+        "sig", F.greatest("block", "other").alias("i"), F.least("block", "other").alias("j"), "block", "id", "c", "size", "counts"
+    )
+
+    def screen(rows: pa.Table) -> pa.Table:
+        ids, kind_of = rows["id"].to_pylist(), rows.schema.field("id").type
+        block, size = rows["block"].to_numpy(), rows["size"].to_numpy()
+        component = np.unique(np.array(rows["c"].to_pylist()), return_inverse=True)[1]
+        counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = []
+        for a in x.tolist():
+            b = y[y > a] if i == j else y
+            total = size[a] + size[b]
+            near = (component[b] != component[a]) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+            b, total = b[near], total[near]
+            apart = np.abs(counts[b] - counts[a]).sum(axis=1)
+            found += [(a, other) for other in b[apart <= total - 2 * -(-percent * total // (100 + percent))].tolist()]
+        if len(found) > DENSE * len(ids):
+            least = min(ids)
+            pairs = [(v, least) for v in ids]
+        else:
+            pairs = [(max(ids[a], ids[b]), min(ids[a], ids[b])) for a, b in found if ids[a] != ids[b]]
+        columns = [pa.array([p[k] for p in pairs], kind_of) for k in (0, 1)]
+        return pa.table([*columns, pa.array([len(found) > DENSE * len(ids)] * len(pairs), pa.bool_())], names=["a", "b", "dense"])
+
+    return sent.groupBy("sig", "i", "j").applyInArrow(screen, f"a {kind}, b {kind}, dense boolean")
+
+
 def _within_groups(members: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
-    """Links between sets of large groups: (``a``, ``b``) that join all that are similar.
+    """Links between sets of dense groups: (``a``, ``b``) that join all that are similar.
 
     Groups (``p``) that overlap are one.  Its sets are dealt into blocks of
     bounded size and a task compares two blocks, so no task holds a group, and
@@ -371,12 +418,12 @@ def jaccard_components(
     compared = _compare(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, percent)
     to = compared.filter("linked").select(F.col("a").alias("node"), F.col("b").alias("to"))
 
-    def labelled(pairs: DataFrame, names: DataFrame) -> DataFrame:
-        """Pairs that are not known to be in one component."""
+    def labelled(pairs: DataFrame, names: DataFrame, keep: bool = False) -> DataFrame:
+        """Pairs that are not known to be in one component; ``keep``: with the components."""
         for side in ("a", "b"):
             label = names.select(F.col("node").alias(side), F.col("to").alias(f"in_{side}"))
             pairs = pairs.join(label, side, "left").withColumn(f"in_{side}", F.coalesce(f"in_{side}", side))
-        return pairs.filter("in_a <> in_b").select("a", "b")
+        return pairs.filter("in_a <> in_b").select("a", "b", *(["in_a", "in_b"] if keep else []))
 
     rest = labelled(pairs.join(compared, ["a", "b"], "left_anti"), to)
     compared = stored(compared.unionByName(_compare(rest, sets, percent)), "compared")
@@ -394,12 +441,25 @@ def jaccard_components(
     other = few.select("sig", F.col("id").alias("b"), F.col("c").alias("c_b"))
     crossing = few.join(other, "sig").filter("b < id AND c <> c_b").select(F.col("id").alias("a"), "b").distinct()
     crossing = crossing.join(compared, ["a", "b"], "left_anti")
-    crossing = stored(_plausible(crossing, shingled, percent, kind), "pairs")
-    many = inside.filter(F.col("n") > SMALL).select("id", "p")
+    few = _plausible(crossing, shingled, percent, kind)
+    large = _screened(inside.filter(F.col("n") > SMALL).select("sig", "id", "c", "n"), shingled, percent, kind)
+    large = stored(large.distinct(), "screened")
+    many = large.filter("dense").select(F.col("a").alias("id"), F.col("b").alias("p"))
+    crossing = few.unionByName(large.filter("NOT dense").select("a", "b")).distinct()
+    crossing = stored(crossing.join(compared, ["a", "b"], "left_anti"), "pairs")
     sets = sets_of(crossing.select(F.explode(F.array("a", "b")).alias("id")).unionByName(many.select("id")))
-    crossing = _compare(crossing, sets, percent)
+    # one pair of every two components first: most of the others are then within one
+    names = joined.select("node", F.col("component").alias("to"))
+    first = stored(labelled(crossing, names, keep=True).groupBy("in_a", "in_b").agg(
+        F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b"), "first")
+    once = _compare(first, sets, percent)
+    compared = stored(compared.unionByName(once), "compared")
+    joined = components(compared.filter("linked"))
+    names = joined.select("node", F.col("component").alias("to"))
+    rest = labelled(crossing.join(once, ["a", "b"], "left_anti"), names)
+    compared = compared.unionByName(_compare(rest, sets, percent))
     found = _within_groups(many, sets, percent, kind)
-    links = compared.unionByName(crossing).filter("linked").select("a", "b").unionByName(found)
+    links = compared.filter("linked").select("a", "b").unionByName(found)
     joined = components(links)
 
     component = node_of.join(joined, "node", "left").select(

@@ -19,6 +19,8 @@ from chartfold.llm.textbatch import Texts, Words, column, runs, slices, span_has
 SYMBOLS = b"#*$%&|<>"
 ENDS = b".!?:;\"')"
 WINDOW = 5
+#: text that is filtered at a time: its counts take some hundred bytes of memory for each
+PART_BYTES = 1 << 19
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -316,7 +318,7 @@ def keep_good(docs: DataFrame, crf: LineCRF, text: str = "text", min_share: floa
     """
 
     def run(batches):
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, PART_BYTES):
             yield batch.filter(pa.array(judge(column(batch, text), crf, min_share)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -40,12 +40,15 @@ def edited(spark):
     return spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
 
 
-@pytest.mark.parametrize("depth,small", [(1, 1000), (2, 1), (3, 4)])
-def test_every_way_through_is_exact(edited, monkeypatch, depth, small):
+@pytest.mark.parametrize("depth,small,dense", [(1, 1000, 16), (2, 1, 0), (3, 4, 0), (3, 1, 10**6)])
+def test_every_way_through_is_exact(edited, monkeypatch, depth, small, dense):
+    """Signatures of a few sets, of many that are screened in blocks, and of many that are compared whole."""
     plan = jaccard.Bands.plan
     monkeypatch.setattr(jaccard.Bands, "plan", lambda self, band: (plan(self, band)[0], depth))
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 10)
+    monkeypatch.setattr(jaccard, "SCREEN_SETS", 5)
+    monkeypatch.setattr(jaccard, "DENSE", dense)
     monkeypatch.setattr(jaccard, "SENT", 0 if depth == 2 else 1_000_000)
     assert outcome(edited, 3, 90) == jaccard_components(texts(edited), 3, 90)
 
