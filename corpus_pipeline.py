@@ -10,6 +10,8 @@ gives an empty one; columns beside those that it reads are passed on as they are
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from chartfold.llm import jaccard, linecrf, mixing, piece_nbest, qda
@@ -17,6 +19,22 @@ from chartfold.llm.queries import PIECE_MODEL, table
 from chartfold.sources.scratch import stored
 
 
+#: bytes of text that go to a Python worker at once; a number of rows says little about their size
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(stage):
+    """Sets the size of the session's Arrow batches, so that a worker's memory does not depend on how long texts are."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_small_batches
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counts and are mostly content, line by line.
 
@@ -25,6 +43,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return linecrf.keep_good(docs, linecrf.train(docs, table(spark, sf_dir, "labels")))
 
 
+@in_small_batches
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as good ones.
 
@@ -36,6 +55,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return qda.keep_good(docs, model)
 
 
+@in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles are similar by 0.8 or more.
 
@@ -45,6 +65,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.keep_one(docs, k=5, percent=80)
 
 
+@in_small_batches
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources to their target weights; a document that is taken more than once is repeated.
 
@@ -54,6 +75,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mixing.take(docs, mixing.mix(docs))
 
 
+@in_small_batches
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every text, the best three segmentations, and whether they decode to the text.
 
