@@ -44,7 +44,7 @@ def tokens(libraries, text):
 def grouped(a, b):
     """The groups as pairs of lists of ids."""
     ends = [set(np.cumsum([len(t) for _, t in x]).tolist()) for x in (a, b)]
-    both = sorted(ends[0] & ends[1])
+    both = np.array(sorted(ends[0] & ends[1]), np.int64)
     out = [([], []) for _ in both]
     for side, x in enumerate((a, b)):
         at = 0
