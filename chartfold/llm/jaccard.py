@@ -42,6 +42,8 @@ SCREEN_SETS = 512
 DENSE = 16
 #: most sets of a block, and most elements in them, on average
 BLOCK_SETS, BLOCK_ELEMENTS = 256, 1 << 20
+#: text whose shingles are worked out together: they and their signatures take some hundred bytes of memory for each
+PART_BYTES = 1 << 19
 #: up to so many ids are sent to all executors; more are joined by a shuffle
 SENT = 1_000_000
 
@@ -153,7 +155,7 @@ def _digests(docs: DataFrame, k: int, kind: str) -> DataFrame:
     """id, n, a digest of the set (null without words), and how many elements it has in each of 256 buckets."""
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PART_BYTES):
             sets = shingles(Texts(column(batch, "text")), k)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             counts = [np.minimum(np.bincount((mix(s + np.uint64(3)) & LOW).astype(np.int64), minlength=256), 255) for s in sets]
@@ -203,7 +205,7 @@ def _indexed(docs: DataFrame, k: int, bands: Bands, kind: str) -> DataFrame:
     """
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PART_BYTES):
             ids = column(batch, "id")
             sigs = [signatures(s, bands) if len(s) else s for s in shingles(Texts(column(batch, "text")), k)]
             row = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
@@ -224,7 +226,7 @@ def _indexed(docs: DataFrame, k: int, bands: Bands, kind: str) -> DataFrame:
 
 def _sets(docs: DataFrame, k: int, kind: str) -> DataFrame:
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PART_BYTES):
             sets = [s.view(np.int64) for s in shingles(Texts(column(batch, "text")), k)]
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"]
