@@ -2,8 +2,9 @@
 
 Where tokens of both end at the same byte, the tokens up to there form a group.
 Most groups are one token of each, so the two arrays of ends mostly agree at a
-fixed shift of the index.  ``runs`` follows that diagonal: it compares stretches
-of 1, 2, 4, ... ends, finds the first that differs by halving, and jumps there.
+fixed shift of the index.  ``runs`` follows that diagonal: from a common end on,
+ends agree as long as sizes do, so it compares stretches of 16, 32, 64, ... sizes,
+finds the first that differs from the lowest bit that does, and jumps there.
 The group that begins there is irregular; the ends are stepped through until they
 meet, and the next stretch is compared at the new shift.
 
@@ -32,6 +33,7 @@ from chartfold.llm.textbatch import column, places, slices, spans_total
 from chartfold.sources.scratch import stored
 
 BLOCK_BYTES = 2 << 20  # text of a block
+STRETCH = 16  # sizes that are compared first
 PAIRS_AT_ONCE = 1 << 21  # pairs of irregular groups that are laid out at a time
 ID_BITS = 32
 
@@ -111,43 +113,40 @@ def runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Rows ``(i, j, n)``: n groups of one token each, from ``a[i]`` and ``b[j]`` on;
     rows ``(i, j, p, q)``: an irregular group of ``a[i:p]`` and ``b[j:q]``.
     """
-    a, b = np.ascontiguousarray(a, np.int64), np.ascontiguousarray(b, np.int64)
-    raw_a, raw_b, list_a, list_b = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
-    regular, irregular = [], []
-    i = j = 0
-    n_a, n_b = len(list_a), len(list_b)
-    while i < n_a:
-        n, step = 0, 1
-        room = min(n_a - i, n_b - j)
-        x, y = 8 * i, 8 * j
-        while n + step <= room and raw_a[x : x + 8 * step] == raw_b[y : y + 8 * step]:
-            n += step
-            x += 8 * step
-            y += 8 * step
+    size_a, size_b = np.diff(a, prepend=0), np.diff(b, prepend=0)
+    kind = np.min_scalar_type(int(max(size_a.max(initial=0), size_b.max(initial=0))))
+    width = kind.itemsize
+    raw_a, raw_b = size_a.astype(kind).tobytes(), size_b.astype(kind).tobytes()
+    list_a, list_b = (raw_a, raw_b) if width == 1 else (size_a.tolist(), size_b.tolist())
+    number = int.from_bytes
+    irregular = []
+    x = y = 0  # places in raw_a and raw_b
+    while x < len(raw_a):
+        step = STRETCH * width
+        differ = number(raw_a[x : x + step], "little") ^ number(raw_b[y : y + step], "little")
+        while not differ and x < len(raw_a):
+            x += step
+            y += step
             step *= 2
-        while step > 1 and n < room:
-            step //= 2
-            if n + step <= room and raw_a[x : x + 8 * step] == raw_b[y : y + 8 * step]:
-                n += step
-                x += 8 * step
-                y += 8 * step
-        if n:
-            regular.append((i, j, n))
-            i += n
-            j += n
-        if i < n_a:
-            p, q = i, j
-            u, v = list_a[p], list_b[q]
+            differ = number(raw_a[x : x + step], "little") ^ number(raw_b[y : y + step], "little")
+        if differ:
+            n = ((differ & -differ).bit_length() - 1) // (8 * width)
+            i, j = x // width + n, y // width + n
+            u, v = list_a[i], list_b[j]  # bytes of the group so far
+            p, q = i + 1, j + 1
             while u != v:
                 if u < v:
+                    u += list_a[p]
                     p += 1
-                    u = list_a[p]
                 else:
+                    v += list_b[q]
                     q += 1
-                    v = list_b[q]
-            irregular.append((i, j, p + 1, q + 1))
-            i, j = p + 1, q + 1
-    return np.array(regular, np.int64).reshape(-1, 3), np.array(irregular, np.int64).reshape(-1, 4)
+            irregular += (i, j, p, q)
+            x, y = p * width, q * width
+    irregular = np.array(irregular, np.int64).reshape(-1, 4)
+    begin = np.concatenate([[[0, 0]], irregular[:, 2:]])
+    n = np.append(irregular[:, 0], len(a)) - begin[:, 0]
+    return np.column_stack([begin, n])[n > 0], irregular
 
 
 class Groups:
@@ -218,31 +217,26 @@ def links(a: Tokens, b: Tokens, groups: Groups) -> tuple[np.ndarray, np.ndarray,
 
 
 class Numerals:
-    """Decimal ids, each with a mark behind it, in one buffer."""
+    """Decimal ids with a mark behind, filled up with zeros: of id ``i``, ``,`` at ``i``, ``|`` at ``n + i``, ``;`` at ``2 * n + i``."""
 
     def __init__(self, n: int):
-        texts = [f"{i}," for i in range(n)]
-        self.size = np.array([len(t) for t in texts])
-        self.begin = np.cumsum(self.size) - self.size
-        self.text = np.frombuffer("".join(texts).encode(), np.uint8)
+        self.n = n
+        width = (len(str(n)) + 8) // 8 * 8
+        self.text = np.array([f"{i}{mark}" for mark in ",|;" for i in range(n)], f"S{width}")
+        self.size = np.char.str_len(self.text)
 
 
 def group_digests(a: Tokens, b: Tokens, groups: Groups, numerals: Numerals) -> list[str]:
     """Hex digests of ``a1,a2|b1;a3|b2,b3`` for every text, ``''`` for one without tokens."""
-    n_a, n_b = groups.n_a, groups.n_b
-    before = np.cumsum(n_a + n_b) - n_a - n_b  # tokens before each group, both kinds
-    number_a, number_b = np.repeat(np.arange(len(groups)), n_a), np.repeat(np.arange(len(groups)), n_b)
-    place_a = before[number_a] + np.arange(len(a.ids)) - groups.first_a[number_a]
-    place_b = (before + n_a)[number_b] + np.arange(len(b.ids)) - groups.first_b[number_b]
+    upto_a, upto_b = groups.first_a + groups.n_a, groups.first_b + groups.n_b
     ids = np.empty(len(a.ids) + len(b.ids), np.int64)
-    ids[place_a], ids[place_b] = a.ids, b.ids
-    size = numerals.size[ids]
-    text = numerals.text[places(numerals.begin[ids], size)]
-    end = np.cumsum(size) - 1
-    text[end[before + n_a - 1]] = ord("|")
-    text[end[before + n_a + n_b - 1]] = ord(";")
-    edge = np.concatenate([[0], end + 1])[a.at + b.at]
-    raw = text.tobytes()
+    ids[np.arange(len(a.ids)) + np.repeat(groups.first_b, groups.n_a)] = a.ids
+    ids[np.arange(len(b.ids)) + np.repeat(upto_a, groups.n_b)] = b.ids
+    ids[upto_a + groups.first_b - 1] += numerals.n
+    ids[upto_a + upto_b - 1] += 2 * numerals.n
+    edge = np.concatenate([[0], np.cumsum(numerals.size[ids])])[a.at + b.at]
+    text = numerals.text[ids].view(np.uint8)
+    raw = text[text != 0].tobytes()
     return [hashlib.sha256(raw[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(edge.tolist(), edge[1:].tolist())]
 
 

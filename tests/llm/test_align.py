@@ -1,6 +1,8 @@
 """Alignment of two tokenizers against a plain form of it, with the libraries' tokens."""
 
 import hashlib
+import sys
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -102,6 +104,59 @@ def test_long_equal_stretches_are_compared_in_few_steps():
     assert regular.tolist() == [[0, 0, 200_000]] and not len(irregular)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([1, 255, 256, 257, 65_535, 65_536, 65_537]), min_size=1, max_size=40),
+       st.lists(st.sampled_from([1, 255, 256, 257, 65_535, 65_536, 65_537]), min_size=1, max_size=40), st.integers(0, 40))
+def test_runs_of_long_tokens(x, y, same):
+    shared = [65_792] * same
+    a, b = ends_of([1, *shared, *x, *shared]), ends_of([1, *shared, *y, *shared])
+    end = max(a[-1], b[-1]) + 1
+    a, b = np.append(a, end), np.append(b, end)
+    regular, irregular = align.runs(a, b)
+    last = sorted([*[i + k for i, _, n in regular.tolist() for k in range(n)], *[p - 1 for _, _, p, _ in irregular.tolist()]])
+    assert a[last].tolist() == sorted(set(a.tolist()) & set(b.tolist()))
+    assert all((a[i : i + n] == b[j : j + n]).all() for i, j, n in regular.tolist())
+
+
+def test_runs_of_nothing():
+    regular, irregular = align.runs(ends_of([]), ends_of([]))
+    assert regular.shape == (0, 3) and irregular.shape == (0, 4)
+
+
+def test_an_irregular_group_takes_few_steps():
+    """Lines of Python that run, per irregular group: 51 when stretches were halved."""
+    a, b = ends_of([*[2] * 9, 1, 3] * 1000), ends_of([*[2] * 9, 3, 1] * 1000)
+    lines = 0
+
+    def trace(frame, event, _):
+        nonlocal lines
+        if frame.f_code is not align.runs.__code__:
+            return None
+        lines += event == "line"
+        return trace
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        _, irregular = align.runs(a, b)
+    finally:
+        sys.settrace(before)
+    assert len(irregular) == 1000 and lines < 25 * 1000
+
+
+def test_digests_lay_out_no_index_per_digit(libraries):
+    made = align.aligner(BYTE_MODEL, PIECE_MODEL)
+    a, b = made.tokens(["the old river and the mountain are far away " * 5000])
+    groups = align.Groups(a, b)
+    tracemalloc.start()
+    try:
+        align.group_digests(a, b, groups, made.numerals)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 64 * (len(a.ids) + len(b.ids))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.one_of(st.none(), TEXTS), min_size=1, max_size=6))
 def test_tokens_of_a_block(libraries, texts):
