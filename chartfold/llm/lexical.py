@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from chartfold.llm.textbatch import LOWER, Texts, Words, column, places, slices, span_hashes
-from chartfold.sources.scratch import stored
+from chartfold.sources.scratch import small_batches, stored, stored_blocks
 
-BLOCK_BYTES = 16 << 20  # text of a block
+BLOCK_BYTES = 4 << 20  # text of a block
 BATCH_BYTES = 4 << 20  # text of the queries that are searched together
 WINDOW = 2048  # documents that are scored together
 SHORT = 64  # lists of up to a share 1 / SHORT of a block's documents are short
@@ -125,7 +125,7 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     schema = (f"ids array<{kind}>, n array<bigint>, terms array<string>, "
               "df array<int>, doc array<int>, tf array<int>")
-    return stored(rows.mapInArrow(run, schema), "lexical-index")
+    return stored_blocks(rows.mapInArrow(run, schema), "lexical-index")
 
 
 def query_terms(text: str | None) -> Counter:
@@ -268,7 +268,8 @@ def search(
     are put out; equal ones go by ascending document id, null last.  A null or
     empty query, and one without a known term, has no rows; nor has an empty
     table.  Queries go to the tasks in batches of about :data:`BATCH_BYTES` of
-    text, so any number of them may be asked.
+    text, so any number of them may be asked; what is found is written to the
+    shared folder.
     """
     spark = index.sparkSession
     about = index.agg(
@@ -286,16 +287,22 @@ def search(
         searcher = _searcher(index, counted, about.docs, about.terms, k)
         shared = spark.sparkContext.broadcast((searcher, [r.item for r in part]))
         rows = index.select(*INDEX).mapInArrow(_task(shared, f"{b}/", kinds), schema)
-        found = rows if found is None else found.unionByName(rows)
+        with small_batches(spark):  # a task reads a block at a time
+            best = stored(_ranked(rows, k), "lexical-best")
+        found = best if found is None else found.unionByName(best)
     if found is None:
-        found = spark.createDataFrame([], schema)
+        found = _ranked(spark.createDataFrame([], schema), k)
+    return found.select(F.col("item").alias(query_id), "rank", F.col("id").alias(id), "score")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of each query, of which every task has put out as many."""
     order = [F.desc("score"), F.asc_nulls_last("id")]
-    # every task puts out k rows a query: first the best within some groups of tasks, then of these
+    # first the best within some groups of tasks, then of these
     salted = found.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     some = salted.withColumn("rank", F.row_number().over(Window.partitionBy("q", "salt").orderBy(*order)))
     some = some.filter(F.col("rank") <= k)
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).filter(F.col("rank") <= k)
-    return ranked.select(F.col("item").alias(query_id), "rank", F.col("id").alias(id), "score")
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def _searcher(index: DataFrame, counted: list[Counter], n_docs: int, n_terms: int, k: int) -> Searcher:

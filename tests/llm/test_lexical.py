@@ -7,11 +7,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from brute import lower, messy
 from chartfold.llm import lexical
 from chartfold.llm.queries import QUERIES, table
+from chartfold.sources import scratch
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -116,6 +118,35 @@ def test_blocks_of_one_document(monkeypatch, spark):
     assert got == ranked(docs, queries)
 
 
+def test_blocks_are_read_one_by_one(spark, monkeypatch):
+    """A reader lays out a row group, and a worker an Arrow batch: a block each."""
+    monkeypatch.setattr(lexical, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(scratch, "BATCH_BYTES", 1)
+    task = lexical._task
+
+    def checked(*args):
+        run = task(*args)
+
+        def one_by_one(blocks):
+            def each():
+                for b in blocks:
+                    assert b.num_rows == 1
+                    yield b
+
+            return run(each())
+
+        return one_by_one
+
+    monkeypatch.setattr(lexical, "_task", checked)
+    before = spark.conf.get(scratch.ARROW_BYTES)
+    docs, queries = made_up(random.Random(8), 40)
+    index = lexical.build_index(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    assert max(f.num_rows for f in files) > 1 and all(f.num_row_groups == f.num_rows for f in files)
+    assert result(lexical.search(index, spark.createDataFrame(queries, "item_id int, text string"))) == ranked(docs, queries)
+    assert spark.conf.get(scratch.ARROW_BYTES) == before
+
+
 def test_hard_rows(spark):
     df = messy(spark)
     queries = [(1, "The lazy fox"), (2, None), (3, ""), (4, " *** "), (None, "one WORD xx größere x"), (6, "no id here"), (7, "x" * 60_000)]
