@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -30,9 +31,10 @@ from pyspark.sql import functions as F
 
 from chartfold.llm.backtrack_bpe import byte_letters
 from chartfold.llm.textbatch import column, places, slices, spans_total
-from chartfold.sources.scratch import stored
+from chartfold.sources.scratch import stored, stored_blocks
 
 BLOCK_BYTES = 2 << 20  # text of a block
+PART_BYTES = 1 << 19  # text whose tokens are laid out at a time; they take some hundred times as much
 STRETCH = 16  # sizes that are compared first
 PAIRS_AT_ONCE = 1 << 21  # pairs of irregular groups that are laid out at a time
 ID_BITS = 32
@@ -260,20 +262,38 @@ class Aligner:
         b.only(spelled)
         return a, b
 
-    def block(self, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of ``id`` and ``text`` as rows of blocks."""
+        for batch in slices(batches, "text", BLOCK_BYTES):
+            parts = [self.part(column(s, "text").to_pylist()) for s in slices(iter([batch]), "text", PART_BYTES)]
+            yield _block(column(batch, "id"), parts)
+
+    def part(self, texts: list[str | None]) -> list[Sequence]:
+        """The columns of some documents of a block, and their pairs."""
         a, b = self.tokens(texts)
         groups = Groups(a, b)
         first, place, n, pairs = links(a, b, groups)
         group_at = np.searchsorted(groups.first_a, a.at)
-        held = np.bincount(place, minlength=len(pairs))  # documents of the block that hold a pair
-        row = [
-            ids, pa.array(np.diff(a.at)), pa.array(np.diff(b.at)), pa.array(np.diff(group_at)),
-            pa.array(spans_total(n, first)), pa.array(group_digests(a, b, groups, self.numerals), pa.string()),
-            pa.array(np.diff(first), pa.int32()), pa.array(place, pa.int32()), pa.array(n),
-            pa.array(pairs), pa.array(held, pa.int32()),
+        return [
+            np.diff(a.at), np.diff(b.at), np.diff(group_at), spans_total(n, first),
+            group_digests(a, b, groups, self.numerals), np.diff(first), place, n, pairs,
         ]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in row]
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists], BLOCK)
+
+
+def _block(ids: pa.Array, parts: list[list[Sequence]]) -> pa.RecordBatch:
+    """The row of a block."""
+    *columns, digests, n_pairs, place, n, pairs = zip(*parts)
+    before = np.cumsum([0, *map(len, pairs)])
+    pairs, at = np.unique(np.concatenate(pairs), return_inverse=True)
+    place = np.concatenate([at[x + p] for x, p in zip(before, place)])
+    held = np.bincount(place, minlength=len(pairs))  # documents of the block that hold a pair
+    row = [
+        ids, *[pa.array(np.concatenate(c)) for c in columns], pa.array(chain.from_iterable(digests), pa.string()),
+        pa.array(np.concatenate(n_pairs), pa.int32()), pa.array(place, pa.int32()), pa.array(np.concatenate(n)),
+        pa.array(pairs), pa.array(held, pa.int32()),
+    ]
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in row]
+    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists], BLOCK)
 
 
 #: a row per block: its documents' columns; of each document, its pairs by their place; the pairs, how many documents hold each
@@ -290,14 +310,13 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id: str = "doc_id"
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches):
-        for batch in slices(batches, "text", BLOCK_BYTES):
-            yield aligner(path_a, path_b).block(column(batch, "id"), column(batch, "text").to_pylist())
+        yield from aligner(path_a, path_b).blocks(batches)
 
     schema = (f"block string, ids array<{kind}>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, "
               "n_links array<bigint>, groups_sha256 array<string>, n_pairs array<int>, place array<int>, n array<bigint>, "
               "pairs array<bigint>, held array<int>")
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    return stored(rows.mapInArrow(run, schema), "aligned")
+    return stored_blocks(rows.mapInArrow(run, schema), "aligned")
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 """Alignment of two tokenizers against a plain form of it, with the libraries' tokens."""
 
 import hashlib
+import random
 import sys
 import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -15,6 +18,7 @@ from tokenizers import Tokenizer
 from brute import messy
 from chartfold.llm import align
 from chartfold.llm.queries import BYTE_MODEL, PIECE_MODEL, QUERIES, table
+from chartfold.sources import scratch
 
 TEXTS = st.lists(st.sampled_from([
     "a", "the", "ing", " ", "  ", "\n", "é", "É", "<|endoftext|>", "</s>", "<0x0A>", "▁", "執", "🙂", "12", "'s", "Ａ", "ﬁ", "====", "\x00", "ß",
@@ -183,6 +187,47 @@ def test_counts_go_over_all_blocks(spark, monkeypatch, libraries):
         assert sorted(results(align.align(df, BYTE_MODEL, PIECE_MODEL))) == want
 
 
+def test_memory_of_a_block(libraries):
+    """Tokens are laid out for a part of a block, not for all of its text."""
+    rng = random.Random(4)
+    words = ["the", "river", "antidisestablishment", "größere", "x1", "執", "old", "12,5"]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(700)]
+    size = sum(len(t.encode()) for t in texts)
+    assert align.BLOCK_BYTES * 0.9 < size < align.BLOCK_BYTES
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    made = align.aligner(BYTE_MODEL, PIECE_MODEL)
+    tracemalloc.start()
+    try:
+        blocks = list(made.blocks(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(blocks) == 1 and most < 40 * size
+
+
+@pytest.mark.parametrize("size", [1, 30])
+def test_blocks_in_parts(monkeypatch, libraries, size):
+    texts = ["the old 執執 river", "ééé the 🙂🙂 old", None, "", "a▁b", "the the the", "12 ==== ééé", "🙂執", "river the"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    made = align.aligner(BYTE_MODEL, PIECE_MODEL)
+    (whole,) = made.blocks(iter([batch]))
+    monkeypatch.setattr(align, "PART_BYTES", size)
+    (parts,) = made.blocks(iter([batch]))
+    assert parts.drop_columns(["block"]).equals(whole.drop_columns(["block"]))
+
+
+def test_blocks_are_written_one_by_one(spark, monkeypatch, libraries):
+    """Each in a row group of its own; texts come to a worker by bytes, not by rows."""
+    monkeypatch.setattr(scratch, "BATCH_BYTES", 1)
+    texts = ["the old river", "ééé the old", None, "", "the the the", "12 ==== ééé"] * 2
+    want = sorted((i, *x) for i, x in enumerate(expected(libraries, texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    blocks = align.aligned_blocks(df, BYTE_MODEL, PIECE_MODEL)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    assert sum(f.num_rows for f in files) == len(texts) and all(f.num_row_groups == f.num_rows for f in files)
+    assert sorted(results(align.align(df, BYTE_MODEL, PIECE_MODEL))) == want
+
+
 def test_links_in_pieces(monkeypatch, libraries):
     texts = ["執執🙂 ééé", "🙂🙂🙂"]
     made = align.aligner(BYTE_MODEL, PIECE_MODEL)
